@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import fresh, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -104,3 +104,14 @@ t as (select source, cast(n as bigint) as source_size, least(cap, (select level
 p as (select d.*, coalesce(sum(size) over (partition by source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from d)
 select doc_id, p.source, cast(size as bigint) as size, source_size, target, cast({one} as bigint) as taken
 from p join t on p.source is not distinct from t.source"""
+
+
+def take_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 8) -> DataFrame:
+    """The rows of docs that the mix takes words of, with size, source_size, target and taken (columns of those names are replaced)."""
+    own = ("size", "source_size", "target", "taken")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in own])
+    mix = mix_sources(docs, weights, share, epochs, seed).where("taken > 0").groupBy("doc_id", "source", "text_hash").agg(*[F.max(c).alias(c) for c in own])
+    (key,) = fresh(docs, "text_hash")
+    d, m = docs.withColumn(key, F.xxhash64("text")).alias("d"), mix.alias("m")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col(f"d.{key}") == F.col("m.text_hash"))
+    return d.join(m, same).select(*[F.col(f"d.`{c}`") for c in docs.columns], *[F.col(f"m.{c}") for c in own])
