@@ -11,10 +11,11 @@
    others; the pairs are verified on the full sets and grouped by union-find.
 4. What is left: in a bucket that still holds several groups, the members
    outside its largest group are compared with the other groups' members.  The
-   bucket is dealt into blocks, so no task holds more than two blocks, and the
-   comparison of 125 register fingerprints is vectorised; pairs far below the
-   threshold go (by eight standard deviations of the estimate at 0.85 and more),
-   the rest is verified on the full sets and grouped.
+   bucket is dealt into blocks, so no task holds more than two blocks.  There,
+   pairs whose registers agree too little (by five standard deviations of the
+   estimate) go, and the others are tested, the most alike first, until a member
+   has a link to the other group.  Only such links leave the task; they are
+   confirmed on the full sets and grouped.
 5. Groups: union-find within each partition leaves a spanning forest; then labels
    fall to the minimum over shuffled joins until nothing changes.
 
@@ -208,69 +209,102 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * inter >= percent * union).select("a", "b")
 
 
-def block_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """Members of blocks (task, side, node, root, marks) -> pairs a, b of different groups whose fingerprints agree in ``least`` registers."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two ascending arrays of distinct items are as similar."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    inter = int((b[at] == a).sum())
+    return 100 * inter >= percent * (len(a) + len(b) - inter)
 
-    def compare(marks, roots, nodes, side):
-        left = np.flatnonzero(side == 0)
-        found = []
-        right = np.flatnonzero(side == 1)
-        for i in left:
-            j = right[(roots[right] != roots[i])]
-            if len(j):
-                j = j[(marks[j] == marks[i]).sum(1) >= least]
-                found.append(np.stack([np.full(len(j), nodes[i]), nodes[j]]))
-        return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+
+def compare_blocks(t: pa.Table, least: int, percent: int) -> tuple[list[int], list[int]]:
+    """Links between the two sides of one task: one at most of a left member to a group.
+
+    Members are tested in order of their agreeing registers, and only in the
+    first band that a pair shares.
+    """
+    band = t["band"][0].as_py()
+    side, nodes, roots = (t[c].to_numpy() for c in ("side", "node", "root"))
+    marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint16).reshape(len(side), -1)
+    items = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["items"]]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b = [], []
+    for i in left:
+        j = right[roots[right] != roots[i]]
+        same = marks[j] == marks[i]
+        agree = same.sum(1)
+        keep = np.flatnonzero(agree >= least)
+        keep = keep[same[keep].reshape(len(keep), REGISTERS // BAND, BAND).all(2).argmax(1) == band]
+        done = set()
+        for k in keep[np.argsort(-agree[keep], kind="stable")]:
+            if roots[j[k]] not in done and similar(items[i], items[j[k]], percent):
+                done.add(roots[j[k]])
+                a.append(min(nodes[i], nodes[j[k]]))
+                b.append(max(nodes[i], nodes[j[k]]))
+    return a, b
+
+
+def block_links(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """Members of blocks (task, band, side, node, root, marks, items) -> links a, b of different groups."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # partitions are sorted by task; one task's members are held at a time
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None
 
         def done(t: pa.Table):
             task = t["task"].to_numpy()
             cut = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]])
-            marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint16).reshape(len(task), -1)
-            roots, nodes, side = (t[c].to_numpy() for c in ("root", "node", "side"))
-            out = [compare(marks[x:y], roots[x:y], nodes[x:y], side[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            a, b = [], []
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                p, q = compare_blocks(t.slice(x, y - x), least, percent)
+                a += p
+                b += q
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
-            if not len(b):
-                continue
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            task = t["task"].to_numpy()
-            last = int(np.searchsorted(task, task[-1]))
-            if last:
-                yield done(t.slice(0, last))
-                held = t.slice(last).combine_chunks().to_batches()
+            if len(b):
+                held = pa.concat_tables([held, pa.Table.from_batches([b])]) if held else pa.Table.from_batches([b])
+                task = held["task"].to_numpy()
+                if last := int(np.searchsorted(task, task[-1])):
+                    yield done(held.slice(0, last).combine_chunks())
+                    held = held.slice(last)
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield done(held.combine_chunks())
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(emit, "a long, b long")
+
+
+def short_items(sets: DataFrame) -> DataFrame:
+    """node, items -> node, items: the sets as 32-bit hashes, ascending; what they link is confirmed on the full sets."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.sort((np.asarray(x.values).view(U) >> U(32)).astype(np.uint32)).tobytes() for x in b.column("items")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.binary())], names=["node", "items"])
 
-    return rows.select("task", "side", "node", "root", "marks").repartition("task").sortWithinPartitions("task").mapInArrow(emit, "a long, b long")
+    return sets.mapInArrow(emit, "node long, items binary")
 
 
-def left_pairs(buckets: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs worth verifying in buckets that still hold several groups.
+def left_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links in buckets that still hold several groups.
 
-    buckets: key, node; nodes: node, root, marks.
+    buckets: key, band, node; nodes: node, root, marks.
     """
     rooted = buckets.join(nodes.select("node", "root"), "node")
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     # groups of a bucket: their number, members, and the largest (ties: the least root)
     tops = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("c").alias("members"), F.max(F.struct("c", (-F.col("root")).alias("minus"))).alias("top")).where("groups > 1")
     tops = tops.select("key", (-F.col("top.minus")).alias("largest"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("top.c")) / BLOCK).cast("int").alias("rest"))
-    live = rooted.join(tops, "key").join(nodes.select("node", "marks"), "node")
+    live = rooted.join(tops, "key").join(nodes.select("node", "marks"), "node").join(short_items(sets), "node")
     h = F.xxhash64("key", "node")
-    task = lambda r, b: F.xxhash64("key", r, b)
-    common = ["node", "root", "marks"]
-    left = live.where("root <> largest").withColumn("r", F.pmod(h, "rest")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = live.withColumn("b", F.pmod(h, "blocks")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)))
-    left = left.select(task(F.col("r").cast("int"), F.col("b").cast("int")).alias("task"), F.lit(0).alias("side"), *common)
-    right = right.select(task(F.col("r").cast("int"), F.col("b").cast("int")).alias("task"), F.lit(1).alias("side"), *common)
-    return block_pairs(left.union(right), least).distinct()
+    common = ["band", "side", "node", "root", "marks", "items"]
+    left = live.where("root <> largest").withColumns({"side": F.lit(0), "r": F.pmod(h, "rest").cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    right = live.withColumns({"side": F.lit(1), "b": F.pmod(h, "blocks").cast("int"), "r": F.explode(F.sequence(F.lit(0), F.col("rest") - 1))})
+    dealt = [x.select(F.xxhash64("key", "r", "b").alias("task"), *common) for x in (left, right)]
+    return block_links(dealt[0].union(dealt[1]), least, percent).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -283,7 +317,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = written(reps.select("node", "doc_id", "n", "bands", "strict", "marks"), "nodes")
 
     def buckets(column: str) -> DataFrame:
-        keyed = reps.select("node", F.explode(column).alias("key"))
+        keyed = reps.select("node", F.posexplode(column).alias("band", "key"))
         shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
         return keyed.join(shared, "key")
 
@@ -296,10 +330,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = written(confirmed(stars, sets, percent), "links")
     first = components(links)
     state = written(reps.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "marks", "n"), "state")
-    # eight deviations of the estimate below the threshold
+    # five deviations of the estimate below the threshold
     p = percent / 100
-    least = max(1, int(REGISTERS * p - 8 * (REGISTERS * p * (1 - p)) ** 0.5))
-    more = confirmed(left_pairs(loose.select("key", "node"), state, least), sets, percent)
+    least = max(1, int(REGISTERS * p - 5 * (REGISTERS * p * (1 - p)) ** 0.5))
+    more = confirmed(left_links(loose.select("key", "band", "node"), state, sets, least, percent), sets, percent)
     every = written(links.union(more), "links")
     roots = components(every)
     label = roots.join(mins, "node").groupBy("root").agg(F.min("least").alias("component_id"))
