@@ -97,7 +97,7 @@ def luhn(d: Column) -> Column:
 def valid(kind: str, v: Column) -> Column:
     """The base pattern's own check."""
     if kind == "ip":
-        return F.forall(F.split(v, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(999)) <= 255) | (F.length(F.ltrim(F.lit("0"), p)) == 0))
+        return F.forall(F.split(v, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(999)) <= 255) | (F.length(F.ltrim(p, F.lit("0"))) == 0))
     if kind == "card":
         n = F.length(digits(v))
         return F.when(n.between(14, 19), luhn(digits(v))).otherwise(F.lit(False))
