@@ -141,7 +141,11 @@ def anchor_text(x: Column | str) -> Column:
 
 def url_encode_path(x: Column | str) -> Column:
     """Each segment percent-encoded; spaces as %20, slashes kept."""
-    one = lambda s: F.replace(F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    def one(s):
+        for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+            s = F.replace(s if a != "+" else F.url_encode(s), F.lit(a), F.lit(b))
+        return s
+
     return F.array_join(F.transform(F.split(text(x), "/"), one), "/")
 
 
