@@ -1,7 +1,9 @@
 """Substring dedup: line hashing.
 
-Units are lines, split again after sentence ends so that a passage set into a
-longer line is found too.  A unit is normalised (A-Z lowered, white space
+Units are lines, split again after sentence ends and, in sentences of over 16
+words, after words whose hash says so (one in 12), so that a passage set into a
+longer line, or cut out of a long sentence, falls into the same units wherever it
+stands.  A unit is normalised (A-Z lowered, white space
 collapsed) and digested to 128 bits.  Digests are grouped globally; the unit of
 the lowest doc_id, and in it the first, is kept, all later ones go.  Units of
 under ``unit_words`` words are too common to be judged by themselves: they go
@@ -35,6 +37,7 @@ from .common import U, mix, powers, text_chunks, words
 END = np.zeros(256, bool)
 END[[0x21, 0x2E, 0x3F]] = True  # ! . ?
 LAST = (1 << 63) - 1
+LONG, CUT = 16, 12  # in longer sentences, one word in so many ends a unit
 
 
 class Units:
@@ -49,10 +52,15 @@ class Units:
             self.off = np.zeros(len(off), np.int64)
             return
         lines = np.concatenate([[0], np.cumsum(buf == 0x0A)])
-        stop = END[buf[e - 1]]
+        # one mark ends a sentence, not "!!" after each word
+        stop = END[buf[e - 1]] & ~END[buf[np.maximum(e - 2, 0)]]
         stop[:-1] |= lines[s[1:]] > lines[e[:-1]]
         bound = woff[1:][woff[1:] > woff[:-1]] - 1
         stop[bound] = True
+        # long sentences are cut by content; words that repeat don't cut themselves up
+        ends = np.flatnonzero(stop)
+        size = np.diff(np.concatenate([[-1], ends]))
+        stop |= np.repeat(size > LONG, size) & (mix(h ^ U(0x2545F491)) % U(CUT) == 0) & np.concatenate([[True], h[1:] != h[:-1]])
         last = np.flatnonzero(stop)
         first = np.concatenate([[0], last[:-1] + 1])
         self.words = last - first + 1
