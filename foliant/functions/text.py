@@ -99,7 +99,7 @@ def drop_section(x: Column | str, heading: str) -> Column:
 def section_after(x: Column | str, heading: str) -> Column:
     """The non-blank, stripped lines of the first ``## …heading…`` section, comments left out."""
     body = F.regexp_extract(text(x), rf"(?ms)^##[ \t][^\n]*{heading}[^\n]*\n(.*?)(?=^##[ \t]|\z)", 1)
-    lines = F.transform(F.split(body, "\n"), F.trim)
+    lines = F.transform(F.split(body, "\n"), lambda s: F.trim(s))
     return F.array_join(F.filter(lines, lambda s: (s != "") & ~s.startswith("<!--")), "\n")
 
 

@@ -56,7 +56,7 @@ def fields(fm: Column | str, key: str) -> Column:
     """A list of the frontmatter: trimmed, non-blank; one scalar may hold commas."""
     v = F.coalesce(F.element_at(c(fm), F.lit(key)), F.array().cast("array<string>"))
     parts = F.flatten(F.transform(v, lambda s: F.when(F.size(v) == 1, F.split(s, "[,，]")).otherwise(F.array(s))))
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def plain_frontmatter(x: Column | str) -> Column:

@@ -15,11 +15,11 @@ IMAGE = r"(?i)\.(png|jpe?g|gif|webp|svg)$"
 
 
 def wiki_targets(x: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(text(x), F.lit(WIKI)), F.trim)
+    return F.transform(F.regexp_extract_all(text(x), F.lit(WIKI)), lambda s: F.trim(s))
 
 
 def embed_targets(x: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(text(x), F.lit(EMBED)), F.trim)
+    return F.transform(F.regexp_extract_all(text(x), F.lit(EMBED)), lambda s: F.trim(s))
 
 
 def hrefs(html: Column | str) -> Column:

@@ -133,7 +133,7 @@ def grouped(rows: DataFrame, domain: str, order: list[Column], fields: list[str]
 
 def filter_blocks(texts: DataFrame, query: str, column: str = "text", pattern: str = r"(?m)(?=^#{1,6}\s)|\n{2,}") -> DataFrame:
     """texts with blocks (joined) and hits: the blocks that contain the query."""
-    blocks = F.filter(F.transform(F.split(text(column), pattern), F.trim), lambda b: (b != "") & F.contains(F.lower(b), F.lit(query.strip().lower())))
+    blocks = F.filter(F.transform(F.split(text(column), pattern), lambda s: F.trim(s)), lambda b: (b != "") & F.contains(F.lower(b), F.lit(query.strip().lower())))
     return texts.withColumns({"blocks": F.array_join(blocks, "\n\n"), "hits": F.size(blocks)})
 
 

@@ -129,7 +129,7 @@ def link_resolution(spark, d):
 @query("dangling_links", LINK_SQL + "select page_id, count(*) as n, list_sort(list(target))[1:6] as preview from (select distinct page_id, trim(target) as target from l where target not like '\\_%' escape '\\') where target not in (select url from u where url is not null) group by page_id")
 def dangling_links(spark, d):
     pages = t(spark, d, "pages")
-    return links.dangling(pages, "page_id", F.transform(links.hrefs("html"), F.trim), pages, "url")
+    return links.dangling(pages, "page_id", F.transform(links.hrefs("html"), lambda s: F.trim(s)), pages, "url")
 
 
 @query(
