@@ -108,9 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, bits: int
     lab = docs.sparkSession.createDataFrame(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect(), lab.schema)
     rows = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("label", "text", F.xxhash64("doc_id").alias("o"))
     got = sample_features(rows, bits).toArrow()
-    data = [(got["label"][i].as_py(), got["n"][i].as_py(), np.asarray(got["ids"][i].values, np.int64), np.asarray(got["counts"][i].values, np.float64)) for i in range(len(got))]
+    data = [(got["label"][i].as_py(), got["n"][i].as_py(), np.asarray(got["ids"][i].values), np.asarray(got["counts"][i].values)) for i in range(len(got))]
     # an order of its own for the updates, whatever the partitions were
-    data.sort(key=lambda r: (hash((r[1], int(r[2].sum()) if len(r[2]) else 0)), r[0]))
+    data.sort(key=lambda r: (hash((r[1], int(r[2].sum(dtype=np.int64)) if len(r[2]) else 0)), r[0]))
     return ftrl(data, bits) if data else (np.zeros(1 << bits, np.float32), 0.0)
 
 
