@@ -15,6 +15,9 @@
    the benchmark if it has one, else the item's last third).  So a paraphrase
    that keeps the order of most words is found.
 
+Words are compared in folded case (Unicode, NFC), so copies in capitals are found.
+Folding keeps the number and order of words, so spans are those of the text itself.
+
 The model has 2**13 terms and 32 dimensions whatever the corpus; items are a
 query set, taken in blocks of ``block`` so that what is broadcast is bounded.
 Each text is read by one task in chunks.  No join, and no shuffle of texts.
@@ -28,6 +31,7 @@ empty result; only doc_id, text, item_id (and answer) are read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, text_chunks, words
+from .common import U, text_chunks, word_spans, words
 
 BITS = 13
 RANK = 32
@@ -44,6 +48,16 @@ BLOCKS = 64
 STEP = 4  # words between windows
 
 
+def folded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in folded case and NFC: neither adds or removes ASCII space."""
+    data = buf.tobytes()
+    if data.isascii():  # words() lowers A-Z
+        return buf, off
+    texts = [data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    texts = [t if t.isascii() else unicodedata.normalize("NFC", t.decode().casefold()).encode() for t in texts]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _terms(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - BITS)).astype(np.int64)
 
@@ -88,7 +102,7 @@ def idf(docs: DataFrame, size: int = PASSAGE) -> tuple[np.ndarray, int]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for b in batches:
             for _, _, buf, off in text_chunks(b.column("text")):
-                h, _, _, woff = words(buf, off)
+                h, _, _, woff = words(*folded(buf, off))
                 first, _ = _passages(woff, size)
                 if len(first):
                     p = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
@@ -126,7 +140,7 @@ def latent(docs: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 7,
         seen = False
         for b in batches:
             for _, _, buf, off in text_chunks(b.column("text"), 1 << 19):
-                h, _, _, woff = words(buf, off)
+                h, _, _, woff = words(*folded(buf, off))
                 first, poff = _passages(woff, size)
                 if not len(first):
                     continue
@@ -197,7 +211,7 @@ class Items:
 
 def _hashes(text: str | None) -> np.ndarray:
     data = np.frombuffer((text or "").encode(), np.uint8)
-    return words(data, np.array([0, len(data)]))[0]
+    return words(*folded(data, np.array([0, len(data)])))[0]
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -294,11 +308,12 @@ def _search(docs: DataFrame, fold: np.ndarray, weight: np.ndarray, items: Items,
         ids = pa.array(items.ids)
         for b in batches:
             for i, n, buf, off in text_chunks(b.column("text"), 1 << 19):
-                h, s, e, woff = words(buf, off)
+                h, _, _, woff = words(*folded(buf, off))
                 found = matches(h, woff, fold, weight, items, cosine, overlap, share, answer)
                 if not found:
                     continue
                 d, j, lo, hi, c, share_ = zip(*found, strict=True)
+                s, e = word_spans(buf, off)
                 chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
                 base = chars[off[list(d)]]
                 start, end = chars[s[list(lo)]] - base, chars[e[np.array(hi) - 1]] - base

@@ -9,6 +9,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import urllib.parse
 import zlib
 
@@ -346,6 +347,28 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block=2).collect()} == leaks
 
 
+def test_decontamination_folds_case(spark):
+    rng = random.Random(6)
+    strange = ["ción%d", "naïve%d", "straße%d", "œuvre%d", "λόγος%d"]
+    item = " ".join(w % rng.randrange(1000) for w in strange * 5)
+    texts = [prose(rng, 150, 3000) for _ in range(20)]
+    for k, leak in enumerate((item.upper(), unicodedata.normalize("NFD", item).title(), item)):
+        w = texts[k].split()
+        texts[k] = " ".join(["É", *w[:30], leak, *w[30:]])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = decontaminate.contaminated(frame(spark, texts), bench).collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2}
+    for r in rows:
+        assert item.split()[4].casefold() in unicodedata.normalize("NFC", texts[r.doc_id][r.start : r.end].casefold())
+
+
+def test_folding_keeps_words():
+    text = " ".join(map(chr, (*range(0x21, 0xD800), *range(0xE000, 0x110000))))
+    buf = np.frombuffer(text.encode(), np.uint8)
+    off = np.array([0, len(buf)])
+    assert len(common.words(buf, off)[0]) == len(common.words(*decontaminate.folded(buf, off))[0])
+
+
 # 8
 
 
