@@ -8,7 +8,9 @@
    of a document leaves its task but sums of a fixed size.
 3. Benchmark items and sliding windows of each whole text are folded into the
    latent space (whitened by the singular values); windows with a cosine of
-   ``cosine`` or more to an item of their length are candidates.
+   ``cosine`` or more to an item of their length are candidates.  Windows start
+   every ``STEP`` words; items of up to ``SHORT`` words are also compared with
+   windows of their exact length at every word.
 4. A candidate is confirmed by the longest common subsequence of words between
    the item and the window with half its length on both sides: ``lcs`` of the
    item's words, and ``answer`` of those of its answer (the column ``answer`` of
@@ -46,6 +48,7 @@ RANK = 32
 PASSAGE = 32
 BLOCKS = 64
 STEP = 4  # words between windows
+SHORT = 16  # words of items that get a window at every word
 
 
 def folded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +210,7 @@ class Items:
         self.unit = np.array(unit, np.float32).reshape(len(self.ids), fold.shape[1])
         # windows of as many steps as the item has; long items take every other one
         self.steps = np.array([max(1, round(len(w) / STEP)) for w in self.words], np.int64)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -228,6 +232,36 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def short_windows(t: np.ndarray, woff: np.ndarray, fold: np.ndarray, weight: np.ndarray, items: Items, cosine: float, overlap: float) -> Iterator[tuple]:
+    """(document, item, first word, cosine) of the windows at every word that are candidates for an item of exactly their length."""
+    sizes = np.unique(items.sizes[items.sizes <= SHORT])
+    if not len(sizes):
+        return
+    total = np.concatenate([[0.0], np.cumsum(weight[t], dtype=np.float64)])
+    doc = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
+    left = woff[1:][doc] - np.arange(len(t))
+    for k in sizes.tolist():
+        own = np.flatnonzero(items.sizes == k)
+        # no item shares more with a window than all of them together
+        most = np.concatenate([[0.0], np.cumsum(items.table[own].max(0)[t], dtype=np.float64)])
+        n = max(len(t) - k + 1, 0)
+        fit = (left[:n] >= k) & (most[k:] - most[:n] >= overlap * (total[k:] - total[:n]) - 1e-3)
+        starts = np.flatnonzero(fit)
+        for x in range(0, len(starts), 20_000):
+            start = starts[x : x + 20_000]
+            window = t[start[:, None] + np.arange(k)]
+            at = _fold(fold, window)
+            norm = np.sqrt(np.einsum("ij,ij->i", at, at)) + 1e-30
+            near = at @ items.unit[own].T
+            whole = weight[window].sum(1)
+            i, j = np.nonzero(near >= (cosine * norm)[:, None])
+            for y in range(0, len(i), 20_000):
+                ii, jj = i[y : y + 20_000], j[y : y + 20_000]
+                shared = items.table[own[jj][:, None], window[ii]].sum(1)
+                for c in np.flatnonzero(shared >= overlap * whole[ii]):
+                    yield int(doc[start[ii[c]]]), int(own[jj[c]]), int(start[ii[c]]), float(near[ii[c], jj[c]] / norm[ii[c]])
+
+
 def matches(h: np.ndarray, woff: np.ndarray, fold: np.ndarray, weight: np.ndarray, items: Items, cosine: float, overlap: float, share: float, answer: float) -> list[tuple]:
     """(document, item, first word, last word, cosine, lcs) of a chunk of texts."""
     if not len(h) or not items.ids:
@@ -260,6 +294,8 @@ def matches(h: np.ndarray, woff: np.ndarray, fold: np.ndarray, weight: np.ndarra
                 d = int(docs[start[ii[c]]])
                 word = int(woff[d] + (start[ii[c]] - off[d]) * STEP)
                 best.setdefault((d, int(jj[c])), []).append((-float(near[ii[c], j[x + c]] / norm[ii[c]]), word, word + k * STEP))
+    for d, j, word, c in short_windows(_terms(h), woff, fold, weight, items, cosine, overlap):
+        best.setdefault((d, j), []).append((-c, word, word + int(items.sizes[j])))
     out = []
     for (d, j), found in best.items():
         w, ans = items.words[j], items.answers[j]

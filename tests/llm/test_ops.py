@@ -362,6 +362,23 @@ def test_decontamination_folds_case(spark):
         assert item.split()[4].casefold() in unicodedata.normalize("NFC", texts[r.doc_id][r.start : r.end].casefold())
 
 
+def test_short_items_are_found_at_all_offsets(spark):
+    rng = random.Random(8)
+    items = [" ".join("w%d" % rng.randrange(3000) for _ in range(n)) for n in range(5, 17)]
+    texts, leaks = [], set()
+    for at in range(8):
+        for k, item in enumerate(items):
+            w = prose(rng, 60, 3000).split()
+            leaks.add((len(texts), k))
+            texts.append(" ".join(w[: 24 + at] + item.split() + w[24 + at :]))
+    texts += [" ".join([prose(rng, 9, 3000), items[0]]), items[1]]
+    leaks |= {(len(texts) - 2, 0), (len(texts) - 1, 1)}
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert set(got) == leaks
+    assert all(items[k] in texts[d][r.start : r.end] for (d, k), r in got.items())
+
+
 def test_folding_keeps_words():
     text = " ".join(map(chr, (*range(0x21, 0xD800), *range(0xE000, 0x110000))))
     buf = np.frombuffer(text.encode(), np.uint8)
