@@ -2,11 +2,15 @@
 
 The text is the first layer.  Each layer is scanned by the base patterns and
 unwrapped: percent escapes and Unicode escapes decode the whole layer with a
-map of every character to its place in the text; base64 runs decode to layers
-of their own, and compressed bytes inside them are inflated.  New layers join
-the worklist until none is new; a layer seen before at the same place is not
-scanned again, so cycles end.  Every span is reported at its place in the text:
-that of the escapes it was read through, or of the whole base64 run.
+map of every character to its place in the text; base64 runs, also those wrapped
+over lines, decode at all four alignments to layers of their own.  Compressed
+bytes in them, or in percent escapes, are inflated wherever they start: all
+members, and of a damaged stream what comes before the damage.  Bytes are read as
+UTF-8, else as Latin-1, and as UTF-16 too if they hold a zero byte (an ASCII
+character of UTF-16 has one).  New layers join the worklist until none is new; a
+layer seen before at the same place is not scanned again, so cycles end.  Every
+span is reported at its place in the text: that of the escapes it was read
+through, or of the whole run of base64 (all lines of a wrapped one) or of escapes.
 
 No shuffle; a task holds one text and its layers.  ``max_layer`` bounds an
 inflated layer, against bombs: one that would grow larger is not a text to scan
@@ -23,6 +27,7 @@ import base64
 import binascii
 import hashlib
 import re
+import urllib.parse
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -45,6 +50,12 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that go on at the start of the next line.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
+BREAK = re.compile(r"[\x20\t\r\n>]+")
+SOLID = re.compile(r"\S+")
+#: Starts of gzip and zlib streams.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 Span = tuple[str, int, int]
 
@@ -111,34 +122,112 @@ def rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), at)
 
 
-def inflated(data: bytes, most: int) -> bytes | None:
-    """gzip or zlib layers removed, one after another; None beyond ``most`` bytes or if damaged."""
-    while data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and data[0] * 256 % 31 == -data[1] % 31):
+def member(data: bytes, most: int) -> tuple[bytes, int, bool] | None:
+    """(contents, length, undamaged) of the compressed stream that data starts with; None beyond ``most`` bytes."""
+    z = zlib.decompressobj(47)
+    out: list[bytes] = []
+    at = size = 0
+    step = 1 << 16
+    while at < len(data) and not z.eof:
+        before = z.copy() if step > 1 else None
         try:
-            z = zlib.decompressobj(47)
-            data = z.decompress(data, most)
-            if z.unconsumed_tail or not z.eof:
-                return None
+            out.append(z.decompress(data[at : at + step], most - size + 1))
         except zlib.error:
+            if before is None:
+                return b"".join(out), at, False
+            # again in smaller pieces, up to the damaged byte
+            z, step = before, step >> 4
+            continue
+        size += len(out[-1])
+        if size > most:
             return None
-    return data
+        at += step
+    return b"".join(out), min(at, len(data)) - len(z.unused_data), z.eof
+
+
+def unpacked(data: bytes, most: int) -> tuple[list[bytes], list[bytes]]:
+    """(bytes outside compressed streams, contents of such streams), layer by layer; a stream of more than ``most`` bytes is left out."""
+    plain: list[bytes] = []
+    contents: list[bytes] = []
+    work, seen = [(data, False)], {data}
+    while work:
+        data, inner = work.pop()
+        keep = contents if inner else plain
+        last = pos = 0
+        joined: list[bytes] = []
+
+        def close() -> None:
+            whole = b"".join(joined)
+            joined.clear()
+            if whole and whole not in seen:
+                seen.add(whole)
+                work.append((whole, True))
+
+        while m := PACKED.search(data, pos):
+            start = m.start()
+            found = member(data[start:], most)
+            if found and not found[0] and not found[2]:
+                pos = start + 1
+                continue
+            if start > last:
+                close()
+                keep.append(data[last:start])
+            if not found:
+                close()
+                last = pos = len(data)
+                break
+            body, length, good = found
+            joined.append(body)
+            # a damaged stream may have been none
+            last, pos = (start + length,) * 2 if good else (start, start + 2)
+            if not good:
+                close()
+        close()
+        if last < len(data):
+            keep.append(data[last:])
+    return plain, contents
+
+
+def readings(data: bytes) -> list[str]:
+    """The texts that bytes may stand for."""
+    try:
+        out = [data.decode()]
+    except UnicodeDecodeError:
+        out = [data.decode("latin-1")]
+    if 0 in data:
+        # something before them may shift the pairs
+        out += [data[k:].decode(code, "replace") for k in (0, 1) for code in ("utf-16-le", "utf-16-be")]
+    return out
+
+
+def texts_of_base64(run: str, most: int) -> list[str]:
+    """The texts that a run of base64 may hold, at all four alignments."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    out: dict[str, None] = {}
+    for k in range(4):
+        part = body[k:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        for data in sum(unpacked(binascii.a2b_base64(part + "=" * (-len(part) % 4)), most), []):
+            out |= dict.fromkeys(readings(data))
+    return list(out)
 
 
 def from_base64(run: str, most: int) -> str | None:
-    """The text that a run of base64 holds, or None if it holds none."""
+    """The text that a run of base64 holds if it starts with the run, or None if it holds none."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
-    try:
-        data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    data = inflated(data, most)
-    try:
-        text = data.decode() if data else None
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+    found = sum(reversed(unpacked(binascii.a2b_base64(body + "=" * (-len(body) % 4)), most)), [])
+    return readings(found[0])[0] if found else None
+
+
+def texts_of_percent(run: str, most: int) -> list[str]:
+    """The texts compressed in the bytes of percent escapes and the characters between them."""
+    out: dict[str, None] = {}
+    for form in {run, run.replace("+", " ")}:
+        for data in unpacked(urllib.parse.unquote_to_bytes(form), most)[1]:
+            out |= dict.fromkeys(readings(data))
+    return list(out)
 
 
 def all_spans(text: str, max_layer: int = 1 << 26) -> tuple[list[Span], list[Span]]:
@@ -161,11 +250,19 @@ def all_spans(text: str, max_layer: int = 1 << 26) -> tuple[list[Span], list[Spa
             found |= {(k, *layer.place(s, e)) for k, s, e in base_spans(layer.text)}
         if "%" in layer.text:
             add(rewritten(layer, PERCENT, lambda run: bytes.fromhex(run.replace("%", "")).decode(errors="replace")))
+            for m in SOLID.finditer(layer.text):
+                if "%" in m[0]:
+                    for decoded in texts_of_percent(m[0], max_layer):
+                        add(Layer(decoded, layer.place(m.start(), m.end())))
         if "\\" in layer.text or "&#" in layer.text:
             add(rewritten(layer, ESCAPE, _escapes))
         for m in BASE64.finditer(layer.text):
-            if decoded := from_base64(m[0], max_layer):
+            for decoded in texts_of_base64(m[0], max_layer):
                 add(Layer(decoded, layer.place(m.start(), m.end())))
+        if "\n" in layer.text:
+            for m in WRAPPED.finditer(layer.text):
+                for decoded in texts_of_base64(BREAK.sub("", m[0]), max_layer):
+                    add(Layer(decoded, layer.place(m.start(), m.end())))
     return in_order(base), in_order(found)
 
 
