@@ -576,3 +576,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept["mix"])
 
 
+
+
+def test_pipeline_drops_near_duplicates_from_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    texts = []
+    for k in range(40):
+        base = ["w%d" % rng.randrange(100_000) for _ in range(100)]
+        copy = list(base)
+        for i in (20, 50, 80)[: 2 + k % 2]:
+            copy[i] = "edit%d" % rng.randrange(100_000)
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    assert sum(0.8 <= x < 0.85 for x in near) == 20
+    kept = {r.doc_id for r in corpus_pipeline.near_dup_stage(spark, frame(spark, texts), "").collect()}
+    assert kept == set(range(80)) - {2 * i + 1 for i, x in enumerate(near) if x >= 0.8}
