@@ -1,24 +1,35 @@
 """LM scoring with a hierarchical Pitman-Yor model of word pairs.
 
-Restaurants: one per context, and one root that all share.  Contexts are the
-``HOT`` most frequent training words, the start of a text, and one that all
-other words share.  Dishes are all training words and the end of a text, over a
-uniform base of V + 1 words (one for all unknown ones).
+Restaurants: one for every context, that is for every word of the training
+texts and for the start of a text, and one root that all contexts share as their
+parent.  Dishes are all training words and the end of a text, over a uniform
+base of V + 1 words (one for all unknown ones).
 
 Seating is sampled by Gibbs sweeps: all customers of a dish in a context leave
 and sit down again, given the tables of everyone else; the first 8 one at a
 time, later ones in draws of an eighth of those seated (a binomial number of new
-tables each).  Tables are customers of the root, seated likewise.  Words are
-dealt over partitions, and the context's table totals are exchanged between
-sweeps.  A score averages the predictive probabilities of several samples.
-
-Data flow.  A pass over the texts deals word occurrences to partitions by word
-hash, in sorted blocks: per word its occurrences as (document, context).  The
-frequent dishes don't travel: their counts in all contexts are a matrix of fixed
-size, added up in blocks, so no word that travels has more than 1/HOT of all
-occurrences.  Words are dealt to targets of about ``tokens_each``
-occurrences, frequent ones included; a task holds one target.  They are written once; sweeps read the counts only.  Sums per document return in blocks,
-and a pass over the texts adds the frequent words from the broadcast matrix (8 MB).
+tables each).  Tables are customers of the root, seated likewise.  A score
+averages the predictive probabilities of several samples.
+
+Data flow.  A pair is a word (dish) and the word before it (context).
+
+* ``frequent``: the most frequent words, and most frequent pairs of such words.
+  They decide only how work is dealt, not what is computed: frequent pairs are
+  counted where they are read and seated on the driver (2^20 of them at most, a fixed
+  size), so no other pair, word or context is hot.
+* ``blocks`` and ``gather``: all other pairs travel once, to the target of their
+  word if that is not frequent, else of their context, else of the pair, with the
+  documents they occur in.  A target holds about ``tokens_each`` tokens; the table
+  is bucketed by target, so that later joins leave it where it is.
+* ``homes``: each context's customers and tables are spread over targets.  Its
+  home, a target too, adds them up and knows who asks for it.  The totals are a
+  table that is joined in each sweep; those of frequent words are broadcast.
+* ``sweep``: targets seat their pairs, given the totals of the previous sweep, and
+  write their tables (the sample) and what they add to contexts and to the root.
+* ``scores``: targets sum log probabilities by document; sums return to the batch
+  they came from, and a second pass over the texts adds the frequent pairs.
+
+Words are told apart by 40 bits of their hash.
 
 Defined results: a null or blank text is the end token alone; a null doc_id is
 trained on; repeated rows count as often as they occur, and score alike; an
@@ -28,8 +39,9 @@ base's probability; only doc_id and text are read.
 
 from __future__ import annotations
 
-import copy
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,199 +49,313 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, id_crc, text_chunks, words, written
+from .common import U, id_crc, mix, shared_dir, text_chunks, words, written
 
-HOT = 1023  # frequent words; they are the contexts 0..HOT-1
-END = HOT  # the dish after the frequent words
-OTHER, START = HOT, HOT + 1
-DISHES, CONTEXTS = HOT + 1, HOT + 2
-CELLS = DISHES * CONTEXTS
-BLOCKS = 41  # of the matrix; 25 contexts each
+HOT_WORDS = 1 << 14
+HOT_PAIRS = 1 << 20
+FREQ_BLOCK = 1 << 15  # frequent pairs are added up in blocks of this size
+START, END = (int(x) for x in mix(np.array([1, 2], U)))
+_P, _Q = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
-BLOCK_SCHEMA = "target long, kind int, batch long, a binary, b binary, c binary"
-PART_SCHEMA = "kind int, batch long, a binary, b binary, c binary, stats binary, words binary, pair_word binary, pair_context binary, pair_count binary, post_batch binary, post_pair binary, post_doc binary"
+BLOCK_COLS = "kind target batch words pairs contexts train seen docs".split()
+BLOCK_SCHEMA = "kind int, target int, batch long, " + ", ".join(f"{c} binary" for c in BLOCK_COLS[3:])
+PART_COLS = "kind target batch word_hot word_count pair_word pair_context pair_count context_hot homes names context_count context_single seen post_batch post_doc batches".split()
+PART_SCHEMA = "kind int, target int, batch long, " + ", ".join(f"{c} binary" for c in PART_COLS[3:])
 
 
-def frequent_words(train: DataFrame, per_task: int = 8192) -> np.ndarray:
-    """Ascending hashes of the most frequent words, from each task's most frequent ones."""
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers in the least width that holds them all."""
+    top = int(x.max()) if len(x) else 0
+    k = 0 if top < 1 << 8 else 1 if top < 1 << 16 else 2 if top < 1 << 32 else 3
+    return bytes([k]) + x.astype(KINDS[k]).tobytes()
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
-        pending: list[np.ndarray] = []
-
-        def merge():
-            nonlocal keys, counts
-            k, n = np.unique(np.concatenate(pending), return_counts=True)
-            k, n = np.concatenate([keys, k]), np.concatenate([counts, n])
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order]
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-            keys, counts = k[cut], np.add.reduceat(n, cut) if len(cut) else n
-            pending.clear()
 
-        for b in batches:
-            for _, _, buf, off in text_chunks(b.column("text")):
-                pending.append(words(buf, off)[0])
-                if sum(map(len, pending)) > 1_000_000:
-                    merge()
-        if pending:
-            merge()
-        best = np.lexsort((keys, -counts))[:per_task]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[best].view(np.int64)), pa.array(counts[best])], names=["h", "n"])
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, KINDS[b[0]], offset=1).astype(np.int64)
+
+
+def pack40(x: np.ndarray) -> bytes:
+    return x.astype(np.uint32).tobytes() + (x >> U(32)).astype(np.uint8).tobytes()
+
+
+def unpack40(b: bytes) -> np.ndarray:
+    n = len(b) // 5
+    return np.frombuffer(b, np.uint32, n).astype(U) | np.frombuffer(b, np.uint8, n, 4 * n).astype(U) << U(32)
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    return h >> U(24)
 
-    rows = train.select("text").mapInArrow(top, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT).collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(U))
 
+def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(word * _P + context * _Q)
 
-def tokens(buf: np.ndarray, off: np.ndarray, hot: np.ndarray):
-    """(hash, dish or -1, context, document) of all tokens; ends have dish END."""
+
+def heads(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    n = len(sorted_keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places in an ascending table, -1 if absent."""
+    if not len(table):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return np.where(table[at] == x, at, -1)
+
+
+def rows(schema: str, out: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
+
+
+def tokens(buf: np.ndarray, off: np.ndarray):
+    """(word, context, document) of all tokens, ends included."""
     h, _, _, woff = words(buf, off)
     docs = len(off) - 1
     n = np.diff(woff)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-        ids = np.where(hot[at] == h, at, -1)
-    else:
-        ids = np.full(len(h), -1)
     doc = np.repeat(np.arange(docs), n + 1)
-    place = np.arange(len(h)) + np.repeat(np.arange(docs), n)
-    total = len(h) + docs
-    dish = np.full(total, END)
-    dish[place] = ids
-    hashes = np.zeros(total, U)
-    hashes[place] = h
-    context = np.full(total, START)
-    context[place + 1] = np.where(ids >= 0, ids, OTHER)
-    return hashes, dish, context, doc
-
-
-def occurrences(docs: DataFrame, hot: np.ndarray, parts: int, batch_tokens: int = 1_000_000) -> DataFrame:
-    """doc_id, th, fold, text -> blocks dealt to ``parts`` targets.
-
-    kind 0: a = word hashes, b = occurrences of each, c = document << 12 | trained on << 11 | context
-    kind 1: a batch's documents: a = doc_id, b = text hash, c = whether doc_id is there
-    kind 2: cells of the matrix of frequent dishes: a = cells, b = counts
+    word = np.full(len(h) + docs, END, U)
+    word[np.arange(len(h)) + np.repeat(np.arange(docs), n)] = h
+    context = np.full(len(word), START, U)
+    context[1:] = word[:-1]
+    context[np.cumsum(n + 1) - n - 1] = START
+    return word, context, doc
+
+
+@dataclass
+class Frequent:
+    """Ascending 40-bit words with START and END; pairs as ascending keys with the places of their words."""
+
+    words: np.ndarray
+    keys: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+
+    def split(self, word: np.ndarray, context: np.ndarray):
+        """(places of frequent words, of frequent contexts, of frequent pairs), -1 if not frequent."""
+        w, c = find(self.words, short(word)), find(self.words, short(context))
+        p = np.full(len(word), -1)
+        both = np.flatnonzero((w >= 0) & (c >= 0))
+        p[both] = find(self.keys, pair_key(word[both], context[both]))
+        return w, c, p
+
+
+def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_000, span: int = 2_000_000) -> Frequent:
+    """From what is frequent in each task's texts."""
+    schema = "kind int, word long, context long, n long"
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        found: dict[int, list] = {1: [], 2: []}
+
+        def count(w, c, n, best):
+            order = np.lexsort((c, w))
+            w, c = w[order], c[order]
+            at = heads(w, c)
+            n = np.add.reduceat(n[order], at) if len(at) else n
+            w, c = w[at], c[at]
+            if best and len(n) > best:
+                keep = np.argsort(-n, kind="stable")[:best]
+                w, c, n = w[keep], c[keep], n[keep]
+            return w, c, n
+
+        def settle():
+            w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            k = np.sort(w)
+            at = heads(k)
+            n = np.diff(np.append(at, len(k)))
+            found[1].append((k[at][n > 2], np.zeros((n > 2).sum(), U), n[n > 2]))
+            key = pair_key(w, c)
+            order = np.argsort(key)
+            at = heads(key[order])
+            n = np.diff(np.append(at, len(key)))
+            own = order[at[n > 2]]
+            found[2].append((w[own], c[own], n[n > 2]))
+
+        for b in batches:
+            for _, _, buf, off in text_chunks(b.column("text")):
+                w, c, _ = tokens(buf, off)
+                held.append((w, c))
+                if sum(len(x) for x, _ in held) > span:
+                    settle()
+        if held:
+            settle()
+        for kind, best in ((1, words_each), (2, pairs_each)):
+            if found[kind]:
+                w, c, n = count(*(np.concatenate(x) for x in zip(*found[kind], strict=True)), best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind), pa.int32()), pa.array(w.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n)], names=["kind", "word", "context", "n"])
+
+    found = written(train.select("text").mapInArrow(top, schema).groupBy("kind", "word", "context").agg(F.sum("n").alias("n")), "lm-frequent")
+    own = [found.where(f"kind = {k}").orderBy(F.desc("n"), "word", "context").limit(m).select("word", "context").toArrow() for k, m in ((1, HOT_WORDS), (2, HOT_PAIRS))]
+    hot = np.unique(short(np.concatenate([own[0]["word"].to_numpy().view(U), np.array([START, END], U)])))
+    w, c = (own[1][x].to_numpy().view(U) for x in ("word", "context"))
+    a, b = find(hot, short(w)), find(hot, short(c))
+    both = (a >= 0) & (b >= 0)
+    keys, at = np.unique(pair_key(w[both], c[both]), return_index=True)
+    return Frequent(hot, keys, a[both][at], b[both][at])
+
+
+def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 2_000_000) -> DataFrame:
+    """doc_id, th, fold, text -> what goes to targets.
+
+    kind 0: a batch's pairs, ascending: words, pairs of each, contexts, occurrences trained on and seen, documents of each
+    kind 1: a batch's documents: words = doc_id, contexts = text hash, docs = whether doc_id is there
+    kind 2: trained-on counts of a block of frequent pairs (pairs = place in it, train = count)
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast(freq)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        freq = shared.value
         me = TaskContext.get().partitionId() << 32
-        cells = np.zeros(CELLS, np.int64)
-        held: list[list[np.ndarray]] = []
+        counts = np.zeros(len(freq.keys), np.int64)
+        held: list[tuple] = []
         ids: list[tuple] = []
         count = base = k = 0
 
-        def rows(out):
-            cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[3:])], names=["target", "kind", "batch", "a", "b", "c"])
-
         def flush():
             nonlocal held, ids, count, base, k
-            h, post = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, post = h[order], post[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(h))).astype(np.uint32)
-            target = ((h[first] >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+            w, c, target, doc, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((c, w, target))
+            w, c, target, doc, train = w[order], c[order], target[order], doc[order], train[order]
+            pair = heads(target, w, c)
+            seen = np.diff(np.append(pair, len(w)))
+            trained = np.add.reduceat(train, pair) if len(pair) else seen
+            word = heads(target[pair], w[pair])
+            n = np.diff(np.append(word, len(pair)))
+            edge = np.append(pair, len(w))
             out = []
-            for t in np.unique(target):
-                x, y = np.searchsorted(target, [t, t + 1])
-                p, q = first[x], first[y] if y < len(first) else len(h)
-                out.append((int(t), 0, me + k, h[first[x:y]].tobytes(), n[x:y].tobytes(), post[p:q].tobytes()))
+            owner = target[pair[word]]
+            for t in np.unique(owner):
+                x, y = np.searchsorted(owner, [t, t + 1])
+                p, q = word[x], word[y] if y < len(word) else len(pair)
+                out.append((0, int(t), me + k, pack40(w[pair[word[x:y]]]), pack(n[x:y]), pack40(c[pair[p:q]]), pack(trained[p:q]), pack(seen[p:q]), doc[edge[p] : edge[q]].tobytes()))
             d, th, ok = (np.concatenate(x) for x in zip(*ids, strict=True))
-            out.append(((me + k) * 2654435761 % parts, 1, me + k, d.tobytes(), th.tobytes(), ok.tobytes()))
+            out.append((1, (me + k) * 2654435761 % parts, me + k, d.tobytes(), b"", th.tobytes(), b"", b"", ok.tobytes()))
             held, ids, count, base, k = [], [], 0, 0, k + 1
-            return rows(out)
+            return rows(BLOCK_SCHEMA, out)
 
         for b in batches:
             key, fold = b.column("doc_id"), np.asarray(b.column("fold"))
             ok = np.asarray(key.is_valid())
             d, th = np.asarray(key.fill_null(0)), np.asarray(b.column("th"))
             for i, n, buf, off in text_chunks(b.column("text")):
-                h, dish, context, doc = tokens(buf, off, hot)
-                train = fold[i : i + n] != 2
-                known = (dish >= 0) & train[doc]
-                cells += np.bincount(context[known] * DISHES + dish[known], minlength=CELLS)
-                rest = dish < 0
-                at = doc[rest]
-                held.append([h[rest], ((at + base).astype(np.uint32) << np.uint32(12)) | (train[at].astype(np.uint32) << np.uint32(11)) | context[rest].astype(np.uint32)])
-                ids.append((d[i : i + n], th[i : i + n], ok[i : i + n]))
-                count += int(rest.sum())
-                base += n
-                if count > batch_tokens or base > 200_000:
-                    yield flush()
+                for j in range(0, n, 1 << 14):  # documents of a batch are numbered in 16 bits
+                    m = min(1 << 14, n - j)
+                    if base + m > 1 << 16:
+                        yield flush()
+                    own = slice(off[j], off[j + m])
+                    w, c, doc = tokens(buf[own], off[j : j + m + 1] - off[j])
+                    train = (fold[i + j : i + j + m] != 2)[doc]
+                    hw, hc, pair = freq.split(w, c)
+                    counts += np.bincount(pair[train & (pair >= 0)], minlength=len(counts))
+                    rest = pair < 0
+                    w, c, hw, hc, doc, train = short(w[rest]), short(c[rest]), hw[rest], hc[rest], doc[rest], train[rest]
+                    owner = np.where(hw < 0, w, np.where(hc < 0, c, short(pair_key(w, c))))
+                    held.append((w, c, (owner * U(parts) >> U(40)).astype(np.int32), (doc + base).astype(np.uint16), train.astype(np.uint32)))
+                    ids.append((d[i + j : i + j + m], th[i + j : i + j + m], ok[i + j : i + j + m]))
+                    count += len(w)
+                    base += m
+                    if count > batch_pairs:
+                        yield flush()
         if ids:
             yield flush()
-            width = -(-CONTEXTS // BLOCKS) * DISHES
-            full = np.flatnonzero(cells)
-            out = []
-            for t in range(BLOCKS):
-                own = full[(full >= t * width) & (full < (t + 1) * width)]
-                if len(own):
-                    out.append((t % parts, 2, t, own.astype(np.uint32).tobytes(), cells[own].astype(np.uint32).tobytes(), b""))
-            if out:
-                yield rows(out)
+        out = []
+        for t in range(0, len(counts), FREQ_BLOCK):
+            x = counts[t : t + FREQ_BLOCK]
+            own = np.flatnonzero(x)
+            if len(own):
+                out.append((2, t // FREQ_BLOCK % parts, t, b"", pack(own), b"", pack(x[own]), b"", b""))
+        if out:
+            yield rows(BLOCK_SCHEMA, out)
 
     return docs.mapInArrow(deal, BLOCK_SCHEMA)
 
 
-def gather(blocks: DataFrame, parts: int) -> DataFrame:
-    """Blocks -> one row per target with its words' counts and occurrences, manifests, and added cells."""
-
-
-    def row(kind, batch, *data):
-        data = [*data, *[b""] * (11 - len(data))]
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names=[f.split()[0] for f in PART_SCHEMA.split(", ")])
-
-    def words_of(held: list[tuple]):
-        """The row of one target's words."""
-        n = np.concatenate([np.frombuffer(b, np.uint32) for _, _, b, _ in held])
-        sizes = [len(c) // 4 for *_, c in held]
-        post = np.concatenate([np.frombuffer(c, np.uint32) for *_, c in held])
-        names, word = np.unique(np.concatenate([np.frombuffer(a, U) for _, a, _, _ in held]), return_inverse=True)
-        word = np.repeat(word.astype(np.int64), n)
-        train = (post >> np.uint32(11)) & np.uint32(1)
-        pairs, at = np.unique(word << 11 | (post & np.uint32(2047)), return_inverse=True)
-        c = np.bincount(at, weights=train, minlength=len(pairs)).astype(np.uint32)
-        wc = np.bincount(word, weights=train, minlength=len(names)).astype(np.uint32)
-        ctx = (pairs & 2047).astype(np.uint16)
-        stats = np.concatenate([np.bincount(ctx, weights=c, minlength=CONTEXTS), [(wc > 0).sum(), wc.sum(), (c == 1).sum(), (c == 2).sum()]])
-        # by batch and document, so that sums are runs
-        owner = np.repeat(np.arange(len(held)), sizes)
-        doc = post >> np.uint32(12)
-        order = np.argsort(owner << 20 | doc, kind="stable")
-        cut = np.concatenate([[0], np.cumsum(sizes)])
-        index = np.stack([np.array([h[0] for h in held], np.int64), cut[:-1], cut[1:]])
-        return row(0, 0, b"", b"", b"", *(x.tobytes() for x in (stats, wc, (pairs >> 11).astype(np.uint32), ctx, c, index, at[order].astype(np.uint32), doc[order])))
+def runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start[i] .. start[i] + n[i] - 1, one run after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def gather(df: DataFrame, freq: Frequent, parts: int) -> DataFrame:
+    """Blocks -> one row (kind 0) per target; rows of kinds 1 and 2 as they are, or added up."""
+    shared = df.sparkSession.sparkContext.broadcast(freq.words)
+
+    def part(target: int, held: list[tuple]) -> tuple:
+        n = [unpack(h[2]) for h in held]
+        w = np.concatenate([np.repeat(unpack40(h[1]), k) for h, k in zip(held, n, strict=True)])
+        c = np.concatenate([unpack40(h[3]) for h in held])
+        train, seen = (np.concatenate([unpack(h[x]) for h in held]) for x in (4, 5))
+        doc = np.concatenate([np.frombuffer(h[6], np.uint16) for h in held])
+        order = np.lexsort((c, w))
+        first = np.cumsum(seen) - seen
+        post = runs(first[order], seen[order])
+        w, c, train = w[order], c[order], train[order]
+        at = heads(w, c)
+        count = np.add.reduceat(train, at)
+        occurs = np.add.reduceat(seen[order], at)
+        w, c = w[at], c[at]
+        names, pair_word = np.unique(w, return_inverse=True)
+        # contexts: frequent ones, then by home, those with pairs to seat first
+        contexts, pc = np.unique(c, return_inverse=True)
+        live = np.bincount(pc, weights=count > 1) > 0
+        hot = find(shared.value, contexts)
+        home = np.where(hot >= 0, -1, (contexts * U(parts) >> U(40)).astype(np.int64))
+        rank = np.lexsort((contexts, ~live, home))
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        pc = place[pc]
+        contexts, live, hot, home = contexts[rank], live[rank], hot[rank], home[rank]
+        cold = int((hot >= 0).sum())
+        ids, begin, total = np.unique(home[cold:], return_index=True, return_counts=True)
+        active = np.add.reduceat(live[cold:], begin) if len(begin) else begin
+        customers, single = (np.bincount(pc, weights=x, minlength=len(contexts)).astype(np.int64)[cold:] for x in (count, count == 1))
+        return (0, target, 0, pack(find(shared.value, names) + 1), pack(np.bincount(pair_word, weights=count, minlength=len(names)).astype(np.int64)), pack(pair_word), pack(pc), pack(count), pack(hot[:cold]), np.stack([ids, active, total]).astype(np.int64).tobytes(), pack40(contexts[cold:]), pack(customers), pack(single), pack(occurs), pack(np.repeat(np.arange(len(held)), np.array([int(unpack(h[5]).sum()) for h in held]))[post]), doc[post].tobytes(), np.array([h[0] for h in held], np.int64).tobytes())
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come by target; one target's blocks are held at a time
         held: list[tuple] = []
+        added: dict[int, np.ndarray] = {}
         now = None
-        cells: dict[int, np.ndarray] = {}
+        other = lambda kind, target, batch, a, b, c: rows(PART_SCHEMA, [(kind, target, batch, a, b, c, *[b""] * 11)])
         for batch in batches:
-            targets, kinds, owners = (batch.column(x).to_pylist() for x in ("target", "kind", "batch"))
-            for i, (target, kind, own) in enumerate(zip(targets, kinds, owners, strict=True)):
+            cols = [batch.column(c) for c in BLOCK_COLS]
+            for i in range(batch.num_rows):
+                kind, target, own, *data = (c[i].as_py() for c in cols)
                 if held and target != now:
-                    yield words_of(held)
+                    yield rows(PART_SCHEMA, [part(now, held)])
                     held = []
                 now = target
-                a, b, c = (batch.column(x)[i].as_py() for x in "abc")
                 if kind == 0:
-                    held.append((own, a, b, c))
+                    held.append((own, *data))
                 elif kind == 1:
-                    yield row(1, own, a, b, c)
+                    yield other(1, target, own, data[0], data[2], data[5])
                 else:
-                    x = cells.setdefault(own, np.zeros(-(-CONTEXTS // BLOCKS) * DISHES, np.int64))
-                    x[np.frombuffer(a, np.uint32) - own * len(x)] += np.frombuffer(b, np.uint32)
+                    added.setdefault(own, np.zeros(FREQ_BLOCK, np.int64))[unpack(data[1])] += unpack(data[3])
         if held:
-            yield words_of(held)
-        for own, x in cells.items():
-            full = np.flatnonzero(x)
-            yield row(2, own, (full + own * len(x)).astype(np.uint32).tobytes(), x[full].astype(np.int64).tobytes())
+            yield rows(PART_SCHEMA, [part(now, held)])
+        for own, x in added.items():
+            yield other(2, own // FREQ_BLOCK % parts, own, pack(x), b"", b"")
+
+    return df.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(collect, PART_SCHEMA)
 
-    return blocks.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(collect, PART_SCHEMA)
+
+def bucketed(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, bucketed by key: joins on it don't move it."""
+    spark, table = df.sparkSession, f"lm_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).option("path", shared_dir(spark, f"lm-{name}")).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files are outside the warehouse
+    return out
 
 
 def tables(c: np.ndarray, alpha: np.ndarray, d: float, rng) -> np.ndarray:
@@ -246,115 +372,283 @@ def tables(c: np.ndarray, alpha: np.ndarray, d: float, rng) -> np.ndarray:
     return t
 
 
+@dataclass
 class Model:
-    """What all partitions share: discounts, customers and tables of the contexts, and the root's totals."""
-
-    def __init__(self, customers: np.ndarray, v: int, n: int, d1: float, d0: float):
-        self.customers, self.v, self.n, self.d1, self.d0 = customers, v, n, d1, d0
-        self.theta1, self.theta0 = 2.0, 10.0
-        self.tables = customers * 0.5
-        self.root, self.root_tables = float(self.tables.sum()), float(v)
+    """What all targets share: discounts, the root's totals, and of frequent words the root's
+    customers and tables as dishes, the customers and tables as contexts."""
+
+    v: int
+    n: int
+    d1: float
+    d0: float
+    dish: np.ndarray
+    dish_tables: np.ndarray
+    customers: np.ndarray
+    tables: np.ndarray
+    root: float
+    root_tables: float
+    theta1: float = 2.0
+    theta0: float = 10.0
 
     def base(self) -> float:
         return (self.theta0 + self.d0 * self.root_tables) / (self.theta0 + self.root) / (self.v + 1)
 
-    def seat(self, word: np.ndarray, context: np.ndarray, c: np.ndarray, wc: np.ndarray, seed: list[int], rounds: int = 2):
-        """A sample: (tables of each pair, root customers of each word, root tables of each word)."""
-        rng = np.random.default_rng(seed)
-        c = c.astype(np.int64)
-        p = (wc + 1.0) / (self.n + self.v + 1.0)
-        new = self.theta1 + self.d1 * self.tables[context]
-        for _ in range(rounds):
-            t = tables(c, new * p[word], self.d1, rng)
-            tw = np.bincount(word, weights=t, minlength=len(wc))
-            s = tables(tw.astype(np.int64), np.full(len(tw), (self.theta0 + self.d0 * self.root_tables) / (self.v + 1)), self.d0, rng)
-            p = self.root_probability(tw, s)
-        return t, tw, s
+    def root_probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (customers - self.d0 * tables) / (self.theta0 + self.root) + self.base()
 
-    def root_probability(self, tw: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return (tw - self.d0 * s) / (self.theta0 + self.root) + self.base()
+    def seat_root(self, customers: np.ndarray, rng) -> np.ndarray:
+        return tables(customers.astype(np.int64), np.full(len(customers), (self.theta0 + self.d0 * self.root_tables) / (self.v + 1)), self.d0, rng)
 
-    def after(self, sums: np.ndarray) -> Model:
-        """The model with the totals of a sample: tables per context, root customers and root tables."""
-        m = copy.copy(self)
-        m.tables, m.root, m.root_tables = sums[:CONTEXTS], float(sums[-2]), float(sums[-1])
-        return m
+    def seat(self, c: np.ndarray, context_tables: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
+        return tables(c, (self.theta1 + self.d1 * context_tables) * p, self.d1, rng)
 
-    def predict(self, word, context, c, t, tw, s) -> np.ndarray:
-        """Probabilities of pairs; self holds the totals of the very sample, so they sum to one."""
-        total = self.theta1 + self.customers[context]
-        return (c - self.d1 * t) / total + (self.theta1 + self.d1 * self.tables[context]) / total * self.root_probability(tw, s)[word]
+    def predict(self, c, t, customers, context_tables, p) -> np.ndarray:
+        """Probabilities of pairs.  All totals are those of one sample, so a context's sum to one."""
+        return (c - self.d1 * t + (self.theta1 + self.d1 * context_tables) * p) / (self.theta1 + customers)
 
 
-def totals(context: np.ndarray, sample: tuple) -> np.ndarray:
-    t, tw, s = sample
-    return np.concatenate([np.bincount(context, weights=t, minlength=CONTEXTS), [tw.sum(), s.sum()]])
+@dataclass
+class Part:
+    """A target's row: what is not packed."""
 
+    hot: np.ndarray  # place of each word among the frequent ones, or -1
+    word_count: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+    count: np.ndarray
+    context_hot: np.ndarray
+    homes: np.ndarray  # ids, contexts with pairs to seat, contexts
 
-def average(samples: list[tuple[Model, Model, int]], word, context, c, wc, seed: list[int]) -> np.ndarray:
-    """Mean predictive probabilities: each sample is seated again from its seed and scored with its own totals."""
-    return sum(after.predict(word, context, c, *before.seat(word, context, c, wc, [k, *seed])) for before, after, k in samples) / len(samples)
+    @classmethod
+    def of(cls, r: dict) -> Part:
+        return cls(unpack(r["word_hot"]) - 1, unpack(r["word_count"]), unpack(r["pair_word"]), unpack(r["pair_context"]), unpack(r["pair_count"]), unpack(r["context_hot"]), np.frombuffer(r["homes"], np.int64).reshape(3, -1))
 
+    def starts(self) -> np.ndarray:
+        """First context of each home."""
+        return len(self.context_hot) + np.cumsum(self.homes[2]) - self.homes[2]
 
-def own_seed(c: np.ndarray) -> list[int]:
-    """The same for the same counts, whatever task holds them."""
-    return [len(c), int(c.sum())]
+    def spread(self, hot: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """A value for each context, from those of the frequent ones and of the homes; 0 where a home gives less."""
+        out = np.zeros(len(self.context_hot) + int(self.homes[2].sum()))
+        out[: len(self.context_hot)] = hot[self.context_hot]
+        at = dict(zip(self.homes[0].tolist(), self.starts().tolist(), strict=True))
+        for home, x in found:
+            out[at[home] : at[home] + len(x)] = x
+        return out
 
 
-def _pairs(row: dict):
-    return (np.frombuffer(row["pair_word"], np.uint32).astype(np.int64), np.frombuffer(row["pair_context"], np.uint16).astype(np.int64), np.frombuffer(row["pair_count"], np.uint32).astype(np.int64), np.frombuffer(row["words"], np.uint32).astype(np.int64))
+def beside(left: DataFrame, right: DataFrame, key: str, *cols: str) -> DataFrame:
+    """left with an array ``got`` of the rows of right that have its key."""
+    got = right.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct(*cols)).alias("got"))
+    return left.join(got, left[key] == got["_key"], "left").drop("_key")
 
 
-def hot_pairs(cells: np.ndarray):
-    """The matrix of frequent dishes as pairs."""
-    return np.tile(np.arange(DISHES), CONTEXTS), np.repeat(np.arange(CONTEXTS), DISHES), cells, cells.reshape(CONTEXTS, DISHES).sum(0)
+def homes(parts: DataFrame, n: int) -> DataFrame:
+    """home, customers, fixed (tables of pairs that occur once) of its contexts; targets that ask, with
+    (target, contexts with pairs to seat, contexts), and the places of those contexts."""
+    ask = "home int, target int, active int, names binary, customers binary, single binary"
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                names, customers, single = unpack40(r["names"]), unpack(r["context_count"]), unpack(r["context_single"])
+                ids = np.frombuffer(r["homes"], np.int64).reshape(3, -1)
+                cut = np.concatenate([[0], np.cumsum(ids[2])])
+                out = [(int(h), r["target"], int(a), pack40(names[x:y]), pack(customers[x:y]), pack(single[x:y])) for (h, a, _), x, y in zip(ids.T, cut[:-1], cut[1:], strict=True)]
+                if out:
+                    yield rows(ask, out)
+
+    def add(home: int, got: list[tuple]) -> tuple:
+        each = [unpack40(g[2]) for g in got]
+        names, at = np.unique(np.concatenate(each), return_inverse=True)
+        customers, fixed = (np.bincount(at, weights=np.concatenate([unpack(g[k]) for g in got]), minlength=len(names)).astype(np.int64) for k in (3, 4))
+        return home, pack(customers), pack(fixed), np.array([(g[0], g[1], len(x)) for g, x in zip(got, each, strict=True)], np.int64).tobytes(), pack(at)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if got and r["home"] != now:
+                    yield rows(HOME_SCHEMA, [add(now, got)])
+                    got = []
+                now = r["home"]
+                got.append((r["target"], r["active"], r["names"], r["customers"], r["single"]))
+        if got:
+            yield rows(HOME_SCHEMA, [add(now, got)])
+
+    sent = parts.where("kind = 0").select("target", "homes", "names", "context_count", "context_single").mapInArrow(send, ask)
+    return sent.repartition(n, "home").sortWithinPartitions("home", "target").mapInArrow(settle, HOME_SCHEMA)
+
+
+HOME_SCHEMA = "home int, customers binary, fixed binary, asks binary, places binary"
+SWEEP_SCHEMA = "kind int, target int, home int, sample int, a binary, b binary"
+
+
+def reply(home: DataFrame, swept: DataFrame | None) -> DataFrame:
+    """target, home, totals: tables of the contexts that a target seats pairs in, after a sweep (before the first: a guess)."""
+    schema, guess = "target int, home int, totals binary", swept is None
 
-def sweep(parts: DataFrame, model: Model, cells: np.ndarray, seed: int) -> Model:
-    """One Gibbs sweep over all partitions and the matrix: the model with the new totals."""
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                customers, fixed, asks, places = unpack(r["customers"]), unpack(r["fixed"]), np.frombuffer(r["asks"], np.int64).reshape(-1, 3), unpack(r["places"])
+                cut = np.concatenate([[0], np.cumsum(asks[:, 2])])
+                ask = {int(t): places[x : x + a] for (t, a, _), x in zip(asks, cut[:-1], strict=True)}
+                total = fixed + (customers - fixed) * 0.3 if guess else fixed.astype(np.float64)
+                for g in r["got"] or []:
+                    total[ask[g["target"]]] += unpack(g["a"])
+                out = [(t, r["home"], total[x].astype(np.float32).tobytes()) for t, x in ask.items() if len(x)]
+                if out:
+                    yield rows(schema, out)
+
+    if guess:
+        return home.withColumn("got", F.lit(None).cast("array<struct<target:int,a:binary>>")).mapInArrow(one, schema)
+    return beside(home, swept.where("kind = 1"), "home", "target", "a").mapInArrow(one, schema)
+
+
+def sweep(parts: DataFrame, replies: DataFrame, model: Model, seed: int) -> DataFrame:
+    """One Gibbs sweep of all targets.
+
+    kind 0: a target's sample: a = tables of its pairs that occur more than once, b = root tables of its words
+    kind 1: a = tables that a target adds to the home's contexts
+    kind 2: a = sums over the frequent words (as dishes, as contexts) and over the other words (root customers, root tables)
+    """
     shared = parts.sparkSession.sparkContext.broadcast(model)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        k = len(model.customers)
+        sums = np.zeros(2 * k + 2)
         for b in batches:
-            for row in b.to_pylist():
-                word, context, c, wc = _pairs(row)
-                sums = totals(context, shared.value.seat(word, context, c, wc, [seed, *own_seed(c)]))
-                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+            for r in b.to_pylist():
+                p = Part.of(r)
+                rng = np.random.default_rng([seed, r["target"]])
+                total = p.spread(model.tables, [(g["home"], np.frombuffer(g["totals"], np.float32)) for g in r["got"] or []])
+                live = p.count > 1
+                word, context, c = p.word[live], p.context[live], p.count[live]
+                cold = p.hot < 0
+                once = np.bincount(p.word[p.count == 1], minlength=len(p.hot)).astype(np.float64)
+                prob = (p.word_count + 1.0) / (model.n + model.v + 1.0)
+                prob[~cold] = model.root_probability(model.dish, model.dish_tables)[p.hot[~cold]]
+                for _ in range(2):
+                    t = model.seat(c, total[context], prob[word], rng)
+                    tw = once + np.bincount(word, weights=t, minlength=len(p.hot))
+                    s = np.zeros(len(tw))
+                    s[cold] = model.seat_root(tw[cold], rng)
+                    prob[cold] = model.root_probability(tw[cold], s[cold])
+                tu = np.bincount(context, weights=t, minlength=len(total))
+                # of frequent contexts, pairs that occur once count as well
+                first = len(p.context_hot)
+                tu[:first] += np.bincount(p.context[p.count == 1], minlength=len(total))[:first]
+                sums[:k] += np.bincount(p.hot[~cold], weights=tw[~cold], minlength=k)
+                sums[k : 2 * k] += np.bincount(p.context_hot, weights=tu[:first], minlength=k)
+                sums[-2:] += tw[cold].sum(), s[cold].sum()
+                out = [(0, r["target"], None, seed, pack(t.astype(np.int64)), pack(s.astype(np.int64)))]
+                out += [(1, r["target"], int(h), seed, pack(tu[x : x + a].astype(np.int64)), None) for h, a, x in zip(*p.homes[:2], p.starts(), strict=True) if a]
+                yield rows(SWEEP_SCHEMA, out)
+        yield rows(SWEEP_SCHEMA, [(2, None, None, seed, sums.tobytes(), None)])
+
+    own = parts.where("kind = 0").select("target", "word_hot", "word_count", "pair_word", "pair_context", "pair_count", "context_hot", "homes")
+    return written(beside(own, replies, "target", "home", "totals").mapInArrow(one, SWEEP_SCHEMA), "lm-sweep")
+
+
+def added(df: DataFrame, col: str) -> np.ndarray | float:
+    """The sum of arrays of doubles, added in tasks first."""
 
-    got = parts.where("kind = 0").select("words", "pair_word", "pair_context", "pair_count").mapInArrow(one, "sums binary").collect()  # 8 kB a target
-    word, context, c, wc = hot_pairs(cells)
-    own = totals(context, model.seat(word, context, c, wc, [seed, *own_seed(c)]))
-    return model.after(own + sum((np.frombuffer(r["sums"]) for r in got), np.zeros(CONTEXTS + 2)))
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                x = np.frombuffer(x)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
+    return sum((np.frombuffer(r["x"]) for r in df.select(col).coalesce(8).mapInArrow(one, "x binary").collect()), 0.0)
 
-def part_sums(parts: DataFrame, samples: list[tuple[Model, Model, int]]) -> DataFrame:
-    """batch, docs, base, score, known: sums over a batch's words in one partition, and the batch's manifest."""
-    shared = parts.sparkSession.sparkContext.broadcast(samples)
-    schema = "batch long, kind int, docs binary, base binary, score binary, known binary"
 
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(batch, kind, *x):
-            return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([y], pa.binary()) for y in x)], names=["batch", "kind", "docs", "base", "score", "known"])
+def after(model: Model, swept: DataFrame, freq: Frequent, counts: np.ndarray, seed: int) -> tuple[Model, np.ndarray]:
+    """The model with the totals of a sweep, and the tables of the frequent pairs, which are seated here."""
+    k = len(freq.words)
+    rng = np.random.default_rng([seed, 1 << 32])
+    sums = added(swept.where("kind = 2"), "a") + np.zeros(2 * k + 2)
+    t = model.seat(counts, model.tables[freq.context], model.root_probability(model.dish, model.dish_tables)[freq.word], rng)
+    dish = sums[:k] + np.bincount(freq.word, weights=t, minlength=k)
+    s = model.seat_root(dish, rng)
+    return replace(model, dish=dish, dish_tables=s, tables=sums[k : 2 * k] + np.bincount(freq.context, weights=t, minlength=k), root=float(dish.sum() + sums[-2]), root_tables=float(s.sum() + sums[-1])), t
+
+
+def final_replies(home: DataFrame, swept: DataFrame) -> DataFrame:
+    """target, home, customers, totals: of all contexts a target has; totals by sample, each less the sample before."""
+    schema = "target int, home int, customers binary, totals binary"
 
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                if r["kind"] == 1:
-                    yield row(r["batch"], 1, r["a"], r["b"], r["c"], b"")
-                    continue
-                word, context, c, wc = _pairs(r)
-                logp = np.log10(average(shared.value, word, context, c, wc, own_seed(c)))
-                logc, known = np.log10(wc + 1.0)[word], (wc > 0)[word].astype(np.int64)
-                pair, doc = np.frombuffer(r["post_pair"], np.uint32), np.frombuffer(r["post_doc"], np.uint32)
-                for own, x, y in np.frombuffer(r["post_batch"], np.int64).reshape(3, -1).T:
-                    d, p = doc[x:y], pair[x:y]
-                    cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                    yield row(int(own), 0, d[cut].tobytes(), np.add.reduceat(logc[p], cut).tobytes(), np.add.reduceat(logp[p], cut).astype(np.float32).tobytes(), np.add.reduceat(known[p], cut).astype(np.uint32).tobytes())
+                customers, fixed, asks, places = unpack(r["customers"]), unpack(r["fixed"]), np.frombuffer(r["asks"], np.int64).reshape(-1, 3), unpack(r["places"])
+                cut = np.concatenate([[0], np.cumsum(asks[:, 2])])
+                ask = {int(t): places[x : x + n] for (t, _, n), x in zip(asks, cut[:-1], strict=True)}
+                live = {int(t): a for t, a, _ in asks}
+                totals: dict[int, np.ndarray] = {}
+                for g in r["got"] or []:
+                    totals.setdefault(g["sample"], fixed.copy())[ask[g["target"]][: live[g["target"]]]] += unpack(g["a"])
+                totals = totals or {0: fixed}
+                grid = np.stack([totals[k] for k in sorted(totals)]) - fixed
+                yield rows(schema, [(t, r["home"], pack(customers[x]), pack(np.concatenate([fixed[x], grid[:, x].ravel()]))) for t, x in ask.items()])
+
+    return beside(home, swept.where("kind = 1"), "home", "sample", "target", "a").mapInArrow(one, schema)
+
+
+def part_sums(parts: DataFrame, drawn: DataFrame, replies: DataFrame, models: list[Model], word_counts: np.ndarray) -> DataFrame:
+    """batch, kind, docs, base, score, known: sums over a batch's pairs in one target, and the batch's manifest."""
+    shared = parts.sparkSession.sparkContext.broadcast((models, word_counts))
+    schema = "batch long, kind int, docs binary, base binary, score binary, known binary"
 
-    return parts.where("kind < 2").mapInArrow(one, schema)
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, word_counts = shared.value
+        for b in batches:
+            for r in b.to_pylist():
+                p = Part.of(r)
+                cold = p.hot < 0
+                live = p.count > 1
+                got = [(g["home"], unpack(g["customers"]), unpack(g["totals"])) for g in r["got"] or []]
+                sizes = {h: len(c) for h, c, _ in got}
+                samples = {g["sample"]: (unpack(g["a"]), unpack(g["b"])) for g in r["samples"]}
+                customers = p.spread(models[0].customers, [(h, c) for h, c, _ in got])[p.context]
+                prob = 0.0
+                for i, (k, model) in enumerate(zip(sorted(samples), models, strict=True)):
+                    # a home that no pair is seated in has one row of totals for all samples
+                    part = [(h, x[: (n := sizes[h])] + x[n * (j := min(i + 1, len(x) // n - 1)) : n * (j + 1)]) for h, _, x in got]
+                    total = p.spread(model.tables, part)[p.context]
+                    t = (p.count > 0).astype(np.float64)
+                    t[live] = samples[k][0]
+                    tw = np.bincount(p.word, weights=t, minlength=len(p.hot))
+                    root = model.root_probability(tw, samples[k][1])
+                    root[~cold] = model.root_probability(model.dish, model.dish_tables)[p.hot[~cold]]
+                    prob = prob + model.predict(p.count, t, customers, total, root[p.word])
+                logp = np.log10(prob / len(models))
+                wc = p.word_count.copy()
+                wc[~cold] = word_counts[p.hot[~cold]]
+                occurs = unpack(r["seen"])
+                doc = unpack(r["post_batch"]) << 16 | np.frombuffer(r["post_doc"], np.uint16)
+                order = np.argsort(doc, kind="stable")
+                doc = doc[order]
+                pair = np.repeat(np.arange(len(occurs)), occurs)[order]
+                at = heads(doc)
+                sums = [np.add.reduceat(x[pair], at) for x in (np.log10(wc + 1.0)[p.word], logp, (wc > 0).astype(np.int64)[p.word])]
+                doc = doc[at]
+                owner = np.frombuffer(r["batches"], np.int64)
+                edge = np.searchsorted(doc >> 16, np.arange(len(owner) + 1))
+                yield rows(schema, [(int(own), 0, pack(doc[x:y] & 0xFFFF), sums[0][x:y].tobytes(), sums[1][x:y].astype(np.float32).tobytes(), pack(sums[2][x:y])) for own, x, y in zip(owner, edge[:-1], edge[1:], strict=True)])
+
+    own = parts.where("kind = 0").select("target", "word_hot", "word_count", "pair_word", "pair_context", "pair_count", "context_hot", "homes", "seen", "post_batch", "post_doc", "batches")
+    full = beside(beside(own, drawn.where("kind = 0"), "target", "sample", "a", "b").withColumnRenamed("got", "samples"), replies, "target", "home", "customers", "totals")
+    manifest = parts.where("kind = 1").select("batch", "kind", F.col("word_hot").alias("docs"), F.col("word_count").alias("base"), F.col("pair_word").alias("score"), F.lit(b"").alias("known"))
+    return full.mapInArrow(one, schema).unionByName(manifest)
 
 
 def add_sums(sums: DataFrame) -> DataFrame:
-    """doc_id, th, base, score, known of the words that are not frequent."""
+    """doc_id, th, base, score, known of the pairs that are not frequent."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[int, np.ndarray] = {}
@@ -365,11 +659,11 @@ def add_sums(sums: DataFrame) -> DataFrame:
                 if r["kind"] == 1:
                     ids[k] = tuple(np.frombuffer(r[x], t) for x, t in (("docs", np.int64), ("base", np.int64), ("score", bool)))
                     continue
-                d = np.frombuffer(r["docs"], np.uint32)
+                d = unpack(r["docs"])
                 x = acc.get(k, np.zeros((3, 0)))
                 if x.shape[1] <= d[-1]:
                     x = np.concatenate([x, np.zeros((3, int(d[-1]) + 1 - x.shape[1]))], axis=1)
-                x[:, d] += (np.frombuffer(r["base"]), np.frombuffer(r["score"], np.float32), np.frombuffer(r["known"], np.uint32))
+                x[:, d] += (np.frombuffer(r["base"]), np.frombuffer(r["score"], np.float32), unpack(r["known"]))
                 acc[k] = x
         for k, (d, th, ok) in ids.items():
             x = acc.get(k, np.zeros((3, 0)))
@@ -379,18 +673,19 @@ def add_sums(sums: DataFrame) -> DataFrame:
     return sums.repartition("batch").mapInArrow(one, "doc_id long, th long, base double, score double, known long")
 
 
-def hot_sums(docs: DataFrame, hot: np.ndarray, logp: np.ndarray, logc: np.ndarray, known: np.ndarray) -> DataFrame:
-    """doc_id, th, fold, n_tokens and the frequent words' sums of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, logp, logc, known))  # 8 MB
+def hot_sums(docs: DataFrame, freq: Frequent, logp: np.ndarray, logc: np.ndarray, known: np.ndarray) -> DataFrame:
+    """doc_id, th, fold, n_tokens and the frequent pairs' sums of each text."""
+    shared = docs.sparkSession.sparkContext.broadcast((freq, logp, logc[freq.word], known[freq.word]))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, logp, logc, known = shared.value
+        freq, logp, logc, known = shared.value
         for b in batches:
             for i, n, buf, off in text_chunks(b.column("text")):
-                _, dish, context, doc = tokens(buf, off, hot)
-                own = dish >= 0
-                cell, at = context[own] * DISHES + dish[own], doc[own]
-                cols = [np.bincount(doc, minlength=n), np.bincount(at, weights=logc[dish[own]], minlength=n), np.bincount(at, weights=logp[cell], minlength=n), np.bincount(at, weights=known[dish[own]], minlength=n).astype(np.int64)]
+                word, context, doc = tokens(buf, off)
+                pair = freq.split(word, context)[2]
+                own = pair >= 0
+                pair, at = pair[own], doc[own]
+                cols = [np.bincount(doc, minlength=n), *(np.bincount(at, weights=x[pair], minlength=n).astype(np.float64) for x in (logc, logp)), np.bincount(at, weights=known[pair], minlength=n).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, n) for c in ("doc_id", "th", "fold")), *map(pa.array, cols)], names=["doc_id", "th", "fold", "n_tokens", "hot_base", "hot_score", "hot_known"])
 
     return docs.mapInArrow(one, "doc_id long, th long, fold int, n_tokens long, hot_base double, hot_score double, hot_known long")
@@ -401,29 +696,55 @@ def discount(one: float, two: float) -> float:
     return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
 
 
-def score_documents(docs: DataFrame, sweeps: int = 2, samples: int = 3, tokens_each: int = 2_500_000) -> DataFrame:
-    """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+def count_stats(parts: DataFrame, k: int) -> np.ndarray:
+    """Sums over targets: of frequent words the customers as dishes and as contexts; then of the other
+    words the number and customers, and pairs that occur once and twice."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                p = Part.of(r)
+                cold = p.hot < 0
+                by = np.bincount(p.context, weights=p.count, minlength=len(p.context_hot))[: len(p.context_hot)]
+                x = np.concatenate([np.bincount(p.hot[~cold], weights=p.word_count[~cold], minlength=k), np.bincount(p.context_hot, weights=by, minlength=k), [(p.word_count[cold] > 0).sum(), p.word_count[cold].sum(), (p.count == 1).sum(), (p.count == 2).sum()]])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["x"])
+
+    own = parts.where("kind = 0").select("word_hot", "word_count", "pair_word", "pair_context", "pair_count", "context_hot", "homes")
+    return added(own.mapInArrow(one, "x binary"), "x") + np.zeros(2 * k + 4)
+
+
+def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 2_500_000) -> DataFrame:
+    """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), id_crc(F.col("doc_id"), 7).alias("fold"), "text")
-    hot = frequent_words(keyed.where("fold <> 2"))
+    freq = frequent(keyed.where("fold <> 2"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts_n = max(64, int(size / 6 / tokens_each) + 1)
-    parts = written(gather(occurrences(keyed, hot, parts_n), parts_n), "lm")
-    cells = np.zeros(CELLS, np.int64)
-    for r in parts.where("kind = 2").select("a", "b").collect():  # CELLS counts at most
-        cells[np.frombuffer(r["a"], np.uint32)] = np.frombuffer(r["b"], np.int64)
-    stats = sum((np.frombuffer(r["stats"]) for r in parts.where("kind = 0").select("stats").collect()), np.zeros(CONTEXTS + 4))
-    _, context, c, wc = hot_pairs(cells)
-    customers = stats[:CONTEXTS] + np.bincount(context, weights=c, minlength=CONTEXTS)
-    v, n = int(stats[CONTEXTS] + (wc > 0).sum()), int(stats[CONTEXTS + 1] + wc.sum())
-    model = Model(customers, v, n, discount(stats[-2] + (c == 1).sum(), stats[-1] + (c == 2).sum()), 0.5)
-    chain = [model]
-    for k in range(sweeps + samples):
-        chain.append(sweep(parts, chain[-1], cells, k))
-    drawn = [(chain[k], chain[k + 1], k) for k in range(sweeps, sweeps + samples)]
-    logp = np.log10(average(drawn, *hot_pairs(cells), own_seed(cells)))
-    rest = add_sums(part_sums(parts, drawn)).dropDuplicates(["doc_id", "th"])
-    hot_part = hot_sums(keyed, hot, logp, np.log10(wc + 1.0), (wc > 0).astype(np.int64))
+    n = max(8, int(size / 6 / tokens_each) + 1)
+    parts = bucketed(gather(blocks(keyed, freq, n), freq, n), "target", n, "parts")
+    home = bucketed(homes(parts, n), "home", n, "homes")
+    counts = np.zeros(len(freq.keys), np.int64)
+    for r in parts.where("kind = 2").select("batch", "word_hot").collect():  # HOT_PAIRS counts at most
+        x = unpack(r["word_hot"])[: len(counts) - r["batch"]]
+        counts[r["batch"] : r["batch"] + len(x)] = x
+    k = len(freq.words)
+    stats = count_stats(parts, k)
+    word_counts = (stats[:k] + np.bincount(freq.word, weights=counts, minlength=k)).astype(np.int64)
+    customers = stats[k : 2 * k] + np.bincount(freq.context, weights=counts, minlength=k)
+    v, total = int(stats[-4] + (word_counts > 0).sum()), int(stats[-3] + word_counts.sum())
+    d1 = discount(stats[-2] + (counts == 1).sum(), stats[-1] + (counts == 2).sum())
+    model = Model(v, total, d1, 0.5, word_counts * 0.3, (word_counts > 0) * 1.0, customers, customers * 0.3, total * 0.3, float(v))
+    drawn, models, hot_logp, last = [], [], 0.0, None
+    for i in range(sweeps + samples):
+        last = sweep(parts, reply(home, last), model, i)
+        model, t = after(model, last, freq, counts, i)
+        if i >= sweeps:
+            drawn.append(last)
+            models.append(model)
+            hot_logp = hot_logp + model.predict(counts, t, customers[freq.context], model.tables[freq.context], model.root_probability(model.dish, model.dish_tables)[freq.word])
+    together = drawn[0]
+    for d in drawn[1:]:
+        together = together.unionByName(d)
+    rest = add_sums(part_sums(parts, together, final_replies(home, together), models, word_counts)).dropDuplicates(["doc_id", "th"])
+    hot_part = hot_sums(keyed, freq, np.log10(hot_logp / samples) + np.zeros(len(counts)), np.log10(word_counts + 1.0), (word_counts > 0).astype(np.int64))
     a, b = hot_part.alias("a"), rest.alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
     return both.select(
@@ -431,8 +752,8 @@ def score_documents(docs: DataFrame, sweeps: int = 2, samples: int = 3, tokens_e
         (F.col("fold") == 2).alias("held_out"),
         "n_tokens",
         (F.col("hot_known") + F.col("known")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("hot_base") + F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + v + 1)))).alias("base_score"),
         (F.col("hot_score") + F.col("score")).alias("score"),
         (-F.col("hot_score") - F.col("score")).alias("_neg"),
     ).withColumn("perplexity", F.pow(F.lit(10.0), F.col("_neg") / F.col("n_tokens"))).drop("_neg")

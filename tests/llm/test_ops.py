@@ -521,15 +521,79 @@ def test_lm_predictions_sum_to_one():
     words, contexts = 30, 4
     c = rng.poisson(1.5, (contexts, words))
     word, context = np.tile(np.arange(words), contexts), np.repeat(np.arange(contexts), words)
-    model = lm_score.Model(np.concatenate([c.sum(1), np.zeros(lm_score.CONTEXTS - contexts)]), words, int(c.sum()), 0.7, 0.5)
+    freq = lm_score.Frequent(np.arange(words, dtype=np.uint64), np.arange(c.size, dtype=np.uint64), word, context)
+    customers = np.concatenate([c.sum(1), np.zeros(words - contexts)])
+    model = lm_score.Model(words, int(c.sum()), 0.7, 0.5, c.sum(0) * 0.5, np.ones(words), customers, customers * 0.5, c.sum() * 0.5, float(words))
+    p = model.root_probability(model.dish, model.dish_tables)
     for k in range(3):
-        t, tw, s = model.seat(word, context, c.ravel(), c.sum(0), [k])
-        model = model.after(lm_score.totals(context, (t, tw, s)))
-    assert model.root_probability(tw, s).sum() + model.base() == pytest.approx(1)
-    for k in range(contexts):
-        own = context == k
-        left = (model.theta1 + model.d1 * model.tables[k]) / (model.theta1 + model.customers[k]) * model.base()
-        assert model.predict(word, context, c.ravel(), t, tw, s)[own].sum() + left == pytest.approx(1)
+        t = model.seat(c.ravel(), model.tables[context], p[word], np.random.default_rng(k))
+        dish = np.bincount(word, weights=t)
+        s = model.seat_root(dish, np.random.default_rng(k))
+        model = lm_score.replace(model, dish=dish, dish_tables=s, tables=np.bincount(context, weights=t, minlength=words), root=dish.sum(), root_tables=s.sum())
+        p = model.root_probability(dish, s)
+        assert p.sum() + model.base() == pytest.approx(1)
+        for u in range(contexts):
+            own = context == u
+            left = model.predict(0, 0, customers[u], model.tables[u], model.base())
+            assert model.predict(c.ravel(), t, customers[context], model.tables[context], p[word])[own].sum() + left == pytest.approx(1)
+    assert len(freq.split(np.arange(3, dtype=np.uint64) << np.uint64(24), np.arange(3, dtype=np.uint64) << np.uint64(24))) == 3
+
+
+def test_lm_does_not_depend_on_what_is_frequent(spark, monkeypatch):
+    """Frequent pairs are dealt otherwise than the rest, and all scores must be those of one model."""
+    rng = random.Random(12)
+    texts = [prose(rng, 80, 60) for _ in range(150)]
+    docs = frame(spark, texts)
+    want = {r.doc_id: r for r in lm_score.score_documents(docs, samples=8).collect()}
+    monkeypatch.setattr(lm_score, "HOT_WORDS", 3)
+    some = {r.doc_id: r for r in lm_score.score_documents(docs, samples=8).collect()}
+    monkeypatch.setattr(lm_score, "HOT_PAIRS", 0)
+    none = {r.doc_id: r for r in lm_score.score_documents(docs, samples=8).collect()}
+    for other in (some, none):
+        for i, r in want.items():
+            assert r.base_score == pytest.approx(other[i].base_score, rel=1e-9) and r.n_known == other[i].n_known
+            assert r.score == pytest.approx(other[i].score, rel=0.01)
+
+
+def kneser_ney(train, d=0.75):
+    """log10 probability of a text, of word pairs with absolute discounts: a yardstick."""
+    pairs = collections.Counter(p for t in train for p in zip([None, *t[:-1]], t, strict=True))
+    after = collections.Counter()
+    kinds = collections.Counter()
+    before = collections.Counter()
+    for (u, w), n in pairs.items():
+        after[u] += n
+        kinds[u] += 1
+        before[w] += 1
+    v, total = len(before), sum(before.values())
+
+    def score(t):
+        out = 0.0
+        for u, w in zip([None, *t[:-1]], t, strict=True):
+            low = max(before[w] - d, 0) / total + d * v / total / (v + 1)
+            out += math.log10((max(pairs[u, w] - d, 0) + d * kinds[u] * low) / after[u] if after[u] else low)
+        return out
+
+    return score
+
+
+def test_lm_every_context_has_its_restaurant(spark):
+    rng = random.Random(13)
+    follow = {w: [rng.randrange(500) for _ in range(3)] for w in range(500)}
+    texts = []
+    for _ in range(300):
+        w, out = rng.randrange(500), []
+        for _ in range(60):
+            out.append("w%d" % w)
+            w = rng.choice(follow[w])
+        texts.append(" ".join(out))
+    rows = {r.doc_id: r for r in lm_score.score_documents(frame(spark, texts)).collect()}
+    toks = [[*words_of(t), "</s>"] for t in texts]
+    score = kneser_ney([t for i, t in enumerate(toks) if not rows[i].held_out])
+    held = [i for i in rows if rows[i].held_out]
+    mean = lambda f: sum(f(i) for i in held) / sum(rows[i].n_tokens for i in held)
+    model, yardstick = mean(lambda i: rows[i].score), mean(lambda i: score(toks[i]))
+    assert model > yardstick - 0.05 and model > mean(lambda i: rows[i].base_score) + 1.0
 
 
 def test_tables_of_one_customer_and_growth():
