@@ -103,6 +103,31 @@ def heads(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+class Places:
+    """Places of numbers of some bits in an ascending array, by a table of their leading bits."""
+
+    def __init__(self, table: np.ndarray, bits: int, lead: int):
+        self.table, self.shift = table, U(bits - lead)
+        head = (table >> self.shift).astype(np.int64)
+        self.first = np.full(1 << lead, -1, np.int32)
+        self.first[head[::-1]] = np.arange(len(table), dtype=np.int32)[::-1]
+        shared = head[1:][head[1:] == head[:-1]]
+        self.shared = np.zeros(1 << lead, bool) if len(shared) else None
+        if len(shared):
+            self.shared[shared] = True
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """-1 if absent."""
+        if not len(self.table):
+            return np.full(len(x), -1, np.int32)
+        head = (x >> self.shift).astype(np.int64)
+        at = self.first[head]
+        if self.shared is not None:
+            more = np.flatnonzero(self.shared[head])
+            at[more] = np.minimum(np.searchsorted(self.table, x[more]), len(self.table) - 1)
+        return np.where((at >= 0) & (self.table[at] == x), at, -1)
+
+
 def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Places in an ascending table, -1 if absent."""
     if not len(table):
@@ -111,6 +136,18 @@ def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
+def by_pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """An order by word and context: by the word and the leading bits of the context, then exactly where those are equal."""
+    key = word << U(24) | context >> U(16)
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    again = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(key) else order
+    own = order[again]
+    order[again] = own[np.lexsort((context[own], key[again]))]
+    return order
+
+
 def rows(schema: str, out: list[tuple]) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     names, types = zip(*(f.split() for f in schema.split(", ")), strict=True)
@@ -140,16 +177,21 @@ class Frequent:
     word: np.ndarray
     context: np.ndarray
 
-    def split(self, word: np.ndarray, context: np.ndarray):
-        """(places of frequent words, of frequent contexts, of frequent pairs), -1 if not frequent."""
-        w, c = find(self.words, short(word)), find(self.words, short(context))
-        p = np.full(len(word), -1)
-        both = np.flatnonzero((w >= 0) & (c >= 0))
-        p[both] = find(self.keys, pair_key(word[both], context[both]))
-        return w, c, p
+    def splitter(self):
+        """word, context -> (places of frequent words, of frequent contexts, of frequent pairs), -1 if not frequent."""
+        names, pairs = Places(self.words, 40, 20), Places(self.keys, 64, 22)
+
+        def split(word: np.ndarray, context: np.ndarray):
+            w, c = names.find(short(word)), names.find(short(context))
+            p = np.full(len(word), -1, np.int32)
+            both = np.flatnonzero((w >= 0) & (c >= 0))
+            p[both] = pairs.find(pair_key(word[both], context[both]))
+            return w, c, p
+
+        return split
 
 
-def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_000, span: int = 2_000_000) -> Frequent:
+def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_000, span: int = 1_000_000) -> Frequent:
     """From what is frequent in each task's texts."""
     schema = "kind int, word long, context long, n long"
 
@@ -205,7 +247,7 @@ def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_
     return Frequent(hot, keys, a[both][at], b[both][at])
 
 
-def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 2_000_000) -> DataFrame:
+def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 1_000_000) -> DataFrame:
     """doc_id, th, fold, text -> what goes to targets.
 
     kind 0: a batch's pairs, ascending: words, pairs of each, contexts, occurrences trained on and seen, documents of each
@@ -216,6 +258,8 @@ def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 2_000
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
+        split = freq.splitter()
+        lead, width = U((64 - parts.bit_length()) // 2), U(40)
         me = TaskContext.get().partitionId() << 32
         counts = np.zeros(len(freq.keys), np.int64)
         held: list[tuple] = []
@@ -225,7 +269,8 @@ def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 2_000
         def flush():
             nonlocal held, ids, count, base, k
             w, c, target, doc, train = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((c, w, target))
+            # equal pairs that this order leaves apart are brought together by their target
+            order = np.argsort(target.astype(U) << (lead + lead) | w >> (width - lead) << lead | c >> (width - lead))
             w, c, target, doc, train = w[order], c[order], target[order], doc[order], train[order]
             pair = heads(target, w, c)
             seen = np.diff(np.append(pair, len(w)))
@@ -256,7 +301,7 @@ def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 2_000
                     own = slice(off[j], off[j + m])
                     w, c, doc = tokens(buf[own], off[j : j + m + 1] - off[j])
                     train = (fold[i + j : i + j + m] != 2)[doc]
-                    hw, hc, pair = freq.split(w, c)
+                    hw, hc, pair = split(w, c)
                     counts += np.bincount(pair[train & (pair >= 0)], minlength=len(counts))
                     rest = pair < 0
                     w, c, hw, hc, doc, train = short(w[rest]), short(c[rest]), hw[rest], hc[rest], doc[rest], train[rest]
@@ -296,7 +341,7 @@ def gather(df: DataFrame, freq: Frequent, parts: int) -> DataFrame:
         c = np.concatenate([unpack40(h[3]) for h in held])
         train, seen = (np.concatenate([unpack(h[x]) for h in held]) for x in (4, 5))
         doc = np.concatenate([np.frombuffer(h[6], np.uint16) for h in held])
-        order = np.lexsort((c, w))
+        order = by_pair(w, c)
         first = np.cumsum(seen) - seen
         post = runs(first[order], seen[order])
         w, c, train = w[order], c[order], train[order]
@@ -679,10 +724,11 @@ def hot_sums(docs: DataFrame, freq: Frequent, logp: np.ndarray, logc: np.ndarray
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, logp, logc, known = shared.value
+        split = freq.splitter()
         for b in batches:
             for i, n, buf, off in text_chunks(b.column("text")):
                 word, context, doc = tokens(buf, off)
-                pair = freq.split(word, context)[2]
+                pair = split(word, context)[2]
                 own = pair >= 0
                 pair, at = pair[own], doc[own]
                 cols = [np.bincount(doc, minlength=n), *(np.bincount(at, weights=x[pair], minlength=n).astype(np.float64) for x in (logc, logp)), np.bincount(at, weights=known[pair], minlength=n).astype(np.int64)]

@@ -521,7 +521,6 @@ def test_lm_predictions_sum_to_one():
     words, contexts = 30, 4
     c = rng.poisson(1.5, (contexts, words))
     word, context = np.tile(np.arange(words), contexts), np.repeat(np.arange(contexts), words)
-    freq = lm_score.Frequent(np.arange(words, dtype=np.uint64), np.arange(c.size, dtype=np.uint64), word, context)
     customers = np.concatenate([c.sum(1), np.zeros(words - contexts)])
     model = lm_score.Model(words, int(c.sum()), 0.7, 0.5, c.sum(0) * 0.5, np.ones(words), customers, customers * 0.5, c.sum() * 0.5, float(words))
     p = model.root_probability(model.dish, model.dish_tables)
@@ -536,7 +535,18 @@ def test_lm_predictions_sum_to_one():
             own = context == u
             left = model.predict(0, 0, customers[u], model.tables[u], model.base())
             assert model.predict(c.ravel(), t, customers[context], model.tables[context], p[word])[own].sum() + left == pytest.approx(1)
-    assert len(freq.split(np.arange(3, dtype=np.uint64) << np.uint64(24), np.arange(3, dtype=np.uint64) << np.uint64(24))) == 3
+
+
+def test_lm_places_and_order():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 50, 5000):
+        table = np.unique(rng.integers(0, 1 << 40, n, dtype=np.uint64) >> np.uint64(6) << np.uint64(6))
+        x = np.concatenate([table, table + np.uint64(1), rng.integers(0, 1 << 40, 100, dtype=np.uint64)])
+        for lead in (4, 20):
+            assert lm_score.Places(table, 40, lead).find(x).tolist() == lm_score.find(table, x).tolist()
+    w, c = rng.integers(0, 40, 3000, dtype=np.uint64), rng.integers(0, 1 << 18, 3000, dtype=np.uint64)
+    order = lm_score.by_pair(w, c)
+    assert sorted(order) == list(range(3000)) and list(zip(w[order], c[order], strict=True)) == sorted(zip(w, c, strict=True))
 
 
 def test_lm_does_not_depend_on_what_is_frequent(spark, monkeypatch):
