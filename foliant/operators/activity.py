@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,21 +82,29 @@ def iso_now(ts: Column) -> Column:
 def throttle(events: DataFrame, key: str, ts: str, seconds: int = 600, tie: str | None = None) -> DataFrame:
     """Per key, the events at least so long after the last one that was kept.
 
-    Sequential per key, so a key's events are one group; only the columns of
-    ``events`` travel, so select what is needed first.
+    An event that follows a pause of that length is always kept, so a key's events
+    fall into sessions that don't depend on each other.  Sessions are dealt over
+    tasks and folded as sorted batches stream by: a task keeps one time, no group.
     """
     order = [ts, *([tie] if tie else [])]
-
-    def kept(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        last, keep = None, []
-        for t in rows[ts]:
-            ok = last is None or (t - last).total_seconds() >= seconds
-            keep.append(ok)
-            last = t if ok else last
-        return rows[keep]
-
-    return events.groupBy(key).applyInPandas(kept, events.schema)
+    w = Window.partitionBy(key).orderBy(*order)
+    start = F.lag(ts).over(w).isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp")) >= seconds * 1_000_000)
+    session = F.max(F.when(start, F.col(ts))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = events.withColumn("_session", session).repartition(F.col(key), F.col("_session")).sortWithinPartitions(key, "_session", *order)
+
+    columns = events.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = last = None
+        for rows in batches:
+            keep = []
+            for k, s, t in zip(rows[key], rows["_session"], rows[ts], strict=True):
+                ok = (k, s) != now or (t - last).total_seconds() >= seconds
+                now, last = (k, s), t if ok else last
+                keep.append(ok)
+            yield rows.loc[keep, columns]
+
+    return rows.mapInPandas(fold, events.schema)
 
 
 def changes(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

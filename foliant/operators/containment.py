@@ -6,40 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def contains_windows(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, text: str, size: int = 40, windows: int = 5, least: int = 120, most: int = 20_000) -> DataFrame:
+WORD = r"([\p{L}\p{N}]+)"
+INNER_WORD = r"(?<=[^\p{L}\p{N}])([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"
+
+
+def contains_windows(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, text: str, size: int = 40, windows: int = 5, least: int = 120) -> DataFrame:
     """item, doc: texts that hold one of the items' evenly spaced windows verbatim.
 
-    The windows of the items are a query set of bounded size (``most`` items a
-    block): they are broadcast and each text is searched once a block, which is a
-    scan of texts * windows and no shuffle.
+    A text that holds a window holds all words that stand whole inside it, so each
+    window is looked up by the rarest of them: an equi-join on words, then the
+    test.  Only windows without a whole word are searched in every text.
     """
-    i = items.where(F.length(text) >= least)
     step = F.floor((F.length(text) - size) / (windows - 1))
     wins = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring(F.col(text), (k * step + 1).cast("int"), size))
-    i = i.select(item_id, wins.alias("_w"))
-    blocks = max(1, -(-items.count() // most))
-    out = None
-    for b in range(blocks):
-        own = i if blocks == 1 else i.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b)
-        found = docs.select(doc_id, text).join(F.broadcast(own), F.exists("_w", lambda w: F.contains(F.col(text), w))).select(item_id, doc_id)
-        out = found if out is None else out.union(found)
-    return out.distinct()
+    win = items.where(F.length(text) >= least).select(item_id, F.explode(F.array_distinct(wins)).alias("_win"))
+    keyed = win.withColumn("_ws", F.array_distinct(F.regexp_extract_all("_win", F.lit(INNER_WORD))))
+    asked = keyed.select(F.explode("_ws").alias("_w")).distinct()
+    words = docs.select(doc_id, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD)))).alias("_w")).join(asked, "_w", "left_semi")
+    df = words.groupBy("_w").agg(F.count("*").alias("_df"))
+    rarest = keyed.select("_win", F.explode("_ws").alias("_w")).distinct().join(df, "_w").groupBy("_win").agg(F.min_by("_w", F.struct("_df", "_w")).alias("_w"))
+    found = rarest.join(words, "_w").join(docs.select(doc_id, text), doc_id).where(F.contains(text, "_win")).select("_win", doc_id)
+    rest = keyed.where(F.size("_ws") == 0).select("_win").distinct()
+    if not rest.isEmpty():  # windows of the items: a query set
+        found = found.union(docs.select(doc_id, text).join(rest, F.contains(text, "_win")).select("_win", doc_id))
+    return win.join(found, "_win").select(item_id, doc_id).distinct()
+
+
+def jaccard_classes(rows: DataFrame, id_: str, text: str, block: str, token: str = r"([a-z0-9]{3,})") -> DataFrame:
+    """id, class: rows of a block with equal token sets are a class, named by its least id.  Rows without tokens are left out."""
+    tk = rows.select(id_, block, F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(token)))).alias("tk")).where(F.size("tk") > 0)
+    tk = tk.select(id_, block, "tk", F.sha2(F.array_join("tk", " "), 256).alias("_h"))
+    first = tk.groupBy(block, "_h").agg(F.min(id_).alias("class"))
+    return tk.join(first, [block, "_h"]).select(id_, block, "class", "tk")
 
 
 def jaccard_pairs(rows: DataFrame, id_: str, text: str, block: str, threshold: float, token: str = r"([a-z0-9]{3,})") -> DataFrame:
-    """a, b: pairs within a block whose token sets have that Jaccard similarity.
+    """a, b: classes within a block (see ``jaccard_classes``) whose token sets have that Jaccard similarity.
 
     Prefix filter: tokens are ordered by their frequency, rare first; two sets so
-    similar share one of their first (1 - threshold) * size + 1 tokens.
+    similar share one of their first (1 - threshold) * size + 1 tokens, and their
+    sizes differ by that factor at most.  Only ids travel until a pair is a candidate.
     """
-    tk = rows.select(id_, block, F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(token))).alias("tk")).where(F.size("tk") > 0)
-    one = tk.select(id_, block, F.explode("tk").alias("k"))
+    sets = jaccard_classes(rows, id_, text, block, token).where(F.col(id_) == F.col("class")).select(F.col("class").alias("id"), block, "tk").distinct()
+    one = sets.select("id", block, F.size("tk").alias("n"), F.explode("tk").alias("k"))
     freq = one.groupBy("k").agg(F.count("*").alias("f"))
-    ranked = one.join(freq, "k").groupBy(id_, block).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "k"))), lambda x: x["k"]).alias("tk"))
-    n = F.size("tk")
-    prefix = F.slice("tk", 1, n - F.ceil(n * threshold).cast("int") + 1)
-    keyed = ranked.select(id_, block, "tk", F.explode(prefix).alias("k"))
-    a = keyed.select(block, "k", F.col(id_).alias("a"), F.col("tk").alias("ta"))
-    b = keyed.select(block, "k", F.col(id_).alias("b"), F.col("tk").alias("tb"))
+    ranked = one.join(freq, "k").groupBy("id", block, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "k"))), lambda x: x["k"]).alias("ks"))
+    prefix = F.slice("ks", 1, F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
+    keyed = ranked.select("id", block, "n", F.explode(prefix).alias("k"))
+    a = keyed.select(block, "k", F.col("id").alias("a"), F.col("n").alias("na"))
+    b = keyed.select(block, "k", F.col("id").alias("b"), F.col("n").alias("nb"))
+    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    pairs = a.join(b, [block, "k"]).where("a < b").where(near).select("a", "b").distinct()
+    ta, tb = sets.select(F.col("id").alias("a"), F.col("tk").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tk").alias("tb"))
     inter, union = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
-    return a.join(b, [block, "k"]).where("a < b").where(inter / union >= threshold).select("a", "b").distinct()
+    return pairs.join(ta, "a").join(tb, "b").where(inter / union >= threshold).select("a", "b")

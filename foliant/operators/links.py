@@ -91,14 +91,20 @@ def cite_tiers(parts: DataFrame, entries: DataFrame) -> DataFrame:
     """The entry of each (author, year): exact, then the year without its letter, then by prefix; the first entry of a tier wins.
 
     parts: part_id, author, year; entries: n, ord, keys array<string> of ``author|year``.
-    Every tier is an equi-join: prefixes are compared within an author only.
+    Every tier is an equi-join with the first entry of each key, so an author with
+    many entries adds no more rows than one with few.
     """
-    e = entries.select("n", "ord", F.explode("keys").alias("key")).select("n", "ord", "key", F.substring_index("key", "|", 1).alias("author"), F.substring_index("key", "|", -1).alias("ey"))
+    e = entries.select("n", "ord", F.explode("keys").alias("key")).select("n", "ord", F.substring_index("key", "|", 1).alias("author"), F.substring_index("key", "|", -1).alias("year"))
+    first = lambda df, *by: df.groupBy(*by).agg(F.min(F.struct("ord", "n")).alias("_e"))
+    exact = first(e, "author", "year")
+    # an entry's year begins with a year without letter if it is that year and a letter, or that very year
+    prefix = first(e.select("n", "ord", "author", F.explode(F.array_distinct(F.array("year", sub(F.col("year"), "[a-z]$")))).alias("base")), "author", "base")
     p = parts.withColumn("base", sub(F.col("year"), "[a-z]$"))
-    both = p.join(e, "author")
-    tier = F.when(F.col("ey") == F.col("year"), 1).when(F.col("ey") == F.col("base"), 2).when(F.col("ey").startswith(F.col("base")), 3)
-    hits = both.withColumn("tier", tier).where("tier is not null")
-    return first_wins(hits, ["part_id"], "tier", "ord").select("part_id", "n", "tier")
+    hits = p.join(exact.withColumnRenamed("_e", "_1"), ["author", "year"], "left")
+    hits = hits.join(exact.select("author", F.col("year").alias("base"), F.col("_e").alias("_2")), ["author", "base"], "left")
+    hits = hits.join(prefix.withColumnRenamed("_e", "_3"), ["author", "base"], "left")
+    tier = F.when(F.col("_1").isNotNull(), 1).when(F.col("_2").isNotNull(), 2).when(F.col("_3").isNotNull(), 3)
+    return hits.select("part_id", F.coalesce("_1.n", "_2.n", "_3.n").alias("n"), tier.alias("tier")).where("tier is not null")
 
 
 def wiki_anchor(entries: Column) -> Column:

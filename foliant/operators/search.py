@@ -131,6 +131,12 @@ def grouped(rows: DataFrame, domain: str, order: list[Column], fields: list[str]
     return rows.groupBy(*key).agg(items.alias("members")).orderBy("major", "sub")
 
 
+def group_sizes(rows: DataFrame, domain: str, first: str) -> DataFrame:
+    """major, sub, n, first: the size and the first member of each domain, without its members."""
+    key = [major(domain).alias("major"), F.get(F.split(text(domain), "/"), F.lit(1)).alias("sub")]
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+
+
 def filter_blocks(texts: DataFrame, query: str, column: str = "text", pattern: str = r"(?m)(?=^#{1,6}\s)|\n{2,}") -> DataFrame:
     """texts with blocks (joined) and hits: the blocks that contain the query."""
     blocks = F.filter(F.transform(F.split(text(column), pattern), lambda s: F.trim(s)), lambda b: (b != "") & F.contains(F.lower(b), F.lit(query.strip().lower())))

@@ -135,7 +135,7 @@ def dangling_links(spark, d):
 @query(
     "cite_tiers",
     """with e as (select o_orderkey as n, o_orderkey as ord, cast(o_custkey as varchar) as author, cast(year(o_orderdate) as varchar) || case when o_orderkey % 3 = 0 then 'a' else '' end as ey from orders),
-p as (select o_orderkey as part_id, cast(o_custkey as varchar) as author, cast(year(o_orderdate) as varchar) || case when o_orderkey % 2 = 0 then 'a' else '' end as year from orders where o_orderkey % 10 = 0),
+p as (select o_orderkey as part_id, cast(o_custkey as varchar) as author, cast(year(o_orderdate) as varchar) || case when o_orderkey % 2 = 0 then 'a' else '' end as year from orders),
 x as (select part_id, n, ord, case when ey = year then 1 when ey = regexp_replace(year, '[a-z]$', '') then 2 when starts_with(ey, regexp_replace(year, '[a-z]$', '')) then 3 end as tier from p join e using (author))
 select part_id, arg_min(n, (tier, ord)) as n, cast(min(tier) as int) as tier from x where tier is not null group by part_id""",
 )
@@ -144,7 +144,7 @@ def cite_tiers(spark, d):
     author, year, key = F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string"), F.col("o_orderkey")
     letter = lambda k: F.when(key % k == 0, "a").otherwise("")
     entries = o.select(key.alias("n"), key.alias("ord"), F.array(F.concat(author, F.lit("|"), year, letter(3))).alias("keys"))
-    parts = o.where(key % 10 == 0).select(key.alias("part_id"), author.alias("author"), F.concat(year, letter(2)).alias("year"))
+    parts = o.select(key.alias("part_id"), author.alias("author"), F.concat(year, letter(2)).alias("year"))
     return links.cite_tiers(parts, entries)
 
 
@@ -297,15 +297,17 @@ def anchor_contains(spark, d):
 
 @query(
     "jaccard_title",
-    r"""with x as (select doc_id, source, substr(text, 1, 60) as title, list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9]{3,}')) as tk from documents),
-p as (select distinct a.doc_id as a, b.doc_id as b, a.tk as ta, b.tk as tb from (select *, unnest(tk) as k from x) a join (select *, unnest(tk) as k from x) b on a.k = b.k and a.source = b.source and a.doc_id < b.doc_id)
-select a, b from p where len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) >= 0.75""",
+    r"""with x as (select doc_id, source, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) as tk from documents),
+c as (select source, tk, min(doc_id) as id from x where len(tk) > 0 group by 1, 2),
+p as (select a.id as a, b.id as b, a.tk as ta, b.tk as tb from c a join c b on a.source = b.source and a.id < b.id and least(len(a.tk), len(b.tk)) >= 0.75 * greatest(len(a.tk), len(b.tk)))
+select a, b, n as n_b from (select a, b from p where len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) >= 0.75) join (select c.id as b, count(*) as n from c join x on x.source = c.source and x.tk = c.tk group by 1) using (b)""",
 )
 def jaccard_title(spark, d):
-    from foliant.operators.containment import jaccard_pairs
+    from foliant.operators.containment import jaccard_classes, jaccard_pairs
 
-    docs = t(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("title"))
-    return jaccard_pairs(docs, "doc_id", "title", "source", 0.75)
+    docs = t(spark, d, "documents").select("doc_id", "source", "text")
+    sizes = jaccard_classes(docs, "doc_id", "text", "source").groupBy(F.col("class").alias("b")).agg(F.count("*").alias("n_b"))
+    return jaccard_pairs(docs, "doc_id", "text", "source", 0.75).join(sizes, "b").select("a", "b", "n_b")
 
 
 @query(
@@ -369,9 +371,9 @@ def vocab_import(spark, d):
     return w.distinct().groupBy("word").agg(F.count("*").alias("examples"))
 
 
-@query("keyword_chips", r"select doc_id, list_filter(list_transform(regexp_split_to_array(substr(text, 1, 200), '[；;,，]'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '[.。]+$', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '') as chips from documents")
+@query("keyword_chips", r"select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[；;,，]'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '[.。]+$', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '') as chips from documents")
 def keyword_chips(spark, d):
-    return t(spark, d, "documents").select("doc_id", fx.chips(F.substring("text", 1, 200)).alias("chips"))
+    return t(spark, d, "documents").select("doc_id", fx.chips("text").alias("chips"))
 
 
 @query("share_valid", "select o_orderkey from orders where not (o_orderstatus = 'F') and (o_orderkey % 5 = 0 or strftime(o_orderdate, '%Y-%m-%d') >= '1996-01-01')")
@@ -444,6 +446,7 @@ def set_operations(spark, d):
     return a.union(b).distinct()
 
 
-@query("natural_order", "select p_partkey, p_brand from part order by cast(regexp_extract(p_brand, '(\\d+)', 1) as int), p_partkey limit 120")
+@query("natural_order", "select p_partkey, p_brand, ascii(substr(p_brand, 1, 1)) as prefix, [cast(regexp_extract(p_brand, '(\\d+)', 1) as int)] as numbers from part")
 def natural_order(spark, d):
-    return t(spark, d, "part").orderBy(fx.natural_key("p_brand"), "p_partkey").limit(120).select("p_partkey", "p_brand")
+    key = fx.natural_key("p_brand")
+    return t(spark, d, "part").orderBy(key, "p_partkey").select("p_partkey", "p_brand", key["prefix"].alias("prefix"), key["numbers"].alias("numbers"))

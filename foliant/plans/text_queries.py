@@ -129,8 +129,7 @@ def changed_content(spark, d):
 
 @query("grouped_members", "select p_brand as major, '' as sub, count(*) as n, min(p_partkey) as first from part group by 1")
 def grouped_members(spark, d):
-    g = search.grouped(t(spark, d, "part"), "p_brand", [F.col("p_partkey").alias("o")], ["p_name"])
-    return g.select("major", F.coalesce("sub", F.lit("")).alias("sub"), F.size("members").cast("long").alias("n"), F.get("members", F.lit(0))["o"].alias("first"))
+    return search.group_sizes(t(spark, d, "part"), "p_brand", "p_partkey").select("major", F.coalesce("sub", F.lit("")).alias("sub"), "n", "first")
 
 
 @query("asset_urls", "select page_id, regexp_replace(url, '^([a-z]+://[^/]*).*$', '\\1') || '/a%20b/c%C3%A9' as u from pages")
