@@ -191,25 +191,34 @@ class Frequent:
         return split
 
 
-def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_000, span: int = 1_000_000) -> Frequent:
-    """From what is frequent in each task's texts."""
-    schema = "kind int, word long, context long, n long"
+def counted(word: np.ndarray, context: np.ndarray, n: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs added up, the most frequent ``best`` of them."""
+    order = np.lexsort((context, word))
+    word, context = word[order], context[order]
+    at = heads(word, context)
+    n = np.add.reduceat(n[order], at) if len(at) else n
+    word, context = word[at], context[at]
+    if len(n) > best:
+        keep = np.argsort(-n, kind="stable")[:best]
+        word, context, n = word[keep], context[keep], n[keep]
+    return word, context, n
+
+
+def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_000, span: int = 1_000_000, slots: int = 16) -> Frequent:
+    """From what is frequent in each task's texts, added up by hash."""
+    schema = "kind int, slot int, words binary, contexts binary, counts binary"
+    most = {1: HOT_WORDS, 2: HOT_PAIRS}
+
+    def row(kind, slot, found):
+        return rows(schema, [(kind, slot, *(x.tobytes() for x in found))])
+
+    def held_in(r):
+        return tuple(np.frombuffer(r[k], t) for k, t in (("words", U), ("contexts", U), ("counts", np.int64)))
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         found: dict[int, list] = {1: [], 2: []}
 
-        def count(w, c, n, best):
-            order = np.lexsort((c, w))
-            w, c = w[order], c[order]
-            at = heads(w, c)
-            n = np.add.reduceat(n[order], at) if len(at) else n
-            w, c = w[at], c[at]
-            if best and len(n) > best:
-                keep = np.argsort(-n, kind="stable")[:best]
-                w, c, n = w[keep], c[keep], n[keep]
-            return w, c, n
-
         def settle():
             w, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
@@ -234,20 +243,36 @@ def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_
             settle()
         for kind, best in ((1, words_each), (2, pairs_each)):
             if found[kind]:
-                w, c, n = count(*(np.concatenate(x) for x in zip(*found[kind], strict=True)), best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind), pa.int32()), pa.array(w.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n)], names=["kind", "word", "context", "n"])
+                w, c, n = counted(*(np.concatenate(x) for x in zip(*found[kind], strict=True)), best)
+                slot = (pair_key(w, c) % U(slots)).astype(int)
+                for k in range(slots):
+                    yield row(kind, k, (w[slot == k], c[slot == k], n[slot == k]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got = None, []
+        total = lambda: row(*now, counted(*(np.concatenate(x) for x in zip(*got, strict=True)), most[now[0]] // slots * 5 // 4))
+        for b in batches:
+            for r in b.to_pylist():
+                if got and (r["kind"], r["slot"]) != now:
+                    yield total()
+                    got.clear()
+                now = r["kind"], r["slot"]
+                got.append(held_in(r))
+        if got:
+            yield total()
 
-    found = written(train.select("text").mapInArrow(top, schema).groupBy("kind", "word", "context").agg(F.sum("n").alias("n")), "lm-frequent")
-    own = [found.where(f"kind = {k}").orderBy(F.desc("n"), "word", "context").limit(m).select("word", "context").toArrow() for k, m in ((1, HOT_WORDS), (2, HOT_PAIRS))]
-    hot = np.unique(short(np.concatenate([own[0]["word"].to_numpy().view(U), np.array([START, END], U)])))
-    w, c = (own[1][x].to_numpy().view(U) for x in ("word", "context"))
+    found = train.select("text").mapInArrow(top, schema).repartition(slots, "kind", "slot").sortWithinPartitions("kind", "slot").mapInArrow(add, schema).collect()
+    none = (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
+    own = {k: counted(*(np.concatenate(x) for x in zip(none, *(held_in(r) for r in found if r["kind"] == k), strict=True)), most[k]) for k in (1, 2)}
+    hot = np.unique(short(np.concatenate([own[1][0], np.array([START, END], U)])))
+    w, c, _ = own[2]
     a, b = find(hot, short(w)), find(hot, short(c))
     both = (a >= 0) & (b >= 0)
     keys, at = np.unique(pair_key(w[both], c[both]), return_index=True)
-    return Frequent(hot, keys, a[both][at], b[both][at])
+    return Frequent(hot, keys, a[both][at].astype(np.int16), b[both][at].astype(np.int16))
 
 
-def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 1_000_000) -> DataFrame:
+def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 500_000) -> DataFrame:
     """doc_id, th, fold, text -> what goes to targets.
 
     kind 0: a batch's pairs, ascending: words, pairs of each, contexts, occurrences trained on and seen, documents of each
@@ -759,7 +784,7 @@ def count_stats(parts: DataFrame, k: int) -> np.ndarray:
     return added(own.mapInArrow(one, "x binary"), "x") + np.zeros(2 * k + 4)
 
 
-def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 2_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 1_500_000) -> DataFrame:
     """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), id_crc(F.col("doc_id"), 7).alias("fold"), "text")
     freq = frequent(keyed.where("fold <> 2"))
