@@ -58,23 +58,43 @@ START, END = (int(x) for x in mix(np.array([1, 2], U)))
 _P, _Q = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
-BLOCK_COLS = "kind target batch words pairs contexts train seen docs".split()
+BLOCK_COLS = "kind target batch words pairs contexts seen docs".split()
 BLOCK_SCHEMA = "kind int, target int, batch long, " + ", ".join(f"{c} binary" for c in BLOCK_COLS[3:])
-PART_COLS = "kind target batch word_hot word_count pair_word pair_context pair_count context_hot homes names context_count context_single seen post_batch post_doc batches".split()
+PART_COLS = "kind target batch word_hot word_count word_pairs pair_context pair_count context_hot homes names context_count context_single seen post_batch post_doc batches".split()
 PART_SCHEMA = "kind int, target int, batch long, " + ", ".join(f"{c} binary" for c in PART_COLS[3:])
 
 
 def pack(x: np.ndarray) -> bytes:
     """Unsigned numbers in the least width that holds them all."""
     top = int(x.max()) if len(x) else 0
+    if 1 << 16 <= top < 1 << 24:
+        return b"\x04" + x.astype(np.uint16).tobytes() + (x.astype(np.uint32) >> 16).astype(np.uint8).tobytes()
     k = 0 if top < 1 << 8 else 1 if top < 1 << 16 else 2 if top < 1 << 32 else 3
     return bytes([k]) + x.astype(KINDS[k]).tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
+    if b[0] == 4:
+        n = (len(b) - 1) // 3
+        return np.frombuffer(b, np.uint16, n, 1).astype(np.int64) | np.frombuffer(b, np.uint8, n, 1 + 2 * n).astype(np.int64) << 16
     return np.frombuffer(b, KINDS[b[0]], offset=1).astype(np.int64)
 
 
+def pack_ones(x: np.ndarray) -> bytes:
+    """Numbers that are mostly 1: a bit each, and the others."""
+    other = x != 1
+    return len(x).to_bytes(4, "little") + np.packbits(other).tobytes() + pack(x[other])
+
+
+def unpack_ones(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    m = -(-n // 8)
+    other = np.unpackbits(np.frombuffer(b, np.uint8, m, 4), count=n).astype(bool)
+    out = np.ones(n, np.int64)
+    out[other] = unpack(b[4 + m :])
+    return out
+
+
 def pack40(x: np.ndarray) -> bytes:
     return x.astype(np.uint32).tobytes() + (x >> U(32)).astype(np.uint8).tobytes()
 
@@ -272,12 +292,12 @@ def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_
     return Frequent(hot, keys, a[both][at].astype(np.int16), b[both][at].astype(np.int16))
 
 
-def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 500_000) -> DataFrame:
+def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 1_000_000) -> DataFrame:
     """doc_id, th, fold, text -> what goes to targets.
 
-    kind 0: a batch's pairs, ascending: words, pairs of each, contexts, occurrences trained on and seen, documents of each
+    kind 0: a batch's pairs: words, pairs of each, contexts, occurrences of each, their documents (the first bit: trained on)
     kind 1: a batch's documents: words = doc_id, contexts = text hash, docs = whether doc_id is there
-    kind 2: trained-on counts of a block of frequent pairs (pairs = place in it, train = count)
+    kind 2: trained-on counts of a block of frequent pairs (pairs = place in it, contexts = count)
     """
     shared = docs.sparkSession.sparkContext.broadcast(freq)
 
@@ -293,13 +313,12 @@ def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 500_0
 
         def flush():
             nonlocal held, ids, count, base, k
-            w, c, target, doc, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            w, c, target, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             # equal pairs that this order leaves apart are brought together by their target
             order = np.argsort(target.astype(U) << (lead + lead) | w >> (width - lead) << lead | c >> (width - lead))
-            w, c, target, doc, train = w[order], c[order], target[order], doc[order], train[order]
+            w, c, target, doc = w[order], c[order], target[order], doc[order]
             pair = heads(target, w, c)
             seen = np.diff(np.append(pair, len(w)))
-            trained = np.add.reduceat(train, pair) if len(pair) else seen
             word = heads(target[pair], w[pair])
             n = np.diff(np.append(word, len(pair)))
             edge = np.append(pair, len(w))
@@ -308,9 +327,9 @@ def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 500_0
             for t in np.unique(owner):
                 x, y = np.searchsorted(owner, [t, t + 1])
                 p, q = word[x], word[y] if y < len(word) else len(pair)
-                out.append((0, int(t), me + k, pack40(w[pair[word[x:y]]]), pack(n[x:y]), pack40(c[pair[p:q]]), pack(trained[p:q]), pack(seen[p:q]), doc[edge[p] : edge[q]].tobytes()))
+                out.append((0, int(t), me + k, pack40(w[pair[word[x:y]]]), pack(n[x:y]), pack40(c[pair[p:q]]), pack_ones(seen[p:q]), doc[edge[p] : edge[q]].tobytes()))
             d, th, ok = (np.concatenate(x) for x in zip(*ids, strict=True))
-            out.append((1, (me + k) * 2654435761 % parts, me + k, d.tobytes(), b"", th.tobytes(), b"", b"", ok.tobytes()))
+            out.append((1, (me + k) * 2654435761 % parts, me + k, d.tobytes(), b"", th.tobytes(), b"", ok.tobytes()))
             held, ids, count, base, k = [], [], 0, 0, k + 1
             return rows(BLOCK_SCHEMA, out)
 
@@ -319,9 +338,9 @@ def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 500_0
             ok = np.asarray(key.is_valid())
             d, th = np.asarray(key.fill_null(0)), np.asarray(b.column("th"))
             for i, n, buf, off in text_chunks(b.column("text")):
-                for j in range(0, n, 1 << 14):  # documents of a batch are numbered in 16 bits
+                for j in range(0, n, 1 << 14):  # documents of a batch are numbered in 15 bits
                     m = min(1 << 14, n - j)
-                    if base + m > 1 << 16:
+                    if base + m > 1 << 15:
                         yield flush()
                     own = slice(off[j], off[j + m])
                     w, c, doc = tokens(buf[own], off[j : j + m + 1] - off[j])
@@ -331,7 +350,7 @@ def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 500_0
                     rest = pair < 0
                     w, c, hw, hc, doc, train = short(w[rest]), short(c[rest]), hw[rest], hc[rest], doc[rest], train[rest]
                     owner = np.where(hw < 0, w, np.where(hc < 0, c, short(pair_key(w, c))))
-                    held.append((w, c, (owner * U(parts) >> U(40)).astype(np.int32), (doc + base).astype(np.uint16), train.astype(np.uint32)))
+                    held.append((w, c, (owner * U(parts) >> U(40)).astype(np.int32), (doc + base).astype(np.uint16) | train.astype(np.uint16) << 15))
                     ids.append((d[i + j : i + j + m], th[i + j : i + j + m], ok[i + j : i + j + m]))
                     count += len(w)
                     base += m
@@ -344,7 +363,7 @@ def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 500_0
             x = counts[t : t + FREQ_BLOCK]
             own = np.flatnonzero(x)
             if len(own):
-                out.append((2, t // FREQ_BLOCK % parts, t, b"", pack(own), b"", pack(x[own]), b"", b""))
+                out.append((2, t // FREQ_BLOCK % parts, t, b"", pack(own), pack(x[own]), b"", b""))
         if out:
             yield rows(BLOCK_SCHEMA, out)
 
@@ -364,15 +383,16 @@ def gather(df: DataFrame, freq: Frequent, parts: int) -> DataFrame:
         n = [unpack(h[2]) for h in held]
         w = np.concatenate([np.repeat(unpack40(h[1]), k) for h, k in zip(held, n, strict=True)])
         c = np.concatenate([unpack40(h[3]) for h in held])
-        train, seen = (np.concatenate([unpack(h[x]) for h in held]) for x in (4, 5))
-        doc = np.concatenate([np.frombuffer(h[6], np.uint16) for h in held])
+        each = [unpack_ones(h[4]) for h in held]
+        block = np.repeat(np.arange(len(held)), [int(x.sum()) for x in each])
+        seen = np.concatenate(each)
+        doc = np.concatenate([np.frombuffer(h[5], np.uint16) for h in held])
         order = by_pair(w, c)
-        first = np.cumsum(seen) - seen
-        post = runs(first[order], seen[order])
-        w, c, train = w[order], c[order], train[order]
+        post = runs((np.cumsum(seen) - seen)[order], seen[order])
+        w, c, block, doc = w[order], c[order], block[post], doc[post]
         at = heads(w, c)
-        count = np.add.reduceat(train, at)
         occurs = np.add.reduceat(seen[order], at)
+        count = np.add.reduceat((doc >> 15).astype(np.int64), np.cumsum(occurs) - occurs)
         w, c = w[at], c[at]
         names, pair_word = np.unique(w, return_inverse=True)
         # contexts: frequent ones, then by home, those with pairs to seat first
@@ -389,7 +409,7 @@ def gather(df: DataFrame, freq: Frequent, parts: int) -> DataFrame:
         ids, begin, total = np.unique(home[cold:], return_index=True, return_counts=True)
         active = np.add.reduceat(live[cold:], begin) if len(begin) else begin
         customers, single = (np.bincount(pc, weights=x, minlength=len(contexts)).astype(np.int64)[cold:] for x in (count, count == 1))
-        return (0, target, 0, pack(find(shared.value, names) + 1), pack(np.bincount(pair_word, weights=count, minlength=len(names)).astype(np.int64)), pack(pair_word), pack(pc), pack(count), pack(hot[:cold]), np.stack([ids, active, total]).astype(np.int64).tobytes(), pack40(contexts[cold:]), pack(customers), pack(single), pack(occurs), pack(np.repeat(np.arange(len(held)), np.array([int(unpack(h[5]).sum()) for h in held]))[post]), doc[post].tobytes(), np.array([h[0] for h in held], np.int64).tobytes())
+        return (0, target, 0, pack(find(shared.value, names) + 1), pack(np.bincount(pair_word, weights=count, minlength=len(names)).astype(np.int64)), pack(np.bincount(pair_word, minlength=len(names))), pack(pc), pack_ones(count), pack(hot[:cold]), np.stack([ids, active, total]).astype(np.int64).tobytes(), pack40(contexts[cold:]), pack(customers), pack(single), pack_ones(occurs), pack(block), doc.tobytes(), np.array([h[0] for h in held], np.int64).tobytes())
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come by target; one target's blocks are held at a time
@@ -408,9 +428,9 @@ def gather(df: DataFrame, freq: Frequent, parts: int) -> DataFrame:
                 if kind == 0:
                     held.append((own, *data))
                 elif kind == 1:
-                    yield other(1, target, own, data[0], data[2], data[5])
+                    yield other(1, target, own, data[0], data[2], data[4])
                 else:
-                    added.setdefault(own, np.zeros(FREQ_BLOCK, np.int64))[unpack(data[1])] += unpack(data[3])
+                    added.setdefault(own, np.zeros(FREQ_BLOCK, np.int64))[unpack(data[1])] += unpack(data[2])
         if held:
             yield rows(PART_SCHEMA, [part(now, held)])
         for own, x in added.items():
@@ -491,7 +511,8 @@ class Part:
 
     @classmethod
     def of(cls, r: dict) -> Part:
-        return cls(unpack(r["word_hot"]) - 1, unpack(r["word_count"]), unpack(r["pair_word"]), unpack(r["pair_context"]), unpack(r["pair_count"]), unpack(r["context_hot"]), np.frombuffer(r["homes"], np.int64).reshape(3, -1))
+        pairs = unpack(r["word_pairs"])
+        return cls(unpack(r["word_hot"]) - 1, unpack(r["word_count"]), np.repeat(np.arange(len(pairs)), pairs), unpack(r["pair_context"]), unpack_ones(r["pair_count"]), unpack(r["context_hot"]), np.frombuffer(r["homes"], np.int64).reshape(3, -1))
 
     def starts(self) -> np.ndarray:
         """First context of each home."""
@@ -510,7 +531,7 @@ class Part:
 def beside(left: DataFrame, right: DataFrame, key: str, *cols: str) -> DataFrame:
     """left with an array ``got`` of the rows of right that have its key."""
     got = right.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct(*cols)).alias("got"))
-    return left.join(got, left[key] == got["_key"], "left").drop("_key")
+    return left.join(got.hint("shuffle_hash"), left[key] == got["_key"], "left").drop("_key")  # the large rows of left stream by
 
 
 def homes(parts: DataFrame, n: int) -> DataFrame:
@@ -618,7 +639,7 @@ def sweep(parts: DataFrame, replies: DataFrame, model: Model, seed: int) -> Data
                 yield rows(SWEEP_SCHEMA, out)
         yield rows(SWEEP_SCHEMA, [(2, None, None, seed, sums.tobytes(), None)])
 
-    own = parts.where("kind = 0").select("target", "word_hot", "word_count", "pair_word", "pair_context", "pair_count", "context_hot", "homes")
+    own = parts.where("kind = 0").select("target", "word_hot", "word_count", "word_pairs", "pair_context", "pair_count", "context_hot", "homes")
     return written(beside(own, replies, "target", "home", "totals").mapInArrow(one, SWEEP_SCHEMA), "lm-sweep")
 
 
@@ -699,8 +720,8 @@ def part_sums(parts: DataFrame, drawn: DataFrame, replies: DataFrame, models: li
                 logp = np.log10(prob / len(models))
                 wc = p.word_count.copy()
                 wc[~cold] = word_counts[p.hot[~cold]]
-                occurs = unpack(r["seen"])
-                doc = unpack(r["post_batch"]) << 16 | np.frombuffer(r["post_doc"], np.uint16)
+                occurs = unpack_ones(r["seen"])
+                doc = unpack(r["post_batch"]) << 16 | np.frombuffer(r["post_doc"], np.uint16) & 0x7FFF
                 order = np.argsort(doc, kind="stable")
                 doc = doc[order]
                 pair = np.repeat(np.arange(len(occurs)), occurs)[order]
@@ -709,11 +730,11 @@ def part_sums(parts: DataFrame, drawn: DataFrame, replies: DataFrame, models: li
                 doc = doc[at]
                 owner = np.frombuffer(r["batches"], np.int64)
                 edge = np.searchsorted(doc >> 16, np.arange(len(owner) + 1))
-                yield rows(schema, [(int(own), 0, pack(doc[x:y] & 0xFFFF), sums[0][x:y].tobytes(), sums[1][x:y].astype(np.float32).tobytes(), pack(sums[2][x:y])) for own, x, y in zip(owner, edge[:-1], edge[1:], strict=True)])
+                yield rows(schema, [(int(own), 0, pack(doc[x:y] & 0xFFFF), sums[0][x:y].astype(np.float32).tobytes(), sums[1][x:y].astype(np.float32).tobytes(), pack(sums[2][x:y])) for own, x, y in zip(owner, edge[:-1], edge[1:], strict=True)])
 
-    own = parts.where("kind = 0").select("target", "word_hot", "word_count", "pair_word", "pair_context", "pair_count", "context_hot", "homes", "seen", "post_batch", "post_doc", "batches")
+    own = parts.where("kind = 0").select("target", "word_hot", "word_count", "word_pairs", "pair_context", "pair_count", "context_hot", "homes", "seen", "post_batch", "post_doc", "batches")
     full = beside(beside(own, drawn.where("kind = 0"), "target", "sample", "a", "b").withColumnRenamed("got", "samples"), replies, "target", "home", "customers", "totals")
-    manifest = parts.where("kind = 1").select("batch", "kind", F.col("word_hot").alias("docs"), F.col("word_count").alias("base"), F.col("pair_word").alias("score"), F.lit(b"").alias("known"))
+    manifest = parts.where("kind = 1").select("batch", "kind", F.col("word_hot").alias("docs"), F.col("word_count").alias("base"), F.col("word_pairs").alias("score"), F.lit(b"").alias("known"))
     return full.mapInArrow(one, schema).unionByName(manifest)
 
 
@@ -733,7 +754,7 @@ def add_sums(sums: DataFrame) -> DataFrame:
                 x = acc.get(k, np.zeros((3, 0)))
                 if x.shape[1] <= d[-1]:
                     x = np.concatenate([x, np.zeros((3, int(d[-1]) + 1 - x.shape[1]))], axis=1)
-                x[:, d] += (np.frombuffer(r["base"]), np.frombuffer(r["score"], np.float32), unpack(r["known"]))
+                x[:, d] += (np.frombuffer(r["base"], np.float32), np.frombuffer(r["score"], np.float32), unpack(r["known"]))
                 acc[k] = x
         for k, (d, th, ok) in ids.items():
             x = acc.get(k, np.zeros((3, 0)))
@@ -780,11 +801,11 @@ def count_stats(parts: DataFrame, k: int) -> np.ndarray:
                 x = np.concatenate([np.bincount(p.hot[~cold], weights=p.word_count[~cold], minlength=k), np.bincount(p.context_hot, weights=by, minlength=k), [(p.word_count[cold] > 0).sum(), p.word_count[cold].sum(), (p.count == 1).sum(), (p.count == 2).sum()]])
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["x"])
 
-    own = parts.where("kind = 0").select("word_hot", "word_count", "pair_word", "pair_context", "pair_count", "context_hot", "homes")
+    own = parts.where("kind = 0").select("word_hot", "word_count", "word_pairs", "pair_context", "pair_count", "context_hot", "homes")
     return added(own.mapInArrow(one, "x binary"), "x") + np.zeros(2 * k + 4)
 
 
-def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 1_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 2_500_000) -> DataFrame:
     """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), id_crc(F.col("doc_id"), 7).alias("fold"), "text")
     freq = frequent(keyed.where("fold <> 2"))
