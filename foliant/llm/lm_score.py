@@ -655,7 +655,7 @@ def added(df: DataFrame, col: str) -> np.ndarray | float:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
-    return sum((np.frombuffer(r["x"]) for r in df.select(col).coalesce(8).mapInArrow(one, "x binary").collect()), 0.0)
+    return sum((np.frombuffer(r["x"]) for r in df.select(col).repartition(8).mapInArrow(one, "x binary").collect()), 0.0)
 
 
 def after(model: Model, swept: DataFrame, freq: Frequent, counts: np.ndarray, seed: int) -> tuple[Model, np.ndarray]:
@@ -805,7 +805,7 @@ def count_stats(parts: DataFrame, k: int) -> np.ndarray:
     return added(own.mapInArrow(one, "x binary"), "x") + np.zeros(2 * k + 4)
 
 
-def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 2_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 1_600_000) -> DataFrame:
     """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), id_crc(F.col("doc_id"), 7).alias("fold"), "text")
     freq = frequent(keyed.where("fold <> 2"))
