@@ -292,7 +292,7 @@ def frequent(train: DataFrame, words_each: int = 1 << 15, pairs_each: int = 100_
     return Frequent(hot, keys, a[both][at].astype(np.int16), b[both][at].astype(np.int16))
 
 
-def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 1_000_000) -> DataFrame:
+def blocks(docs: DataFrame, freq: Frequent, parts: int, batch_pairs: int = 700_000) -> DataFrame:
     """doc_id, th, fold, text -> what goes to targets.
 
     kind 0: a batch's pairs: words, pairs of each, contexts, occurrences of each, their documents (the first bit: trained on)
@@ -609,7 +609,7 @@ def sweep(parts: DataFrame, replies: DataFrame, model: Model, seed: int) -> Data
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(model.customers)
-        sums = np.zeros(2 * k + 2)
+        sums, any_ = np.zeros(2 * k + 2), False
         for b in batches:
             for r in b.to_pylist():
                 p = Part.of(r)
@@ -634,10 +634,12 @@ def sweep(parts: DataFrame, replies: DataFrame, model: Model, seed: int) -> Data
                 sums[:k] += np.bincount(p.hot[~cold], weights=tw[~cold], minlength=k)
                 sums[k : 2 * k] += np.bincount(p.context_hot, weights=tu[:first], minlength=k)
                 sums[-2:] += tw[cold].sum(), s[cold].sum()
+                any_ = True
                 out = [(0, r["target"], None, seed, pack(t.astype(np.int64)), pack(s.astype(np.int64)))]
                 out += [(1, r["target"], int(h), seed, pack(tu[x : x + a].astype(np.int64)), None) for h, a, x in zip(*p.homes[:2], p.starts(), strict=True) if a]
                 yield rows(SWEEP_SCHEMA, out)
-        yield rows(SWEEP_SCHEMA, [(2, None, None, seed, sums.tobytes(), None)])
+        if any_:
+            yield rows(SWEEP_SCHEMA, [(2, None, None, seed, sums.tobytes(), None)])
 
     own = parts.where("kind = 0").select("target", "word_hot", "word_count", "word_pairs", "pair_context", "pair_count", "context_hot", "homes")
     return written(beside(own, replies, "target", "home", "totals").mapInArrow(one, SWEEP_SCHEMA), "lm-sweep")
@@ -766,7 +768,7 @@ def add_sums(sums: DataFrame) -> DataFrame:
 
 def hot_sums(docs: DataFrame, freq: Frequent, logp: np.ndarray, logc: np.ndarray, known: np.ndarray) -> DataFrame:
     """doc_id, th, fold, n_tokens and the frequent pairs' sums of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((freq, logp, logc[freq.word], known[freq.word]))
+    shared = docs.sparkSession.sparkContext.broadcast((freq, logp, logc[freq.word], known[freq.word].astype(np.uint8)))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, logp, logc, known = shared.value
@@ -805,7 +807,7 @@ def count_stats(parts: DataFrame, k: int) -> np.ndarray:
     return added(own.mapInArrow(one, "x binary"), "x") + np.zeros(2 * k + 4)
 
 
-def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 1_600_000) -> DataFrame:
+def score_documents(docs: DataFrame, sweeps: int = 1, samples: int = 3, tokens_each: int = 1_200_000) -> DataFrame:
     """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), id_crc(F.col("doc_id"), 7).alias("fold"), "text")
     freq = frequent(keyed.where("fold <> 2"))
