@@ -108,6 +108,7 @@ def throttle(events: DataFrame, key: str, ts: str, seconds: int = 600, tie: str
 
 
 def changes(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """The events whose value differs from the one before, per key."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    return events.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col(value)) | F.col("_b").isNull()).drop("_b")
+    """The first event of each key, and those whose value differs from the one before; null is a value."""
+    w = Window.partitionBy(key).orderBy(*order)
+    e = events.withColumns({"_b": F.lag(value).over(w), "_n": F.row_number().over(w)})
+    return e.where((F.col("_n") == 1) | ~F.col("_b").eqNullSafe(F.col(value))).drop("_b", "_n")

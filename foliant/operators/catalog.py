@@ -67,9 +67,10 @@ def plain_frontmatter(x: Column | str) -> Column:
 
 
 def slug(citekey: Column | str, pid: Column | str) -> Column:
-    key = sub(sub(F.lower(text(citekey)), r"[^a-z0-9-]+", "-"), r"^-+|-+$")
-    own = sub(sub(F.lower(text(pid)), r"[^a-z0-9]+", "-"), r"^-+|-+$")
-    return F.coalesce(blank_to_null(key), blank_to_null(own), F.lit("paper"))
+    """The citation key in lower case with dashes, else the ASCII part of the pid, else ``paper``."""
+    key = sub(sub(F.lower(F.trim(text(citekey))), r"[^a-z0-9-]+", "-"), r"^-+|-+$")
+    own = F.lower(sub(sub(text(pid), r"[^A-Za-z0-9]+", "-"), r"^-+|-+$"))
+    return F.when(F.trim(text(citekey)) != "", key).otherwise(F.coalesce(blank_to_null(own), F.lit("paper")))
 
 
 def infer_kind(tags: Column, domain: Column) -> Column:
@@ -90,38 +91,54 @@ def infer_status(reading: Column, status: Column) -> Column:
     )
 
 
+# Fixed spellings of the two languages, and names of cover images in order of preference.
+ZH, EN = ("zh", "cn", "zh-cn"), ("en", "eng")
+COVERS = ("page1_fig3", "page1_fig2", "page3_fig1", "page1_fig1")
+DEFAULT_COVER = "/assets/images/cover/cover-1.webp"
+
+
 def infer_lang(lang: Column, title: Column, title_en: Column) -> Column:
+    """zh or en: as stated, else zh for a Chinese title without another one."""
+    stated = F.lower(F.trim(text(lang)))
     cjk = F.regexp_like(text(title), F.lit(f"[{CJK}]"))
-    same = (text(title_en) == "") | (text(title_en) == text(title))
-    return F.when(F.lower(text(lang)).isin("zh", "en"), F.lower(text(lang))).when(cjk & same, "zh").otherwise("en")
+    same = (F.trim(text(title_en)) == "") | (F.trim(text(title_en)) == text(title))
+    return F.when(stated.isin(*ZH), "zh").when(stated.isin(*EN), "en").when(cjk & same, "zh").otherwise("en")
+
+
+def is_chinese(lang: Column, title: Column, title_en: Column) -> Column:
+    """The reader's rule: only zh and en are stated languages."""
+    a, b = F.trim(text(title)), F.trim(text(title_en))
+    guess = F.regexp_like(a, F.lit(f"[{CJK}]")) & ((b == "") | (b == a))
+    return F.when(lang == "zh", True).when(lang == "en", False).otherwise(guess)
 
 
 def titles(title: Column, title_en: Column, lang: Column) -> Column:
-    """(primary, secondary) by language; the secondary is blank if it is missing or the same."""
-    zh = lang == "zh"
-    first = F.when(zh, first_of(title, title_en)).otherwise(first_of(title_en, title))
-    second = F.when(zh, text(title_en)).otherwise(text(title))
-    return F.struct(first.alias("primary"), F.when(second == first, "").otherwise(second).alias("secondary"))
+    """(primary, secondary) by the wanted language (en…, else Chinese first); no secondary if it is missing or the same."""
+    zh, en = F.trim(text(title)), F.trim(text(title_en))
+    pair = lambda a, b: F.struct(a.alias("primary"), b.alias("secondary"))
+    same = (zh == "") | (en == "") | (zh == en)
+    return F.when(same, pair(F.when(zh == "", en).otherwise(zh), F.lit(""))).when(F.lower(text(lang)).startswith("en"), pair(en, zh)).otherwise(pair(zh, en))
 
 
 def score(x: Column | str) -> Column:
-    return sub(F.trim(text(x)), r"\s*/\s*10$")
+    return sub(text(x), r"/10$")
 
 
-def pick_cover(images: Column, default: str, prefer: tuple[str, ...] = ("cover", "graphical", "abstract")) -> Column:
-    """The first image whose name holds a preferred word, words in order; else the first; else the default."""
-    named = [_first_named(images, word) for word in prefer]
+def pick_cover(images: Column, default: str = DEFAULT_COVER, prefer: tuple[str, ...] = COVERS) -> Column:
+    """The first image whose name holds a preferred part, parts in order; else the first; else the default."""
+    named = [_first_named(images, part) for part in prefer]
     return F.coalesce(*named, F.get(images, F.lit(0))["url"], F.lit(default))
 
 
-def _first_named(images: Column, word: str) -> Column:
-    return F.get(F.filter(images, lambda i: F.contains(F.lower(i["name"]), F.lit(word))), F.lit(0))["url"]
+def _first_named(images: Column, part: str) -> Column:
+    return F.get(F.filter(images, lambda i: F.contains(i["name"], F.lit(part))), F.lit(0))["url"]
 
 
 def fallback_caption(name: Column | str) -> Column:
-    page = F.regexp_extract(c(name), r"_page(\d+)_fig([A-Za-z])?(\d+)", 1)
-    fig = F.concat(F.regexp_extract(c(name), r"_page(\d+)_fig([A-Za-z])?(\d+)", 2), F.regexp_extract(c(name), r"_page(\d+)_fig([A-Za-z])?(\d+)", 3))
-    return F.when(page != "", F.concat(F.lit("图 "), fig, F.lit("（第 "), page.cast("int").cast("string"), F.lit(" 页）"))).otherwise("")
+    """``第 3 页 · 图 A.2`` from the page and figure in an image's name, else the name."""
+    page, letter, number = (F.regexp_extract(c(name), r"(?i)_page(\d+)_fig([A-Za-z])?(\d+)", k) for k in (1, 2, 3))
+    tag = F.concat(F.when(letter != "", F.concat(F.upper(letter), F.lit("."))).otherwise(""), number.try_cast("int").cast("string"))
+    return F.when(page != "", F.concat(F.lit("第 "), page.try_cast("int").cast("string"), F.lit(" 页 · 图 "), tag)).otherwise(c(name))
 
 
 def public_url(slug_: Column, rel: Column) -> Column:

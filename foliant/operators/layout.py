@@ -51,17 +51,23 @@ def to_points(v: Column, dpi: float) -> Column:
 def assign_regions(captions: DataFrame, regions: DataFrame, page: list[str]) -> DataFrame:
     """page, num, x0..y1: each region goes to its nearest caption of the page, and a caption's regions are united.
 
-    Distance: 0 inside, the gap below a region, the gap above plus 60; 180 at most,
-    and the two overlap by more than -20 across.
+    Distance: the gap below a region (6 points of overlap allowed), the gap above plus
+    60, 0 inside; 180 at most, and the two overlap by more than -20 across.  A union
+    that holds its caption 20 points or more below its top ends 2 points above it.
+    Ties go to the caption that comes first (column ord, else num).
     """
-    c = captions.select(*page, "num", *[F.col(k).alias("c" + k) for k in ("x0", "y0", "x1", "y1")])
+    first = "ord" if "ord" in captions.columns else "num"
+    c = captions.select(*page, "num", F.col(first).alias("_o"), *[F.col(k).alias("c" + k) for k in ("x0", "y0", "x1", "y1")])
     both = regions.join(c, page)
     overlap = F.least("x1", "cx1") - F.greatest("x0", "cx0")
-    gap = F.when(F.col("cy0") >= F.col("y1"), F.col("cy0") - F.col("y1")).when(F.col("cy1") <= F.col("y0"), F.col("y0") - F.col("cy1") + 60).otherwise(0)
+    below, above = F.col("cy0") >= F.col("y1") - 6, F.col("cy1") <= F.col("y0") + 6
+    gap = F.when(below, F.col("cy0") - F.col("y1")).when(above, F.col("y0") - F.col("cy1") + 60).otherwise(0)
     near = both.where(overlap > -20).withColumn("_d", gap).where("_d <= 180")
-    own = near.groupBy(*page, "x0", "y0", "x1", "y1").agg(F.min_by(F.struct("num", "cy0"), F.struct("_d", "num")).alias("c"))
-    u = own.groupBy(*page, F.col("c.num").alias("num")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("c.cy0").alias("top"))
-    return u.withColumn("y1", F.when(F.col("top") > F.col("y0"), F.least("y1", "top")).otherwise(F.col("y1"))).drop("top")
+    box = F.struct("cx0", "cy0", "cx1", "cy1")
+    own = near.groupBy(*page, "x0", "y0", "x1", "y1").agg(F.min_by(F.struct("num", box.alias("b")), F.struct("_d", "_o")).alias("c"))
+    u = own.groupBy(*page, F.col("c.num").alias("num")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("c.b").alias("b"))
+    meets = (F.least("x1", "b.cx1") > F.greatest("x0", "b.cx0")) & (F.least("y1", "b.cy1") > F.greatest("y0", "b.cy0"))
+    return u.withColumn("y1", F.when(meets & (F.col("b.cy0") > F.col("y0") + 20), F.least(F.col("y1"), F.col("b.cy0") - 2)).otherwise(F.col("y1"))).drop("b")
 
 
 def unite_rects(rects: DataFrame, page: list[str], gap: float = 12.0) -> DataFrame:
@@ -115,13 +121,118 @@ def line_tag(caption: Column, table: Column, math: Column, bold: Column, italic:
     return F.when(caption, "CAP").when(table, "TAB").when(math, "MATH").when(bold, "BOLD").when(italic, "ITAL").when(size < body * 0.9, "small").when(size > body * 1.15, "BIG").otherwise("")
 
 
-def heading_level(x: Column, size: Column, bold: Column, body: Column) -> Column:
-    """0 for no heading; numbered ones by depth, appendices and named ones 1, large ones 1, bold larger ones 2."""
-    number = F.regexp_extract(x, r"^(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+\p{Lu}", 1)
-    named = F.regexp_like(x, F.lit(r"(?i)^(?:abstract|introduction|methods?|results?|discussion|conclusions?|references|acknowledge?ments?|appendix(?:\s+[A-Z])?)\.?$"))
-    cn = F.regexp_like(x, F.lit(r"^[一二三四五六七八九十]+、"))
-    short = F.length(x) <= 120
-    return F.when(~short, 0).when(number != "", F.size(F.split(number, r"\."))).when(named | cn, 1).when(size > body * 1.3, 1).when(bold & (size > body * 1.05), 2).otherwise(0)
+# Fixed forms of headings.
+NUMBERED = r"^(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+([A-Za-zÀ-ɏ(].{1,140})$"
+CN_NUMBERED = r"^(\d{1,2}(?:\.\d{1,2}){0,3})\s*[、.]?\s*([一-鿿].{0,60})$"
+APPENDIX_PART = r"^([A-H](?:\.\d{1,2}){1,2})\.?\s+([A-Za-z(].{1,120})$"
+NAMED = r"(?i)^(?:abstract|keywords?|key\s*words|highlights|introduction|conclusions?|concluding remarks|summary|acknowledg?e?ments?|references|bibliography|literature cited|nomenclature|list of symbols|notation|funding|data availability(?: statement)?|declaration of competing interest|conflicts? of interest(?: statement)?|credit authorship contribution statement|author contributions?|supplementary (?:material|data|information)|appendix(?:\s+[A-Z])?(?:[.:]\s*.*)?|methods?|methodology|results?|discussion|results and discussion|materials and methods|background|related work|引言|结论|摘要|关键词|参考文献|致谢|结语|讨论)(?![\p{L}\p{N}_])"
+ALWAYS = ("abstract", "references", "keywords", "highlights")
+MATHY = r"[=∕∑∫∂∇√≈≤≥×÷{}]|_\{|\^\{"
+
+
+def despaced(x: Column) -> Column:
+    """Letter-spaced words at the beginning, and the number after them, closed up."""
+    t = F.trim(x)
+    label = F.regexp_extract(t, r"(?i)^(F\s?I\s?G\s?U\s?R\s?E|T\s?A\s?B\s?L\s?E)(?=\s|\d)", 1)
+    t1 = F.when(label != "", F.concat(F.regexp_replace(label, r"\s", ""), t.substr(F.length(label) + 1, F.length(t)))).otherwise(t)
+    spaced = F.regexp_extract(t1, r"^((?:[A-Za-z]\s){2,}[A-Za-z])(?=\s|$)", 1)
+    t2 = F.when(spaced != "", F.concat(F.regexp_replace(spaced, r"\s", ""), t1.substr(F.length(spaced) + 1, F.length(t1)))).otherwise(t1)
+    digits = F.regexp_extract(t2, r"^[A-Za-z]+\s*(\d(?:\s\d){1,2})(?=\s|$)", 1)
+    word = F.regexp_extract(t2, r"^([A-Za-z]+)", 1)
+    closed = F.concat(word, F.lit(" "), F.regexp_replace(digits, r"\s", ""), F.regexp_replace(t2, r"^[A-Za-z]+\s*\d(?:\s\d){1,2}(?=\s|$)", ""))
+    return F.when(((label != "") | (spaced != "")) & (digits != ""), closed).otherwise(t2)
+
+
+def despaced_anywhere(x: Column) -> Column:
+    """Letter-spaced words closed up wherever they stand."""
+    words = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?<![A-Za-z0-9_])((?:[A-Za-z]\s){2,}[A-Za-z])(?![A-Za-z0-9_])")))
+    return F.aggregate(words, x, lambda t, w: F.replace(t, w, F.regexp_replace(w, r"\s", "")))
+
+
+def heading_level(x: Column, size: Column, bold: Column, body: Column, lines: Column | None = None) -> Column:
+    """0 for no heading, else its level: numbered ones by depth below 1, named ones 2, appendix parts by depth, other large or bold ones 3."""
+    t = despaced(x)
+    big = size >= body + 1.4
+    depth = lambda p: F.size(F.split(F.regexp_extract(t, p, 1), r"\."))
+    is_ = lambda p: F.regexp_like(t, F.lit(p))
+    rest = F.trim(F.regexp_extract(t, NUMBERED, 2))
+    sentence = rest.endswith(".") & (F.size(F.split(rest, r"\s+")) > 10)
+    plain = (F.length(t) <= 90) & (F.size(F.split(t, r"\s+")) <= 14) & ~is_(r"[.。:：,]$") & ~is_(r"(?<![A-Za-z])et al(?![A-Za-z])|@|\d{4}\)")
+    out = (
+        F.when((F.length(t) > 160) | is_(MATHY), 0)
+        .when(is_(NUMBERED) & (big | bold | (size >= body + 0.5)), F.when((depth(NUMBERED) > 4) | sentence, 0).otherwise(F.least(depth(NUMBERED) + 1, F.lit(5))))
+        .when(is_(CN_NUMBERED) & (big | bold), F.least(depth(CN_NUMBERED) + 1, F.lit(5)))
+        .when(is_(APPENDIX_PART) & (big | bold), depth(APPENDIX_PART) + 1)
+        .when(is_(NAMED) & (F.length(t) <= 80) & (big | bold | F.lower(t).isin(*ALWAYS)), 2)
+        .when(is_(r"(?i)^Appendix(?![A-Za-z0-9_])") & (big | bold), 2)
+        .when(((big & (size >= body + 2.5)) | (bold & (size >= body + 1.0))) & plain, 3)
+        .otherwise(0)
+    )
+    return out if lines is None else F.when(lines > 3, 0).otherwise(out)
+
+
+def junk_heading(x: Column) -> Column:
+    """What looks like a heading but is a name or a journal's line."""
+    is_ = lambda p: F.regexp_like(x, F.lit(p))
+    return is_(r"(?i)(?<![A-Za-z])et al(?![A-Za-z])") | is_(r"^([A-Z]\.\s?)+[A-Z][a-z]+(,|$)") | (is_(r"(?<![A-Za-z])(Journal|Vol\.?|Volume|Issue|pp\.)(?![A-Za-z])") & (F.length(x) < 90))
+
+
+def equation_number(x: Column, math_font: Column) -> Column:
+    """The number at the end of an equation's text, else null: under 500 characters, a math font or two marks, two common words at most."""
+    num = F.regexp_extract(x, r"[(（]\s*(\d{1,3}[a-z]?)\s*[)）]\s*$", 1)
+    mathy = math_font | (F.regexp_count(x, F.lit(r"[=+−∑∫∂∇√≈≤≥×÷^_{}λμρσθαβγδεφψωΔΩπ]")) >= 2)
+    words = F.regexp_count(x, F.lit(r"(?i)(?<![A-Za-z])(?:the|and|of|is|are|with|for|that|this|which)(?![A-Za-z])"))
+    return F.when((num != "") & mathy & (F.length(x) < 500) & (words <= 2), num)
+
+
+def label_like(x: Column) -> Column:
+    """Captions, numbered headings and short named ones."""
+    t = despaced(x)
+    is_ = lambda p: F.regexp_like(t, F.lit(p))
+    return is_(r"(?i)^(?:Fig\.?|Figure|图|Table|表)\s*[A-Z]?\.?\d") | is_(NUMBERED) | is_(CN_NUMBERED) | is_(APPENDIX_PART) | (is_(NAMED) & (F.length(t) <= 40))
+
+
+def citation_brackets(x: Column) -> Column:
+    """Superscripts after a word or mark as ``[12,13]``; those of single letters are left to formulas."""
+    return F.regexp_replace(x, r"((?<![A-Za-z])(?:by|of|in|on|to|as|at|is|et|al)(?![A-Za-z])\.?|[A-Za-z]{3}|[.,;)\]])\^\{(\d{1,3}(?:\s*[,–-]\s*\d{1,3})*)\}", "$1[$2]")
+
+
+def gap_above(captions: DataFrame, blocks: DataFrame, page: list[str], top: str = "page_y0") -> DataFrame:
+    """page, num, x0..y1: the room between a caption and the paragraph or caption above it; 50 by 60 points at least.
+
+    captions: num, x0..y1 and the page's top; blocks: x0..y1, text, caption (boolean).
+    """
+    c = captions.select(*page, "num", F.col(top).alias("_t"), *[F.col(k).alias("c" + k) for k in ("x0", "y0", "x1", "y1")])
+    b = blocks.select(*page, *[F.col(k).alias("b" + k) for k in ("x0", "x1", "y1")], F.length(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("_n"), F.col("caption").alias("_c"))
+    width = F.col("cx1") - F.col("cx0")
+    over = F.least(F.col("bx1"), F.col("cx1") + 4) - F.greatest(F.col("bx0"), F.col("cx0") - 4)
+    stop = (F.col("by1") <= F.col("cy0") - 4) & (over > width * 0.4) & (((F.col("_n") > 80) & (F.col("bx1") - F.col("bx0") > width * 0.5)) | F.col("_c"))
+    both = c.join(b, page, "left").groupBy(*page, "num", "_t", "cx0", "cy0", "cx1", "cy1").agg(F.max(F.when(stop, F.col("by1") + 2)).alias("_y"))
+    out = both.select(*page, "num", (F.col("cx0") - 4).alias("x0"), F.greatest(F.col("_t") + 36, F.coalesce("_y", F.col("_t") + 36)).alias("y0"), (F.col("cx1") + 4).alias("x1"), (F.col("cy0") - 2).alias("y1"))
+    return out.where("y1 - y0 >= 50 and x1 - x0 >= 60")
+
+
+def find_caption(figures: DataFrame, captions: DataFrame, doc: list[str], letters: int = 24) -> DataFrame:
+    """figures (num, caption) with the caption line (cap_num, cap_y0) of their number, else the first that begins with the first letters of theirs."""
+    norm = lambda x: F.substring(F.lower(F.regexp_replace(F.coalesce(F.col(x), F.lit("")), r"[^\p{L}\p{N}]", "")), 1, letters)
+    c = captions.select(*doc, F.col("num").alias("_n"), F.col("y0").alias("_y"), norm("text").alias("_k"))
+    by_num = c.groupBy(*doc, F.col("_n").alias("num")).agg(F.min("_y").alias("_y1"))
+    by_text = c.where("_k <> ''").groupBy(*doc, "_k").agg(F.min(F.struct("_y", "_n")).alias("_2"))
+    f = figures.withColumn("_k", norm("caption")).join(by_num, [*doc, "num"], "left").join(by_text, [*doc, "_k"], "left")
+    own = F.col("_y1").isNotNull()
+    return f.withColumns({"cap_num": F.when(own, F.col("num")).otherwise(F.col("_2._n")), "cap_y0": F.when(own, F.col("_y1")).otherwise(F.col("_2._y"))}).drop("_k", "_y1", "_2")
+
+
+def page_body(blocks: DataFrame, page: list[str], regions: DataFrame, height: str = "height") -> DataFrame:
+    """Blocks without those whose centre is in a region (figure or table), in the outer 4.5 % of the page, or small print in its lowest 18 %."""
+    r = regions.select(*page, *[F.col(k).alias("r" + k) for k in ("x0", "y0", "x1", "y1")])
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = x.between(F.col("rx0"), F.col("rx1")) & y.between(F.col("ry0"), F.col("ry1"))
+    h = F.col(height)
+    edge = (F.col("y1") < h * 0.045) | (F.col("y0") > h * 0.955)
+    foot = (F.col("y0") > h * 0.82) & (F.col("size") < F.col("body") * 0.9)
+    b = blocks.where(~edge & ~foot)
+    return b.join(r, [b[k].eqNullSafe(r[k]) for k in page] + [inside], "left_anti") if page else b
 
 
 def merge_paragraphs(elements: DataFrame, doc: str, ord_: str) -> DataFrame:

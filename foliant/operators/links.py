@@ -39,21 +39,38 @@ def alias_map(terms: DataFrame, names: list[str], ordinal: str, with_key: bool =
     return first_wins(rows, ["alias"], ordinal, "pos").select("alias", "key")
 
 
-def resolve_links(links: DataFrame, target: str, pids: DataFrame, aliases: DataFrame) -> DataFrame:
-    """links with kind (nav, paper, term, text) and ref: the first lookup that succeeds."""
+def resolve_links(links: DataFrame, target: str, pids: DataFrame, aliases: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """links with kind (nav, paper, term, text) and ref: the first lookup that succeeds.
+
+    Of papers with one pid the last by ``ordinal`` is meant (without it, by slug).
+    """
     t = F.trim(text(target))
     base = links.withColumns({"_pid": t, "_alias": link_key_unicode(target)})
-    p = first_wins(pids.select(F.col("pid").alias("_pid"), F.col("slug").alias("_slug")), ["_pid"], F.desc("_slug"))
+    p = first_wins(pids.select(F.col("pid").alias("_pid"), F.col("slug").alias("_slug"), F.col(ordinal or "slug").alias("_ord")), ["_pid"], F.desc("_ord"), F.desc("_slug")).drop("_ord")
     a = aliases.select(F.col("alias").alias("_alias"), F.col("key").alias("_key"))
     both = base.join(p, "_pid", "left").join(a, "_alias", "left")
     kind = F.when(t.startswith("_"), "nav").when(F.col("_slug").isNotNull(), "paper").when(F.col("_key").isNotNull(), "term").otherwise("text")
     return both.withColumn("kind", kind).withColumn("ref", F.when(F.col("kind") == "paper", F.col("_slug")).when(F.col("kind") == "term", F.col("_key"))).drop("_pid", "_alias", "_slug", "_key")
 
 
-def dangling(pages: DataFrame, id_: str, targets: Column, known: DataFrame, name: str, preview: int = 6) -> DataFrame:
-    """id, n, preview: distinct targets that no known name has, the first few in order; ``_x`` is exempt."""
-    links = pages.select(id_, F.explode(F.array_distinct(targets)).alias("target")).where(~F.col("target").startswith("_"))
-    lost = links.join(known.select(F.col(name).alias("target")).distinct(), "target", "left_anti")
+# Fixed suffixes of the files that belong to one paper.
+CLUSTER_SUFFIXES = (".正文", ".notes", ".images", ".我的笔记", ".pdf", ".txt")
+
+
+def cluster_base(target: Column | str) -> Column:
+    """A target without the first of the suffixes that stands in it, and what follows."""
+    out = c(target)
+    for s in reversed(CLUSTER_SUFFIXES):
+        out = F.when(c(target).contains(s), F.substring_index(c(target), s, 1)).otherwise(out)
+    return out
+
+
+def dangling(pages: DataFrame, id_: str, targets: Column, known: DataFrame, name: str, preview: int = 6, aliases: DataFrame | None = None) -> DataFrame:
+    """id, n, preview: distinct targets whose paper is unknown and that no alias (column alias) names, the first few in order; blank ones and ``_x`` are exempt."""
+    links = pages.select(id_, F.explode(F.array_distinct(targets)).alias("target")).where((F.col("target") != "") & ~F.col("target").startswith("_"))
+    lost = links.withColumn("_base", cluster_base("target")).join(known.select(F.col(name).alias("_base")).distinct(), "_base", "left_anti")
+    if aliases is not None:
+        lost = lost.withColumn("alias", link_key_unicode("target")).join(aliases.select("alias").distinct(), "alias", "left_anti")
     return lost.groupBy(id_).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("target")), 1, preview).alias("preview"))
 
 
@@ -81,10 +98,27 @@ def rewrite_embeds(md: Column | str, images_url: str) -> Column:
     return F.aggregate(parts, text(md), step)
 
 
-def duplicate_papers(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Candidates whose DOI, in any spelling, the catalogue has."""
-    key = catalog.select(doi_key("doi").alias("_d")).where("_d <> ''").distinct()
-    return candidates.withColumn("_d", doi_key("doi")).join(key, "_d", "left_semi").drop("_d")
+def duplicate_papers(candidates: DataFrame, catalog: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Candidates (index, doi) that are in the library, with the pid they have there.
+
+    An index file that exists (a path in ``existing``) names its own pid; else the
+    first paper of that DOI with an index is meant, DOIs compared without case and
+    without ``https://doi.org/``.
+    """
+    key = lambda x: sub(F.lower(F.trim(text(x))), r"^https://doi\.org/")
+    known = catalog.select(key("doi").alias("_d"), "pid").where("_d <> ''").groupBy("_d").agg(F.min("pid").alias("_pid"))
+    out = candidates.withColumn("_d", key("doi")).join(known, "_d", "left")
+    if existing is not None:
+        own = existing.select(F.col("path").alias("index"), F.lit(True).alias("_own")).distinct()
+        stem = F.regexp_replace(F.element_at(F.split("index", "/"), -1), r"\.[^.]*$", "")
+        out = out.join(own, "index", "left").withColumn("_pid", F.when(F.col("_own"), stem).otherwise(F.col("_pid"))).drop("_own")
+    return out.where("_pid is not null").withColumnRenamed("_pid", "pid" if "pid" not in candidates.columns else "known_pid").drop("_d")
+
+
+def term_of(names: DataFrame, name: str, aliases: DataFrame, terms: DataFrame) -> DataFrame:
+    """names with the term (key) that their normalised name is an alias of."""
+    hit = names.withColumn("alias", link_key_ascii(name)).join(aliases.select("alias", "key"), "alias")
+    return hit.drop("alias").join(terms, "key")
 
 
 def cite_tiers(parts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -109,7 +143,7 @@ def cite_tiers(parts: DataFrame, entries: DataFrame) -> DataFrame:
 
 def wiki_anchor(entries: Column) -> Column:
     """Entries (n, label) -> joined anchors."""
-    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("[[#^ref-"), e["n"], F.lit("|"), e["label"], F.lit("]]"))), "; ")
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("[[#^ref-"), e["n"], F.lit("|"), e["label"], F.lit("]]"))), ",")
 
 
 def images_owner(name: Column | str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from foliant.functions.text import line_key, sub, text
+from foliant.functions.text import CJK, line_key, strip_math, sub, text
 
 
 def lines(docs: DataFrame, id_: str, column: str = "text") -> DataFrame:
@@ -105,17 +108,32 @@ def weighted_mode(rows: DataFrame, key: list[str], value: str, weight: str) -> D
     return s.groupBy(*key).agg(F.max_by(value, F.struct("w", (-F.col(value)).alias("m"))).alias("mode"), F.max("w").alias("weight"))
 
 
-def filler_stats(docs: DataFrame, id_: str, column: str = "text", letters: str = r"[a-z]") -> DataFrame:
-    """id, seq, punct, top20: the share of neighbouring letters with consecutive code points, punctuation per 100 characters, share of the 20 most frequent letters."""
-    t = F.lower(text(column))
-    chars = F.filter(F.split(t, ""), lambda ch: F.regexp_like(ch, F.lit(f"^{letters}$")))
-    base = docs.select(id_, chars.alias("cs"), F.regexp_count(t, F.lit(r"[,.;:!?，。；：！？]")).alias("p"), F.length(t).alias("n")).where(F.size("cs") >= 60)
-    codes = F.transform("cs", F.ascii)
-    near = F.size(F.filter(F.zip_with(F.slice(codes, 1, F.size("cs") - 1), F.slice(codes, 2, F.size("cs") - 1), lambda a, b: (b - a).cast("int")), lambda d: d == 1))
-    uniq = F.array_distinct("cs")
-    counts = F.transform(uniq, lambda u: F.size(F.filter("cs", lambda x: x == u)))
-    top = F.aggregate(F.slice(F.reverse(F.array_sort(counts)), 1, 20), F.lit(0), lambda a, x: a + x)
-    return base.select(id_, (near / (F.size("cs") - 1)).alias("seq"), (F.col("p") * 100.0 / F.col("n")).alias("punct"), (top / F.size("cs")).alias("top20"))
+#: Fixed set of punctuation marks.
+PUNCTUATION = "，。；：！？、（）「」『』《》〈〉…—,.;:!?()[]"
+
+
+def filler_stats(docs: DataFrame, id_: str, column: str = "text", letters: str = f"[{CJK}]", least: int = 60) -> DataFrame:
+    """id, seq, punct, top20 of texts with so many letters: the share of neighbouring characters whose
+    code points differ by one, punctuation per 100 characters, the share of the 20 most frequent letters.
+
+    Math and white space don't count.  Code points are counted in Arrow batches.
+    """
+    s = sub(strip_math(column), r"\s+")
+    only = F.length(sub(s, rf"[^{letters[1:-1]}]"))
+    rows = docs.select(id_, s.alias("s"), sub(s, rf"[^{letters[1:-1]}]").alias("c")).where(only >= least)
+    marks = np.array(sorted(map(ord, PUNCTUATION)), np.uint32)
+
+    @pandas_udf("struct<seq:double,punct:double,top20:double>")
+    def stats(s: pd.Series, c: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(s, c, strict=True):
+            p, q = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+            near = np.abs(np.diff(p.astype(np.int64))) == 1
+            top = np.sort(np.unique(q, return_counts=True)[1])[::-1][:20].sum()
+            out.append((near.sum() / max(1, len(p) - 1), np.isin(p, marks).sum() / len(p) * 100, top / len(q)))
+        return pd.DataFrame(out, columns=["seq", "punct", "top20"])
+
+    return rows.select(id_, stats("s", "c").alias("x")).select(id_, "x.seq", "x.punct", "x.top20")
 
 
 def nearest(events: DataFrame, others: DataFrame, key: str, at: str, id_: str, other_id: str, within: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import c, search_text, sub, text
+from foliant.functions.text import c, search_text, strip, sub, text
 
 
 def haystack(*fields: Column | str) -> Column:
@@ -49,15 +49,38 @@ def major(domain: Column | str) -> Column:
     return F.get(F.split(text(domain), "/"), F.lit(0))
 
 
+# Fixed marks: reading states, then the star and the two citation states.
+READING = ("在读", "已读", "重读")
+STAR, TO_CITE, CITED = "重点", "待引用", "已引用"
+
+
+def has_mark(mark: str) -> Column:
+    """Rows whose marks fit: flags struct<reading, starred, cite, cited> are the reader's, column reading is the library's."""
+    reading = F.coalesce(F.when(text("flags.reading") != "", F.col("flags.reading")), F.when(F.col("reading").isin(*READING), F.col("reading")), F.lit(""))
+    cite = F.coalesce(F.when(text("flags.cite") != "", F.col("flags.cite")), F.when(F.col("flags.cited"), CITED), F.lit(""))
+    if mark == STAR:
+        return F.coalesce(F.col("flags.starred"), F.lit(False))
+    return cite == mark if mark in (TO_CITE, CITED) else reading == mark
+
+
 def filter_papers(papers: DataFrame, query: str = "", status: str = "", visibility: str = "", kind: str = "", domain: str = "", mark: str = "", hay: str = "haystack") -> DataFrame:
-    """Conjunctive facets and all tokens of the query."""
-    cond = all_tokens(hay, query) & domain_matches("domain", domain) if "domain" in papers.columns else all_tokens(hay, query)
-    for name, want in (("status", status), ("visibility", visibility), ("kind", kind), ("mark", mark)):
+    """Conjunctive facets, a mark (see ``has_mark``) and all tokens of the query; blank and ``all`` choose nothing."""
+    cond = all_tokens(hay, query)
+    if domain:
+        cond = cond & domain_matches("domain", domain)
+    for name, want in (("status", status), ("visibility", visibility), ("kind", kind)):
         if want and want != "all":
             cond = cond & (F.col(name) == want)
+    if mark and mark != "all":
+        cond = cond & has_mark(mark)
     return papers.where(cond)
 
 
+def of_topic(papers: DataFrame, pids: list[str]) -> DataFrame:
+    """Papers of a topic's list; an empty list leaves them all."""
+    return papers.where(F.col("pid").isin(*pids)) if pids else papers
+
+
 def filter_terms(terms: DataFrame, query: str, type_: str = "", domain: str = "") -> DataFrame:
     """One substring over the term's texts, and the facets."""
     hay = F.lower(F.concat_ws(" ", "term", "zhName", "fullName", "definition", F.array_join("aliases", " ")))
@@ -98,15 +121,15 @@ def _tagged(name: str, values: Column) -> Column:
 
 
 def stats(papers: DataFrame) -> DataFrame:
-    """Seven conditional counts in one pass."""
+    """Seven counts in one pass."""
     return papers.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("status") == "reading").alias("reading"),
         F.count_if(F.col("status") == "notes").alias("notes"),
-        F.count_if(F.col("status").isin("ready", "shared")).alias("ready"),
         F.count_if(F.col("visibility") == "shared").alias("shared"),
+        F.count_if(F.col("hasTranslation")).alias("with_translation"),
+        F.count_if(F.col("hasNotes")).alias("with_analysis"),
         F.count_if(F.col("hasPdf")).alias("with_pdf"),
-        F.count_if(F.col("hasTranslation")).alias("translated"),
     )
 
 
@@ -124,22 +147,30 @@ def topic_series(rows: DataFrame, *labels: str, other: str = "未分类", locale
     return out.orderBy(F.desc("n"), F.collate("label", locale) if locale else "label")
 
 
-def grouped(rows: DataFrame, domain: str, order: list[Column], fields: list[str]) -> DataFrame:
-    """major, sub, members: rows under their domain, in order.  Members of one domain are one array: for catalogues, not for documents at large."""
-    key = [major(domain).alias("major"), F.get(F.split(text(domain), "/"), F.lit(1)).alias("sub")]
+def domain_key(domain: str, topic: str | None = None, other: str = "未分类") -> list[Column]:
+    """major, sub: the first segment and the rest of the domain, else of the topic, else ``other``."""
+    raw = F.coalesce(*[F.when(text(x) != "", F.col(x)) for x in (domain, topic) if x], F.lit(other))
+    parts = F.split(raw, "/")
+    return [F.get(parts, F.lit(0)).alias("major"), F.array_join(F.slice(parts, 2, 1000), "/").alias("sub")]
+
+
+def grouped(rows: DataFrame, domain: str, order: list[Column], fields: list[str], topic: str | None = None, locale: str = "zh") -> DataFrame:
+    """major, sub, members: rows under their domain, in order.  Members of one domain are one array: for a library's catalogue; ``group_sizes`` is for many rows."""
     items = F.array_sort(F.collect_list(F.struct(*order, *fields)))
-    return rows.groupBy(*key).agg(items.alias("members")).orderBy("major", "sub")
+    return rows.groupBy(*domain_key(domain, topic)).agg(items.alias("members")).orderBy(F.collate("major", locale), F.collate("sub", locale))
 
 
 def group_sizes(rows: DataFrame, domain: str, first: str) -> DataFrame:
     """major, sub, n, first: the size and the first member of each domain, without its members."""
-    key = [major(domain).alias("major"), F.get(F.split(text(domain), "/"), F.lit(1)).alias("sub")]
-    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    return rows.groupBy(*domain_key(domain)).agg(F.count("*").alias("n"), F.min(first).alias("first"))
 
 
 def filter_blocks(texts: DataFrame, query: str, column: str = "text", pattern: str = r"(?m)(?=^#{1,6}\s)|\n{2,}") -> DataFrame:
-    """texts with blocks (joined) and hits: the blocks that contain the query."""
-    blocks = F.filter(F.transform(F.split(text(column), pattern), lambda s: F.trim(s)), lambda b: (b != "") & F.contains(F.lower(b), F.lit(query.strip().lower())))
+    """texts with blocks (joined) and hits: the blocks that contain the query; a blank query leaves the text, with no hits."""
+    q = query.strip().lower()
+    if not q:
+        return texts.withColumns({"blocks": text(column), "hits": F.lit(0)})
+    blocks = F.filter(F.transform(F.split(text(column), pattern), strip), lambda b: (b != "") & F.contains(F.lower(b), F.lit(q)))
     return texts.withColumns({"blocks": F.array_join(blocks, "\n\n"), "hits": F.size(blocks)})
 
 

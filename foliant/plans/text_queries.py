@@ -54,11 +54,11 @@ def cite_years(spark, d):
     return t(spark, d, "orders").select("o_orderkey", citations.cite_year(text).alias("y"))
 
 
-@query("expand_numbers", "select l_orderkey, l_linenumber, [l_linenumber, l_linenumber + 2, l_linenumber + 3, l_linenumber + 4, l_linenumber + 5] as ns from lineitem")
+@query("expand_numbers", "select l_orderkey, l_linenumber, case when l_linenumber % 2 = 0 then [l_linenumber, l_linenumber + 2, l_linenumber + 3, l_linenumber + 4, l_linenumber + 5, l_linenumber] else [l_linenumber, l_linenumber + 2, l_linenumber] end as ns from lineitem")
 def expand_numbers(spark, d):
     n = F.col("l_linenumber")
-    s = F.concat(n.cast("string"), F.lit(", "), (n + 2).cast("string"), F.lit("–"), (n + 5).cast("string"))
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", citations.expand_numbers(s).alias("ns"))
+    s = F.concat(n.cast("string"), F.lit(", "), (n + 2).cast("string"), F.lit("–"), F.when(n % 2 == 0, n + 5).otherwise(n + 23).cast("string"), F.lit("，"), n.cast("string"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", citations.expand_numbers(s).cast("array<int>").alias("ns"))
 
 
 @query(

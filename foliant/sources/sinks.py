@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,28 @@ def publish_status(errors: int, synced: bool | None) -> str:
     return "failed" if errors or synced is False else "assembled" if synced is None else "ready"
 
 
-def overwrite_checked(df: DataFrame, path: str, ok: DataFrame) -> bool:
-    """Writes df only if ``ok`` (findings) is empty; a failure leaves the old output.
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes beside the old table, then renames: readers see the old or the new one, and a job that fails leaves the old."""
+    spark, top = df.sparkSession, path.rstrip("/")
+    new, old = f"{top}.new-{uuid.uuid4().hex}", f"{top}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path
+    fs = file(top).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(file(top))
+    if had and not fs.rename(file(top), file(old)):
+        raise OSError(f"{top} can't be moved")
+    if not fs.rename(file(new), file(top)):
+        if had:
+            fs.rename(file(old), file(top))
+        raise OSError(f"{new} can't be moved to {top}")
+    if had:
+        fs.delete(file(old), True)
 
-    Parquet writers commit by rename, so readers see the old or the new table.
-    """
+
+def overwrite_checked(df: DataFrame, path: str, ok: DataFrame) -> bool:
+    """Replaces the table only if ``ok`` (findings) is empty; a failure leaves the old output."""
     if not ok.isEmpty():
         return False
-    stage = f"{path.rstrip('/')}.staging"
-    df.write.mode("overwrite").parquet(stage)
-    df.sparkSession.read.parquet(stage).write.mode("overwrite").parquet(path)
+    replace_table(df, path)
     return True

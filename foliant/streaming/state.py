@@ -41,17 +41,18 @@ def throttled(events: DataFrame, key: str, ts: str, seconds: int = 600) -> DataF
 
 
 def changed_values(events: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """key, ts, value where the value differs from the key's last one (batch: ``activity.changes``)."""
+    """key, ts, value where the value differs from the key's last one; the first counts, null is a value (batch: ``activity.changes``)."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        seen, last = state.exists, state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("_us", kind="stable")
+        values = rows[value].astype(object).where(rows[value].notna(), None)
         out = []
-        for t, v in zip(rows["_us"], rows[value], strict=True):
-            if v != last:
+        for t, v in zip(rows["_us"], values, strict=True):
+            if not seen or v != last:
                 out.append((k[0], t, v))
-                last = v
-        if last is not None:
+            seen, last = True, v
+        if seen:
             state.update((last,))
         yield pd.DataFrame(out, columns=[key, "us", value])
 
