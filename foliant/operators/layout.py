@@ -63,11 +63,11 @@ def assign_regions(captions: DataFrame, regions: DataFrame, page: list[str]) ->
     below, above = F.col("cy0") >= F.col("y1") - 6, F.col("cy1") <= F.col("y0") + 6
     gap = F.when(below, F.col("cy0") - F.col("y1")).when(above, F.col("y0") - F.col("cy1") + 60).otherwise(0)
     near = both.where(overlap > -20).withColumn("_d", gap).where("_d <= 180")
-    box = F.struct("cx0", "cy0", "cx1", "cy1")
-    own = near.groupBy(*page, "x0", "y0", "x1", "y1").agg(F.min_by(F.struct("num", box.alias("b")), F.struct("_d", "_o")).alias("c"))
-    u = own.groupBy(*page, F.col("c.num").alias("num")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("c.b").alias("b"))
-    meets = (F.least("x1", "b.cx1") > F.greatest("x0", "b.cx0")) & (F.least("y1", "b.cy1") > F.greatest("y0", "b.cy0"))
-    return u.withColumn("y1", F.when(meets & (F.col("b.cy0") > F.col("y0") + 20), F.least(F.col("y1"), F.col("b.cy0") - 2)).otherwise(F.col("y1"))).drop("b")
+    own = near.groupBy(*page, "x0", "y0", "x1", "y1").agg(F.min_by("num", F.struct("_d", "_o")).alias("num"))
+    u = own.groupBy(*page, "num").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    meets = (F.least("x1", "cx1") > F.greatest("x0", "cx0")) & (F.least("y1", "cy1") > F.greatest("y0", "cy0")) & (F.col("cy0") > F.col("y0") + 20)
+    cut = u.join(c, [*page, "num"]).groupBy(*page, "num", "x0", "y0", "x1", "y1").agg(F.min(F.when(meets, F.col("cy0") - 2)).alias("_cut"))
+    return cut.withColumn("y1", F.least("y1", "_cut")).drop("_cut")
 
 
 def unite_rects(rects: DataFrame, page: list[str], gap: float = 12.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from foliant.functions.text import CJK, line_key, strip_math, sub, text
+from foliant.functions.text import CJK, line_key, natural_key, strip_math, sub, text
 
 
 def lines(docs: DataFrame, id_: str, column: str = "text") -> DataFrame:
@@ -24,6 +24,18 @@ def gaps(rows: DataFrame, key: list[str], number: str) -> DataFrame:
     return g.withColumn("missing", F.array_except(F.sequence(F.when(low <= 3, F.lit(1).cast("long")).otherwise(low), high), F.col("present")))
 
 
+def label_gaps(rows: DataFrame, key: list[str], label: str) -> DataFrame:
+    """key, missing: labels (see ``text.equation_id``) that are left out, by their prefix: 4.2 between 4.1 and 4.3.
+
+    A primed label counts as its number; a prefix whose least number is 3 or less starts at 1.
+    """
+    base = sub(label, r"[′']$")
+    each = rows.select(*key, F.regexp_extract(base, r"^(.*?)(\d+)$", 1).alias("_p"), F.regexp_extract(base, r"^(.*?)(\d+)$", 2).try_cast("long").alias("_n")).where("_n is not null")
+    g = gaps(each, [*key, "_p"], "_n").select(*key, F.transform("missing", lambda n: F.concat(F.col("_p"), n.cast("string"))).alias("m"))
+    by_key = lambda a, b: F.when(natural_key(a) < natural_key(b), -1).when(natural_key(a) > natural_key(b), 1).otherwise(0)
+    return g.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("m")), by_key).alias("missing"))
+
+
 def islands(rows: DataFrame, key: list[str], number: str) -> DataFrame:
     """key, lo, hi: runs of consecutive numbers."""
     d = rows.select(*key, F.col(number).alias("n")).distinct().withColumn("_g", F.col("n") - F.row_number().over(Window.partitionBy(*key).orderBy("n")))

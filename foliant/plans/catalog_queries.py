@@ -41,14 +41,14 @@ def multi_value_facet(spark, d):
     return li.join(o, "o_orderkey").distinct().groupBy(F.col("m").alias("value")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "paper_stats",
-    """select count(*) as total, count(*) filter (quality = 1) as good, count(*) filter (quality = 0) as bad, count(*) filter (toxic = 1) as toxic, count(*) filter (quality is null) as unlabelled, count(*) filter (lang = 'en') as english, count(*) filter (n_chars > 5000) as long_texts from documents left join labels using (doc_id)""",
-)
+PAPERS = """p as (select doc_id, case doc_id % 4 when 0 then 'reading' when 1 then 'notes' else 'ready' end as status, case when doc_id % 3 = 0 then 'shared' else 'private' end as visibility, lang <> 'en' as tr, quality = 1 as notes, n_chars > 5000 as pdf from documents left join labels using (doc_id))"""
+
+
+@query("paper_stats", f"with {PAPERS} select count(*) as total, count(*) filter (status = 'reading') as reading, count(*) filter (status = 'notes') as notes, count(*) filter (visibility = 'shared') as shared, count(*) filter (tr) as with_translation, count(*) filter (p.notes) as with_analysis, count(*) filter (pdf) as with_pdf from p")
 def paper_stats(spark, d):
     both = t(spark, d, "documents").select("doc_id", "lang", "n_chars").join(t(spark, d, "labels"), "doc_id", "left")
-    conds = {"good": "quality = 1", "bad": "quality = 0", "toxic": "toxic = 1", "unlabelled": "quality is null", "english": "lang = 'en'", "long_texts": "n_chars > 5000"}
-    return both.agg(F.count("*").alias("total"), *[F.count_if(F.expr(c)).alias(n) for n, c in conds.items()])
+    k = F.col("doc_id")
+    return search.stats(both.select(F.when(k % 4 == 0, "reading").when(k % 4 == 1, "notes").otherwise("ready").alias("status"), F.when(k % 3 == 0, "shared").otherwise("private").alias("visibility"), (F.col("lang") != "en").alias("hasTranslation"), (F.col("quality") == 1).alias("hasNotes"), (F.col("n_chars") > 5000).alias("hasPdf")))
 
 
 @query(
@@ -99,11 +99,11 @@ def domain_match(spark, d):
 
 @query(
     "block_filter",
-    r"""with b as (select doc_id, trim(unnest(string_split(text, chr(10)))) as blk from documents)
-select doc_id, cast(count(*) filter (blk <> '' and contains(lower(blk), 'license')) as int) as hits from b group by doc_id having count(*) filter (blk <> '' and contains(lower(blk), 'license')) > 0""",
+    r"""with b as (select doc_id, lower(regexp_replace(unnest(string_split_regex(regexp_replace(text, '(?m)^(#{1,6}\s)', chr(10) || chr(10) || '\1', 'g'), '\n{2,}')), '^\s+|\s+$', '', 'g')) as blk from documents)
+select doc_id, cast(count(*) filter (contains(blk, 'license')) as int) as hits from b group by doc_id""",
 )
 def block_filter(spark, d):
-    return search.filter_blocks(t(spark, d, "documents").select("doc_id", "text"), "license", pattern="\n").where("hits > 0").select("doc_id", "hits")
+    return search.filter_blocks(t(spark, d, "documents").select("doc_id", "text"), " License ").select("doc_id", "hits")
 
 
 @query("alias_first_wins", r"select regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') as alias, min(p_partkey) as key from part group by 1 having alias <> ''")
@@ -117,16 +117,24 @@ u as (select url, min(page_id) as pid from pages group by url)
 """
 
 
-@query("link_resolution", LINK_SQL + "select page_id, case when target like '\\_%' escape '\\' then 'nav' when pid is not null then 'paper' else 'text' end as kind, count(*) as n from l left join u on trim(target) = url group by 1, 2")
+@query(
+    "link_resolution",
+    r"""with l as (select page_id, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1), [url, '_' || url])) as target from pages),
+u as (select url, arg_max(page_id, page_id) as pid from pages group by url),
+a as (select regexp_replace(lower(r_name), '[^\p{L}\p{N}]', '', 'g') as alias, r_name as key from region union select 'the', 'THE' union select 'and', 'AND')
+select page_id, case when target like '\_%' escape '\' then 'nav' when pid is not null then 'paper' when key is not null then 'term' else 'text' end as kind, case when target like '\_%' escape '\' then null when pid is not null then cast(pid as varchar) else key end as ref, count(*) as n
+from l left join u on trim(target) = url left join a on regexp_replace(lower(target), '[^\p{L}\p{N}]', '', 'g') = alias group by all""",
+)
 def link_resolution(spark, d):
     pages = t(spark, d, "pages")
-    ls = pages.select("page_id", F.explode(links.hrefs("html")).alias("target"))
-    pids = pages.select(F.col("url").alias("pid"), F.col("page_id").cast("string").alias("slug"))
-    none = spark.createDataFrame([], "alias string, key string")
-    return links.resolve_links(ls, "target", pids, none).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+    ls = pages.select("page_id", F.explode(F.concat(links.hrefs("html"), F.array("url", F.concat(F.lit("_"), "url")))).alias("target"))
+    pids = pages.select(F.col("url").alias("pid"), F.col("page_id").cast("string").alias("slug"), "page_id")
+    words = spark.createDataFrame([("THE",), ("AND",)], "name string").unionByName(t(spark, d, "region").select(F.col("r_name").alias("name")))
+    terms = words.select(F.col("name").alias("key"), "name", F.col("name").alias("ord"), F.array().cast("array<string>").alias("aliases"))
+    return links.resolve_links(ls, "target", pids, links.alias_map(terms, ["name"], "ord"), "page_id").groupBy("page_id", "kind", "ref").agg(F.count("*").alias("n"))
 
 
-@query("dangling_links", LINK_SQL + "select page_id, count(*) as n, list_sort(list(target))[1:6] as preview from (select distinct page_id, trim(target) as target from l where target not like '\\_%' escape '\\') where target not in (select url from u where url is not null) group by page_id")
+@query("dangling_links", LINK_SQL + "select page_id, count(*) as n, list_sort(list(target))[1:6] as preview from (select distinct page_id, trim(target) as target from l where trim(target) <> '' and target not like '\\_%' escape '\\') where target not in (select url from u where url is not null) group by page_id")
 def dangling_links(spark, d):
     pages = t(spark, d, "pages")
     return links.dangling(pages, "page_id", F.transform(links.hrefs("html"), lambda s: F.trim(s)), pages, "url")
@@ -255,26 +263,30 @@ def repeated_lines(spark, d):
     return ordered.repeated_lines(t(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", share=0.05)
 
 
-@query("cjk_ratio", r"select doc_id, length(regexp_replace(text, '[^à-ÿ]', '', 'g')) as accented, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as letters from documents")
+@query("cjk_ratio", r"select doc_id, case when length(l) > 0 then (length(l) - length(replace(l, '中', ''))) / length(l) else 0.0 end as ratio from (select doc_id, regexp_replace(replace(text, 'e', '中'), '[^\p{L}]', '', 'g') as l from documents)")
 def cjk_ratio(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.length(fx.sub(fx.text("text"), "[^à-ÿ]")).alias("accented"), fx.letter_count("text").alias("letters"))
+    return t(spark, d, "documents").select("doc_id", fx.cjk_ratio(F.replace("text", F.lit("e"), F.lit("中"))).alias("ratio"))
 
 
-@query("lang_infer", r"select doc_id, case when length(regexp_replace(text, '[^ñóí]', '', 'g')) > 5 then 'es' when length(regexp_replace(text, '[^éèç]', '', 'g')) > 5 then 'fr' when length(regexp_replace(text, '[^äöüß]', '', 'g')) > 5 then 'de' else 'en' end as guess from documents")
+@query("lang_infer", """with x as (select doc_id, case doc_id % 6 when 0 then ' ZH-cn' when 1 then 'eng' when 2 then 'fr' else '' end as l, case when doc_id % 2 = 0 then '中' || lang else lang end as t, case when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then '中' || lang else source end as e from documents)
+select doc_id, case when l = ' ZH-cn' then 'zh' when l = 'eng' then 'en' when contains(t, '中') and (e = '' or e = t) then 'zh' else 'en' end as guess from x""")
 def lang_infer(spark, d):
-    n = lambda cls: F.length(fx.sub(fx.text("text"), f"[^{cls}]"))
-    return t(spark, d, "documents").select("doc_id", F.when(n("ñóí") > 5, "es").when(n("éèç") > 5, "fr").when(n("äöüß") > 5, "de").otherwise("en").alias("guess"))
+    from foliant.operators import catalog
+
+    k, zh = F.col("doc_id"), F.concat(F.lit("中"), "lang")
+    lang = F.when(k % 6 == 0, " ZH-cn").when(k % 6 == 1, "eng").when(k % 6 == 2, "fr").otherwise("")
+    return t(spark, d, "documents").select("doc_id", catalog.infer_lang(lang, F.when(k % 2 == 0, zh).otherwise(F.col("lang")), F.when(k % 5 == 0, "").when(k % 5 == 1, zh).otherwise(F.col("source"))).alias("guess"))
 
 
 @query(
     "filler_stats",
-    r"""with c as (select doc_id, regexp_extract_all(lower(text), '[a-z]') as cs, len(regexp_extract_all(lower(text), '[,.;:!?，。；：！？]')) as p, length(text) as n from documents),
-x as (select * from c where len(cs) >= 60),
-q as (select doc_id, ch, count(*) as k from (select doc_id, unnest(cs) as ch from x) group by 1, 2), r as (select doc_id, sum(k) as top from (select *, row_number() over (partition by doc_id order by k desc) as i from q) where i <= 20 group by 1)
-select doc_id, len(list_filter(list_zip(cs[1:len(cs)-1], cs[2:]), lambda z: ascii(z[2]) - ascii(z[1]) = 1)) / (len(cs) - 1) as seq, p * 100.0 / n as punct, top / len(cs) as top20 from x join r using (doc_id)""",
+    r"""with s as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\$\$[\s\S]*?\$\$', ' ', 'g'), '\$[^$\n]*\$', ' ', 'g'), '`[^`\n]*`', ' ', 'g'), '\s+', '', 'g') as s from documents),
+x as (select doc_id, s, string_split(s, '') as cs, regexp_replace(s, '[^a-z]', '', 'g') as c from s where length(regexp_replace(s, '[^a-z]', '', 'g')) >= 60),
+q as (select doc_id, ch, count(*) as k from (select doc_id, unnest(string_split(c, '')) as ch from x) group by 1, 2), r as (select doc_id, sum(k) as top from (select *, row_number() over (partition by doc_id order by k desc) as i from q) where i <= 20 group by 1)
+select doc_id, len(list_filter(list_zip(cs[1:len(cs)-1], cs[2:]), lambda z: abs(unicode(z[2]) - unicode(z[1])) = 1)) / (len(cs) - 1) as seq, length(regexp_replace(s, '[^，。；：！？、（）「」『』《》〈〉…—,.;:!?()\[\]]', '', 'g')) / length(s) * 100 as punct, top / length(c) as top20 from x join r using (doc_id)""",
 )
 def filler_stats(spark, d):
-    return ordered.filler_stats(t(spark, d, "documents"), "doc_id")
+    return ordered.filler_stats(t(spark, d, "documents"), "doc_id", letters="[a-z]")
 
 
 @query("length_band", "select doc_id, case when r < 0.7 then 'error' when r < 0.85 then 'warning' else 'ok' end as band from (select doc_id, n_chars / (select avg(n_chars) from documents) as r from documents)")
@@ -324,32 +336,44 @@ def rule_findings(spark, d):
     return rules.findings(t(spark, d, "documents"), "doc_id", own).select("doc_id", "level", "rule")
 
 
-@query("rule_report", r"""with f as (select doc_id, 'E' as level from documents where regexp_matches(text, '[A-Z]{4,}!!') union all select doc_id, 'W' from documents where len(regexp_extract_all(text, '\|')) > 10) select level, count(*) as n from f group by level""")
+@query(
+    "rule_report",
+    r"""with f as (select doc_id, 'E' as level, 'shouting' as rule from documents where regexp_matches(text, '[A-Z]{4,}!!') union all select doc_id, 'W', 'pipes' from documents where len(regexp_extract_all(text, '\|')) > 10)
+select doc_id, count(*) filter (level = 'E') = 0 as ok, coalesce(list_sort(list(rule) filter (level = 'E')), []) as errors, coalesce(list_sort(list(rule) filter (level = 'W')), []) as warnings from f group by doc_id""",
+)
 def rule_report(spark, d):
     own: list[rules.Rule] = [("shouting", "E", lambda x: rules.rx(x, "[A-Z]{4,}!!"), ""), ("pipes", "W", lambda x: rules.n(x, r"\|") > 10, "")]
-    return rules.findings(t(spark, d, "documents"), "doc_id", own).groupBy("level").agg(F.count("*").alias("n"))
+    return rules.report(rules.findings(t(spark, d, "documents"), "doc_id", own), "doc_id")
 
 
-@query("control_chars", r"select doc_id, len(regexp_extract_all(text, '[\x0A]')) as controls from documents where regexp_matches(text, '[\x0A]')")
+@query(
+    "control_chars",
+    r"""with x as (select doc_id, case when doc_id % 5 = 0 then text || chr(1) when doc_id % 5 = 1 then text || ' $$ {a $$' when doc_id % 5 = 2 then '<!-- EQ 3 -->' || text when doc_id % 5 = 3 then '$$' || text || chr(57344) else text end as t from documents)
+select doc_id, 'control' as rule from x where regexp_matches(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]') union all select doc_id, 'leftover' from x where regexp_matches(t, '<!--\s*(EQ|TABLE|ABSTRACT|REFS)\b') union all select doc_id, 'private_use' from x where regexp_matches(t, '[\x{E000}-\x{F8FF}\x{FFFD}\x{FFFE}\x{1D400}-\x{1D7FF}]')
+union all select doc_id, 'odd_math' from x where len(regexp_extract_all(t, '\$\$')) % 2 = 1 union all select doc_id, 'braces' from x where len(list_filter(regexp_extract_all(t, '\$\$([\s\S]*?)\$\$', 1), lambda b: len(regexp_extract_all(b, '\{')) <> len(regexp_extract_all(b, '\}')))) > 0""",
+)
 def control_chars(spark, d):
-    return t(spark, d, "documents").select("doc_id", rules.n(fx.text("text"), "[\\x0A]").cast("long").alias("controls")).where("controls > 0")
+    k, x = F.col("doc_id"), F.col("text")
+    put = F.when(k % 5 == 0, F.concat(x, F.lit("\x01"))).when(k % 5 == 1, F.concat(x, F.lit(" $$ {a $$"))).when(k % 5 == 2, F.concat(F.lit("<!-- EQ 3 -->"), x)).when(k % 5 == 3, F.concat(F.lit("$$"), x, F.lit("\ue000"))).otherwise(x)
+    own = [r for r in rules.MATH_RULES if r[0] in ("control", "leftover", "private_use", "odd_math", "braces")]
+    return rules.findings(t(spark, d, "documents").withColumn("text", put), "doc_id", own).select("doc_id", "rule")
 
 
-@query("html_headings", r"""select page_id, unnest(regexp_extract_all(html, '(?s)<h[1-3][^>]*>(.*?)</h[1-3]>', 1)) as heading from pages""")
+@query(
+    "html_headings",
+    r"""with h as (select page_id, unnest(regexp_extract_all(html, '(?is)<h[23][^>]*>.*?</h[23]>')) as h from pages)
+select page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) as heading, cast(substr(h, 3, 1) as int) as level from h""",
+)
 def html_headings(spark, d):
-    return t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<h[1-3][^>]*>(.*?)</h[1-3]>"))).alias("heading"))
+    from foliant.operators import markdown
 
+    return t(spark, d, "pages").select("page_id", F.explode(markdown.html_headings("html")).alias("h")).select("page_id", F.col("h.text").alias("heading"), "h.level")
 
-@query(
-    "section_assign",
-    """with l as (select conv_id, turn, role, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from conversations)
-select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from conversations""",
-)
-def section_assign(spark, d):
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w).alias("section"))
+@query("section_assign", "select p_partkey, i as line_no, case i when 0 then null when 1 then p_name when 2 then p_name else p_type end as section from part, range(0, 5) r(i)")
+def section_assign(spark, d):
+    md = F.concat(F.lit("front\n## "), "p_name", F.lit("\nbody\n##  "), "p_type", F.lit("\n### lower"))
+    return ordered.sections(t(spark, d, "part").select("p_partkey", md.alias("text")), "p_partkey").select("p_partkey", "line_no", "section")
 
 
 @query("url_encode_path", "select page_id, array_to_string(list_transform(string_split(url || '/a b*c', '/'), lambda x: url_encode(x)), '/') as encoded from pages")
@@ -364,11 +388,16 @@ def sentence_pick(spark, d):
 
 @query(
     "vocab_import",
-    r"""with w as (select lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) as word, conv_id, turn from conversations) select word, count(distinct (conv_id, turn)) as examples from w group by word""",
+    """with b as (select lower(n_name) as key, n_name || ' one' as old, n_nationkey as k from nation where n_nationkey % 3 <> 0)
+select lower(n_name) as key, case when n_nationkey % 3 = 0 then [n_name || ' ONE', 'about ' || n_name] else [n_name || ' one', 'about ' || n_name] end as examples, case when n_nationkey % 3 = 0 then 'added' else 'merged' end as status from nation""",
 )
 def vocab_import(spark, d):
-    w = t(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})")), F.lower))).alias("word"))
-    return w.distinct().groupBy("word").agg(F.count("*").alias("examples"))
+    n = t(spark, d, "nation")
+    book = n.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("word"), F.array(F.concat("n_name", F.lit(" one"))).alias("examples"))
+    k = F.col("n_nationkey")
+    said = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), w.alias("word"), x.alias("sentence")) for i, w, x in ((0, F.col("n_name"), F.concat("n_name", F.lit("  ONE"))), (1, F.lower("n_name"), F.concat(F.lit("about "), "n_name")), (2, F.col("n_name"), F.lit(" ")))]))
+    words = n.select(k, said.alias("s")).select("s.word", F.regexp_replace("s.sentence", "  ", " ").alias("sentence"), (k * 3 + F.col("s.i")).alias("ord"))
+    return sync.import_vocab(book, words).select("key", "examples", "status")
 
 
 @query("keyword_chips", r"select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[；;,，]'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '[.。]+$', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '') as chips from documents")
@@ -418,14 +447,19 @@ def json_props(spark, d):
 
 @query("orphans", "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def orphans(spark, d):
+    from foliant.sources import sinks
+
     li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return t(spark, d, "orders").select("o_orderkey").join(li, "o_orderkey", "left_anti")
+    return sinks.orphans(t(spark, d, "orders").select("o_orderkey"), li, "o_orderkey")
 
 
 @query("stale", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
 def stale(spark, d):
-    used = t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return t(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+    from foliant.sources import sinks
+
+    name = lambda key, kind: F.concat(F.col(key).cast("string"), F.lit(kind)).alias("name")
+    mirror = t(spark, d, "part").select("p_partkey", name("p_partkey", ".png.webp"))
+    return sinks.stale_images(mirror, t(spark, d, "lineitem").where("l_quantity > 45").select(name("l_partkey", ".png"))).select("p_partkey")
 
 
 @query("inc_copy_decision", "select s.event_id, case when d.event_id is null or s.value <> d.value or d.ts < s.ts - interval 2 seconds then 'copy' else 'skip' end as action from events s left join (select event_id, value, ts - interval 1 second * (event_id % 4) as ts from events where event_id % 10 <> 0) d using (event_id)")

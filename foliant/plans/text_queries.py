@@ -78,16 +78,17 @@ def status_counts(spark, d):
 
 @query(
     "assign_regions",
-    """with r as (select l_orderkey as page, l_quantity * 8 as x0, l_linenumber * 100.0 as y0, l_quantity * 8 + 60 as x1, l_linenumber * 100.0 + 40 as y1 from lineitem where l_linenumber % 2 = 0),
-c as (select l_orderkey as page, cast(l_linenumber as varchar) as num, l_quantity * 8 as cx0, l_linenumber * 100.0 as cy0, l_quantity * 8 + 60 as cx1, l_linenumber * 100.0 + 20 as cy1 from lineitem where l_linenumber % 2 = 1),
-x as (select r.*, num, cy0, case when cy0 >= y1 then cy0 - y1 when cy1 <= y0 then y0 - cy1 + 60 else 0 end as dist from r join c using (page) where least(x1, cx1) - greatest(x0, cx0) > -20),
-b as (select *, row_number() over (partition by page, x0, y0, x1, y1 order by dist, num) as k from x where dist <= 180)
-select page, num, min(x0) as x0, min(y0) as y0, max(x1) as x1, case when min(cy0) > min(y0) then least(max(y1), min(cy0)) else max(y1) end as y1 from b where k = 1 group by page, num""",
+    """with r as (select l_orderkey as page, l_quantity * 8.0 as x0, l_linenumber * 100.0 as y0, l_quantity * 8.0 + 60 as x1, l_linenumber * 100.0 + 40 + l_quantity % 90 as y1 from lineitem where l_linenumber % 2 = 0),
+c as (select l_orderkey as page, cast(l_linenumber as varchar) as num, l_quantity * 8.0 as cx0, l_linenumber * 100.0 as cy0, l_quantity * 8.0 + 60 as cx1, l_linenumber * 100.0 + 20 as cy1 from lineitem where l_linenumber % 2 = 1),
+x as (select r.*, num, case when cy0 >= y1 - 6 then cy0 - y1 when cy1 <= y0 + 6 then y0 - cy1 + 60 else 0 end as dist from r join c using (page) where least(x1, cx1) - greatest(x0, cx0) > -20),
+b as (select *, row_number() over (partition by page, x0, y0, x1, y1 order by dist, num) as k from x where dist <= 180),
+u as (select page, num, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from b where k = 1 group by page, num)
+select page, num, cast(x0 as double) as x0, cast(y0 as double) as y0, cast(x1 as double) as x1, cast(least(y1, min(case when least(x1, cx1) > greatest(x0, cx0) and least(y1, cy1) > greatest(y0, cy0) and cy0 > y0 + 20 then cy0 - 2 else y1 end)) as double) as y1 from u join c using (page, num) group by page, num, x0, y0, x1, y1""",
 )
 def assign_regions(spark, d):
-    li, n, x = t(spark, d, "lineitem"), F.col("l_linenumber"), F.col("l_quantity") * 8
+    li, n, x = t(spark, d, "lineitem"), F.col("l_linenumber"), F.col("l_quantity") * 8.0
     box = lambda h: [F.col("l_orderkey").alias("page"), x.alias("x0"), (n * 100.0).alias("y0"), (x + 60).alias("x1"), (n * 100.0 + h).alias("y1")]
-    return layout.assign_regions(li.where(n % 2 == 1).select(*box(20), n.cast("string").alias("num")), li.where(n % 2 == 0).select(*box(40)), ["page"])
+    return layout.assign_regions(li.where(n % 2 == 1).select(*box(F.lit(20)), n.cast("string").alias("num")), li.where(n % 2 == 0).select(*box(F.lit(40) + F.col("l_quantity") % 90)), ["page"])
 
 
 @query(
