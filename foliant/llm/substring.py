@@ -11,6 +11,10 @@ only between two that go.  A run of units is cut out if it has ``min_words``
 words, so a chance repeat of a short sentence stays.  Offsets are code points of
 the original text.
 
+A shorter run (``min_words`` is 20) is no passage: single sentences and short
+lines that two documents share by chance, or by custom, are left alone.  For
+line dedup in the narrow sense set ``min_words`` to 1.
+
 Repeats within a document are settled where the text is read, so a digest is
 sent once per document.  The groups are a partial aggregate (count and lowest
 id), so a unit that a third of all documents hold is pre-aggregated; the marks
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, mix, powers, text_chunks, words
+from .common import U, mix, powers, text_chunks, words, written
 
 END = np.zeros(256, bool)
 END[[0x21, 0x2E, 0x3F]] = True  # ! . ?
@@ -117,9 +121,9 @@ def removed_units(gone: np.ndarray, small: np.ndarray, size: np.ndarray, min_wor
     return gone
 
 
-def dedup_substrings(docs: DataFrame, unit_words: int = 4, min_words: int = 8) -> DataFrame:
+def dedup_substrings(docs: DataFrame, unit_words: int = 4, min_words: int = 20) -> DataFrame:
     """doc_id, text -> doc_id, n_units, n_removed, removed and kept (spans), text (what is kept)."""
-    units = unit_digests(docs, unit_words)
+    units = written(unit_digests(docs, unit_words), "units")  # read twice below, hashed once
     repeated = units.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     marks = units.join(repeated, ["h1", "h2"]).where("key > first").groupBy("key").agg(F.collect_set("h1").alias("marks"))
     both = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("key")).join(marks, "key", "left").select("doc_id", "text", "marks")

@@ -83,7 +83,7 @@ def test_sliced_columns_with_nulls():
 def test_substring_keeps_the_first_and_offsets(spark):
     passage = "This passage has quite a few words in it. And a second sentence of some length follows here!"
     texts = ["Own start one two three four. " + passage, passage + "\nAnother line of its own with words.", None, "", "short. " + passage + " tail end of four words", "short."]
-    rows = {r.doc_id: r for r in substring.dedup_substrings(frame(spark, texts)).collect()}
+    rows = {r.doc_id: r for r in substring.dedup_substrings(frame(spark, texts), min_words=8).collect()}
     assert rows[0].n_removed == 0 and rows[0].text == texts[0]
     assert rows[1].text == "\nAnother line of its own with words." and rows[1].n_removed >= 2
     assert passage not in rows[4].text and "tail end of four words" in rows[4].text
@@ -97,11 +97,69 @@ def test_substring_keeps_the_first_and_offsets(spark):
 def test_substring_within_a_text_and_odd_rows(spark):
     line = "the very same line of exactly these nine words"
     docs = frame(spark, [f"{line}\n{line}\nother words that stand alone in the text", line, line, line], ids=[5, None, None, 2])
-    rows = sorted(((r.doc_id, (r.text or "").count(line)) for r in substring.dedup_substrings(docs).collect()), key=str)
+    rows = sorted(((r.doc_id, (r.text or "").count(line)) for r in substring.dedup_substrings(docs, min_words=8).collect()), key=str)
     assert rows == [(2, 1), (5, 0), (None, 0), (None, 0)]
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def brute_units(text):
+    """(start, end, words) of the units of a text, by plain rules."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    hashes = [int(common.words(np.frombuffer(text[a:b].encode(), np.uint8), np.array([0, len(text[a:b].encode())]))[0][0]) for a, b in spans]
+    ends = set()
+    for i, (a, b) in enumerate(spans):
+        mark = text[b - 1] in ".!?" and not (b - a > 1 and text[b - 2] in ".!?")
+        if mark or i + 1 == len(spans) or "\n" in text[b : spans[i + 1][0]]:
+            ends.add(i)
+    out, begin = [], 0
+    cuts = set(ends)
+    for i in sorted(ends):
+        if i - begin + 1 > substring.LONG:
+            cuts |= {k for k in range(begin, i + 1) if common.mix(np.array([hashes[k] ^ 0x2545F491], np.uint64))[0] % substring.CUT == 0 and (k == 0 or hashes[k] != hashes[k - 1])}
+        begin = i + 1
+    begin = 0
+    for i in sorted(cuts):
+        out.append((spans[begin][0], spans[i][1], tuple(words_of(text[spans[begin][0] : spans[i][1]]))))
+        begin = i + 1
+    return out
+
+
+def brute_dedup(texts, unit_words=4, min_words=20):
+    """Removed spans of each text; texts come in the order of their rank."""
+    seen, out = set(), []
+    for text in texts:
+        units, own = brute_units(text or ""), set()
+        gone = []
+        for _, _, w in units:
+            gone.append(len(w) >= unit_words and (w in seen or w in own))
+            own.add(w)
+        seen |= {w for w in own if len(w) >= unit_words}
+        small = [len(w) < unit_words for _, _, w in units]
+        for i in [i for i, x in enumerate(small) if x]:
+            before = next((gone[j] for j in range(i - 1, -1, -1) if not small[j]), False)
+            gone[i] = before and next((gone[j] for j in range(i + 1, len(units)) if not small[j]), False)
+        cuts, i = [], 0
+        while i < len(units):
+            j = i
+            while j < len(units) and gone[j]:
+                j += 1
+            if j > i and sum(len(w) for *_, w in units[i:j]) >= min_words:
+                cuts.append((units[i][0], units[j - 1][1]))
+            i = max(j, i + 1)
+        out.append(cuts)
+    return out
+
+
+def test_substring_equals_brute_force(spark, corpus):
+    rng = random.Random(15)
+    sentences = [" ".join("w%d" % rng.randrange(300) for _ in range(rng.randrange(2, 40))) + rng.choice([".", "!!", "", "?"]) for _ in range(60)]
+    texts = [*corpus, *(rng.choice(["\n", " "]).join(rng.choices(sentences, k=rng.randrange(1, 12))) for _ in range(80))]
+    want = brute_dedup(texts)
+    for r in substring.dedup_substrings(frame(spark, texts)).collect():
+        assert [(k.start, k.end) for k in r.removed] == want[r.doc_id], r.doc_id
+    assert sum(map(bool, want)) > 40
+
+
 # 2
 
 
