@@ -33,11 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_dir
 
 WIDTH = 192
+STRETCH = 16 << 20  # bytes of a shard that one task reads back
 PNG = b"\x89PNG\r\n\x1a\n"
 
 INDEX = "doc_id {id}, n_bytes long, digest string, shard string, offset long, length long"
@@ -180,15 +182,16 @@ class RangeReader:
         return self.file.read_at(length, offset)
 
     def features(self, digest: str, shard: str, offset: int, length: int) -> tuple:
-        if digest not in self.done:
+        key = (shard, offset)  # each stored copy is read back, equal digests or not
+        if key not in self.done:
             width, height = png_header(self.read(shard, offset, 33))
             data = self.read(shard, offset, length)
             payload = decode_png(data)
-            self.done[digest] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), width, height, feature(payload, width, height))
+            self.done[key] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), width, height, feature(payload, width, height))
             if len(self.done) > self.keep:
                 self.done.popitem(last=False)
-        self.done.move_to_end(digest)
-        return self.done[digest]
+        self.done.move_to_end(key)
+        return self.done[key]
 
 
 def read_features(index: DataFrame, folder: str) -> DataFrame:
@@ -215,7 +218,11 @@ def media_columns(docs: DataFrame, shard_mb: int = 64) -> DataFrame:
     folder = shared_dir(spark, "media")
     index = store(docs, f"{folder}/shards", shard_mb)
     index.write.parquet(f"{folder}/index")
-    return read_features(spark.read.schema(index.schema).parquet(f"{folder}/index"), f"{folder}/shards")
+    stored = spark.read.schema(index.schema).parquet(f"{folder}/index")
+    # the index is tiny: it is dealt by the bytes that its rows point to, a stretch of a shard each
+    total = stored.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / STRETCH)
+    return read_features(stored.repartition(max(1, -(-total // STRETCH)), "shard", stretch), f"{folder}/shards")
 
 
 def members(data: bytes) -> list[str]:
