@@ -147,11 +147,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    The setting is read from the session; only where it is unset (tests on one
-    machine) a folder under /tmp is set for the session.
+    The setting is read from the session.  Where it is unset, a folder under /tmp is
+    set for the session if all runs in one process (tests); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         base = "file:///tmp/foliant-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/foliant/{kind}-{uuid.uuid4().hex}"

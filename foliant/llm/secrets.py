@@ -305,7 +305,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, sizes = b.column("text").to_pylist(), b.column("n_chars").to_pylist()
+            texts = b.column("text").to_pylist()
+            sizes = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else [None] * len(texts)
             for i, t in enumerate(texts):
                 if t and (spans := all_spans(t)[1]):
                     texts[i] = cut(t, spans, mark)
