@@ -36,6 +36,13 @@ def label_gaps(rows: DataFrame, key: list[str], label: str) -> DataFrame:
     return g.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("m")), by_key).alias("missing"))
 
 
+def set_differences(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """key, side: what was expected and isn't found (missing), what is found and wasn't expected (extra), and what is both."""
+    a, b = expected.select(key).distinct(), found.select(key).distinct()
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), key, "full")
+    return both.select(key, F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").otherwise("both").alias("side"))
+
+
 def islands(rows: DataFrame, key: list[str], number: str) -> DataFrame:
     """key, lo, hi: runs of consecutive numbers."""
     d = rows.select(*key, F.col(number).alias("n")).distinct().withColumn("_g", F.col("n") - F.row_number().over(Window.partitionBy(*key).orderBy("n")))

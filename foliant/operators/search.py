@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import c, search_text, strip, sub, text
@@ -160,6 +160,11 @@ def grouped(rows: DataFrame, domain: str, order: list[Column], fields: list[str]
     return rows.groupBy(*domain_key(domain, topic)).agg(items.alias("members")).orderBy(F.collate("major", locale), F.collate("sub", locale))
 
 
+def ranked_members(rows: DataFrame, domain: str, *order: Column) -> DataFrame:
+    """rows with rank: their place among the rows of their domain.  Needs no array of members."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(domain).orderBy(*order)))
+
+
 def group_sizes(rows: DataFrame, domain: str, first: str) -> DataFrame:
     """major, sub, n, first: the size and the first member of each domain, without its members."""
     return rows.groupBy(*domain_key(domain)).agg(F.count("*").alias("n"), F.min(first).alias("first"))

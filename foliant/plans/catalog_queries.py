@@ -9,8 +9,6 @@ from foliant.functions import text as fx
 from foliant.operators import activity, links, ordered, rules, search, sync
 from foliant.plans.registry import query
 
-LAST_DAY = "2024-12-31 12:00:00"
-
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -38,7 +36,8 @@ def faceted_search(spark, d):
 def multi_value_facet(spark, d):
     li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.date_format("l_shipdate", "yyyy-MM").alias("m"))
     o = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
-    return li.join(o, "o_orderkey").distinct().groupBy(F.col("m").alias("value")).agg(F.count("*").alias("n"))
+    hits = li.join(o, "o_orderkey").groupBy("o_orderkey").agg(F.collect_list("m").alias("months"))  # an order's few lines
+    return search.facet_counts(hits, {"month": F.col("months")}, {}).select("value", "n")
 
 
 PAPERS = """p as (select doc_id, case doc_id % 4 when 0 then 'reading' when 1 then 'notes' else 'ready' end as status, case when doc_id % 3 = 0 then 'shared' else 'private' end as visibility, lang <> 'en' as tr, quality = 1 as notes, n_chars > 5000 as pdf from documents left join labels using (doc_id))"""
@@ -70,10 +69,7 @@ def topic_series(spark, d):
     """select p_brand, p_partkey, cast(row_number() over (partition by p_brand order by p_retailprice desc, p_name, p_partkey) as int) as rank from part""",
 )
 def group_members_ranked(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_name", "p_partkey")
-    return t(spark, d, "part").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank"))
+    return search.ranked_members(t(spark, d, "part"), "p_brand", F.desc("p_retailprice"), F.col("p_name"), F.col("p_partkey")).select("p_brand", "p_partkey", "rank")
 
 
 @query(
@@ -324,16 +320,17 @@ def jaccard_title(spark, d):
 
 @query(
     "rule_findings",
-    r"""select doc_id, 'W' as level, 'secret' as rule from documents where regexp_matches(text, '(?i)password|secret|token')
-union all select doc_id, 'E', 'shouting' from documents where regexp_matches(text, '[A-Z]{4,}!!') union all select doc_id, 'W', 'pipes' from documents where len(regexp_extract_all(text, '\|')) > 10""",
+    r"""with x as (select doc_id, case doc_id % 7 when 0 then '<!--TLDR-->' || text when 1 then '<!--REFS_AUTO-->' || text when 2 then '[[[a]]] $$' || text when 3 then '| a < b |' || chr(10) || text when 4 then '见英文原文' || text when 5 then '# T' || chr(10) || 'A^{1}' || chr(10) || 'Received 3 May' || chr(10) || '## 要点' || chr(10) || text else text end as t from documents)
+select doc_id, 'E' as level, 'marker' as rule from x where regexp_matches(t, '<!--(/?(SCI_Q|TLDR|SCORE|RELATED|KEYPOINTS|QA|ARTICLE_EN|ARTICLE|ORIGINAL)|TERMS_(START|END))-->')
+union all select doc_id, 'E', 'odd_math' from x where len(regexp_extract_all(t, '\$\$')) % 2 = 1 union all select doc_id, 'E', 'refs_auto' from x where contains(t, '<!--REFS_AUTO-->') <> contains(t, '<!--/REFS_AUTO-->')
+union all select doc_id, 'W', 'triple_bracket' from x where contains(t, '[[[') union all select doc_id, 'W', 'table_angle' from x where len(list_filter(string_split(t, chr(10)), lambda s: starts_with(ltrim(s), '|') and regexp_matches(regexp_replace(s, '\\lt|\\gt|&lt;|&gt;', '', 'g'), '(^|[^\\])[<>]'))) > 0
+union all select doc_id, 'E', 'omission' from x where contains(t, '见英文原文') union all select doc_id, 'E', 'author_sup' from x where regexp_matches(t, '\^\{\d') and starts_with(t, '# T') union all select doc_id, 'E', 'forbidden_h2' from x where regexp_matches(t, '(?im)^##\s+(Key Points|要点|通俗摘要|Plain Language Summary)') union all select doc_id, 'E', 'journal_shell' from x where regexp_matches(t, '(?im)^(Correspondence to:|Citation:|Received \d|Accepted \d)')""",
 )
 def rule_findings(spark, d):
-    own: list[rules.Rule] = [
-        ("secret", "W", lambda x: rules.rx(x, "(?i)password|secret|token"), ""),
-        ("shouting", "E", lambda x: rules.rx(x, "[A-Z]{4,}!!"), ""),
-        ("pipes", "W", lambda x: rules.n(x, r"\|") > 10, ""),
-    ]
-    return rules.findings(t(spark, d, "documents"), "doc_id", own).select("doc_id", "level", "rule")
+    k, x = F.col("doc_id"), F.col("text")
+    put = F.when(k % 7 == 0, F.concat(F.lit("<!--TLDR-->"), x)).when(k % 7 == 1, F.concat(F.lit("<!--REFS_AUTO-->"), x)).when(k % 7 == 2, F.concat(F.lit("[[[a]]] $$"), x)).when(k % 7 == 3, F.concat(F.lit("| a < b |\n"), x)).when(k % 7 == 4, F.concat(F.lit("见英文原文"), x)).when(k % 7 == 5, F.concat(F.lit("# T\nA^{1}\nReceived 3 May\n## 要点\n"), x)).otherwise(x)
+    own = [*rules.DOC_RULES, *rules.ZH_RULES, *rules.EN_RULES]
+    return rules.findings(t(spark, d, "documents").withColumn("text", put), "doc_id", own).select("doc_id", "level", "rule")
 
 
 @query(
@@ -437,7 +434,9 @@ def two_col_order(spark, d):
 
 @query("content_hash_dedupe", "select sha256(text) as digest, min(doc_id) as kept, count(*) as copies from documents group by 1 having count(*) > 1")
 def content_hash_dedupe(spark, d):
-    return t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+    from foliant.sources import sinks
+
+    return sinks.repeated_content(t(spark, d, "documents"), "doc_id", "text")
 
 
 @query("json_props", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -472,12 +471,9 @@ def inc_copy_decision(spark, d):
     return copy_plan(src, dst, "event_id")
 
 
-@query("set_operations", "select k, s from ((select p_partkey as k, 'except' as s from part except select l_partkey, 'except' from lineitem where l_quantity < 10) union (select s_suppkey, 'intersect' from supplier intersect select l_suppkey, 'intersect' from lineitem where l_quantity > 49))")
+@query("set_operations", "select k, case when l is null then 'missing' when p is null then 'extra' else 'both' end as side from (select distinct p_partkey as k, 1 as p from part where p_size > 10) full join (select distinct l_partkey as k, 1 as l from lineitem where l_quantity > 40) using (k)")
 def set_operations(spark, d):
-    li = t(spark, d, "lineitem")
-    a = t(spark, d, "part").select(F.col("p_partkey").alias("k")).exceptAll(li.where("l_quantity < 10").select("l_partkey").distinct()).withColumn("s", F.lit("except"))
-    b = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).intersect(li.where("l_quantity > 49").select("l_suppkey")).withColumn("s", F.lit("intersect"))
-    return a.union(b).distinct()
+    return ordered.set_differences(t(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("k")), t(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("k")), "k")
 
 
 @query("natural_order", "select p_partkey, p_brand, ascii(substr(p_brand, 1, 1)) as prefix, [cast(regexp_extract(p_brand, '(\\d+)', 1) as int)] as numbers from part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
-from foliant.operators import catalog, citations, layout, links, markdown, ordered, reader, rules, search
+from foliant.operators import catalog, citations, layout, links, markdown, metadata, ordered, reader, rules, search
 from foliant.plans.catalog_queries import PAPERS, t
 from foliant.plans.registry import query
 from foliant.sources import sinks
@@ -252,3 +252,32 @@ def hierarchical_gaps(spark, d):
     rows = t(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("A."), n).alias("label"))
     g = ordered.label_gaps(rows, ["l_orderkey"], "label")
     return g.select("l_orderkey", F.transform("missing", lambda x: F.substring_index(x, ".", -1).cast("long")).alias("missing"))
+
+
+@query("page_dois", "select page_id, case when page_id % 3 = 0 then '10.1234/b' || page_id else '10.1234/a' || page_id end as doi from pages")
+def page_dois(spark, d):
+    k = F.col("page_id").cast("string")
+    first = F.concat(F.when(F.col("page_id") % 3 == 0, "Ref. (2019) ").otherwise("x "), F.lit("doi 10.1234/a"), k, F.lit("."))
+    p = t(spark, d, "pages")
+    return metadata.find_doi(p.select("page_id", F.lit(1).alias("page"), first.alias("text")).unionByName(p.select("page_id", F.lit(2).alias("page"), F.concat(F.lit("own 10.1234/b"), k, F.lit(";")).alias("text"))), "page_id")
+
+
+@query("formatted_references", "select p_partkey, p_name || ' A title, 2020. ｜ [🔗 DOI](https://doi.org/10.1000/' || p_partkey || ')' as ref from part")
+def formatted_references(spark, d):
+    raw = F.concat("p_name", F.lit("  A\ntitle, 2020. https://doi.org/10.1000/"), F.col("p_partkey").cast("string"), F.lit("."))
+    return t(spark, d, "part").select("p_partkey", metadata.format_reference(raw).alias("ref"))
+
+
+@query("label_census", """select l_orderkey, kind, label from (select distinct l_orderkey, 'figure' as kind, 'B.' || l_linenumber as label from lineitem where l_quantity > 10 union select distinct l_orderkey, 'table', cast(l_linenumber as varchar) from lineitem where l_quantity <= 10)""")
+def label_census(spark, d):
+    n = F.col("l_linenumber").cast("string")
+    line = F.when(F.col("l_quantity") > 10, F.concat(F.lit("Fig. B."), n, F.lit(" Values of x"))).otherwise(F.concat(F.lit("Table 0"), n, F.lit(". Values of y\nTable "), n, F.lit(" shows more")))
+    docs = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("f"))
+    return metadata.census(docs.withColumn("c", F.lit("")), "l_orderkey", "f", "c")
+
+
+@query("embedded_images", "select p_partkey, cast(case p_partkey % 3 when 0 then 1 when 1 then 1 else 0 end as bigint) as changes, case p_partkey % 3 when 0 then 'x' || chr(10) || chr(10) || '![[f.png|700]]' || chr(10) || chr(10) || '**Fig. 1.** ' || p_name when 1 then '![[f.png|700]]' || chr(10) || '**Fig. 1.** ' || p_name else '![[f.png]]' || chr(10) || chr(10) || '**Fig. 1.** ' || p_name end as text from part")
+def embedded_images(spark, d):
+    k = F.col("p_partkey")
+    docs = t(spark, d, "part").select(k, F.concat(F.when(k % 3 == 0, "x\n").when(k % 3 == 1, "![[old.png]]\n").otherwise("![[f.png]]\n\n"), F.lit("**Fig. 1.** "), "p_name").alias("text"))
+    return metadata.embed_images(docs, "p_partkey", docs.select(k, F.lit("1").alias("num"), F.lit("f.png").alias("file")))

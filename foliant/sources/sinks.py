@@ -36,6 +36,11 @@ def changed(new: DataFrame, old: DataFrame, key: str, content: str) -> DataFrame
     return both.where(~F.sha2(F.col(content).cast("binary"), 256).eqNullSafe(F.col("_h"))).drop("_h")
 
 
+def repeated_content(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """digest, kept, copies: contents that stand more than once, by their hash, with the least key."""
+    return rows.groupBy(F.sha2(F.col(content).cast("binary"), 256).alias("digest")).agg(F.min(key).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+
+
 def orphans(existing: DataFrame, produced: DataFrame, key: str) -> DataFrame:
     """What this run did not produce."""
     return existing.join(produced.select(key).distinct(), key, "left_anti")
