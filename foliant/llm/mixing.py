@@ -56,15 +56,15 @@ def mix_targets(per_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, sha
     )
 
 
-def mix_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def mix_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """Rows of one id, or without an id, are dealt by their texts."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 8, range_rows: int = 2000) -> DataFrame:
     """doc_id, source -> doc_id, source, size, source_size, target, taken, and the
     hash of the text that tells rows of one id apart."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    keyed = sized.withColumn("_key", mix_key(F.col("doc_id"), seed))
+    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), mix_key(F.col("doc_id"), F.col("text"), seed).alias("_key"))
     # hex digits of the key that deal a source into ranges, by the rows there are
     digits = max(1, math.ceil(math.log(max(1, docs.count() / range_rows), 16)))
     keyed = keyed.withColumn("_fine", F.substring("_key", 1, digits))
@@ -95,7 +95,7 @@ def oracle_sql(weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs:
     w = "case " + " ".join(f"when i % {len(weights)} = {k} then {float(x)}" for k, x in enumerate(weights)) + " end"
     one = " + ".join(f"greatest(0, least(size, cast(round(target) as bigint) - {e} * source_size - before))" for e in range(epochs))
     return f"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size, md5('{seed}:' || coalesce(cast(doc_id as varchar), '')) as k from documents),
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size, md5('{seed}:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as k from documents),
 s as (select source, cast(sum(size) as double) as n, row_number() over (order by source nulls last) - 1 as i from d group by source),
 c as (select *, {w} as w, {float(epochs)} * n as cap from s),
 l as (select a.i, ({float(share)} * (select sum(n) from c) - coalesce((select sum(b.cap) from c b where (b.cap / b.w, b.i) < (a.cap / a.w, a.i)), 0)) / (select sum(b.w) from c b where (b.cap / b.w, b.i) >= (a.cap / a.w, a.i)) as level, a.cap / a.w as ratio from c a),

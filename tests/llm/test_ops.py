@@ -17,6 +17,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import common, decontaminate, lm_score, media, mixing, near_dup, pii, quality, secrets, substring, url_filters
 
@@ -512,6 +513,21 @@ def test_mixing_meets_its_targets(spark, sources):
     assert mixing.mix_sources(frame(spark, ["", None])).select("taken").distinct().collect()[0][0] == 0
 
 
+def test_mixing_of_repeated_and_missing_ids(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randrange(1, 40)) for _ in range(90)] + ["same text here"] * 30
+    ids = [None if i % 3 == 0 else i % 5 for i in range(120)]
+    src = ["a" if i % 4 else None for i in range(120)]
+    docs = frame(spark, texts, ids=ids, sources=src)
+    rows = mixing.mix_sources(docs, range_rows=5).collect()
+    assert len(rows) == 120 and all(0 <= r.taken <= 2 * r.size for r in rows)
+    for s in ("a", None):
+        own = [r for r in rows if r.source == s]
+        assert sum(r.taken for r in own) == round(own[0].target) and own[0].source_size == sum(len(words_of(t)) for t, x in zip(texts, src, strict=True) if x == s)
+    keys = {r[0] for r in docs.select(mixing.mix_key(F.col("doc_id"), F.col("text"), 8)).collect()}
+    assert len(keys) > 90  # not one window for all rows without an id
+
+
 # 9
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
