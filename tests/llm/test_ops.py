@@ -752,6 +752,86 @@ def test_lm_every_context_has_its_restaurant(spark):
     assert model > yardstick - 0.05 and model > mean(lambda i: rows[i].base_score) + 1.0
 
 
+class PlainSampler:
+    """The same model with every customer reseated one at a time."""
+
+    def __init__(self, train, rng, d1, d0=0.5, theta1=2.0, theta0=10.0):
+        self.rng, self.d1, self.d0, self.theta1, self.theta0 = rng, d1, d0, theta1, theta0
+        self.pairs = [p for t in train for p in zip([None, *t[:-1]], t, strict=True)]
+        self.v = len({w for _, w in self.pairs})
+        self.rest, self.root = collections.defaultdict(list), collections.defaultdict(list)
+        self.customers, self.tables = collections.Counter(), collections.Counter()
+        self.total = [0, 0]
+        for u, w in self.pairs:
+            self.sit(u, w)
+
+    def base(self):
+        return (self.theta0 + self.d0 * self.total[1]) / (self.theta0 + self.total[0]) / (self.v + 1)
+
+    def low(self, w):
+        return (sum(self.root[w]) - self.d0 * len(self.root[w])) / (self.theta0 + self.total[0]) + self.base()
+
+    def place(self, sizes, d, new):
+        x = self.rng.random() * (sum(sizes) - d * len(sizes) + new)
+        for i, n in enumerate(sizes):
+            x -= n - d
+            if x < 0:
+                sizes[i] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def leave(self, sizes):
+        i = self.rng.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            sizes.pop(i)
+            return True
+        return False
+
+    def sit(self, u, w):
+        self.customers[u] += 1
+        if self.place(self.rest[u, w], self.d1, (self.theta1 + self.d1 * self.tables[u]) * self.low(w)):
+            self.tables[u] += 1
+            self.total[0] += 1
+            self.total[1] += self.place(self.root[w], self.d0, (self.theta0 + self.d0 * self.total[1]) / (self.v + 1))
+
+    def sweep(self):
+        for u, w in self.pairs:
+            self.customers[u] -= 1
+            if self.leave(self.rest[u, w]):
+                self.tables[u] -= 1
+                self.total[0] -= 1
+                self.total[1] -= self.leave(self.root[w])
+            self.sit(u, w)
+
+    def probability(self, u, w):
+        own = self.rest.get((u, w), [])
+        return (sum(own) - self.d1 * len(own) + (self.theta1 + self.d1 * self.tables[u]) * self.low(w)) / (self.theta1 + self.customers[u])
+
+
+def test_lm_against_a_plain_sampler(spark):
+    rng = random.Random(17)
+    texts = [prose(rng, 60, 80) for _ in range(100)]
+    rows = {r.doc_id: r for r in lm_score.score_documents(frame(spark, texts)).collect()}
+    toks = [[*words_of(t), "</s>"] for t in texts]
+    train = [t for i, t in enumerate(toks) if not rows[i].held_out]
+    seen = collections.Counter(collections.Counter(p for t in train for p in zip([None, *t[:-1]], t, strict=True)).values())
+    plain = PlainSampler(train, rng, lm_score.discount(seen[1], seen[2]))
+    mean = collections.Counter()
+    for k in range(12):
+        plain.sweep()
+        if k >= 4:
+            for i, t in enumerate(toks):
+                for j, p in enumerate(zip([None, *t[:-1]], t, strict=True)):
+                    mean[i, j] += plain.probability(*p) / 8
+    for held in (True, False):
+        own = [i for i in rows if rows[i].held_out == held]
+        want = sum(math.log10(mean[i, j]) for i in own for j in range(len(toks[i])))
+        got = sum(rows[i].score for i in own)
+        assert got == pytest.approx(want, rel=0.02), held
+
+
 def test_tables_of_one_customer_and_growth():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 5, 1000])
