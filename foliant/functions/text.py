@@ -117,7 +117,7 @@ def prose_length(x: Column | str) -> Column:
     """Characters without math, embeds, captions, table and quote lines, and white space."""
     t = strip_math(x)
     t = sub(t, r"!\[\[[^\]]*\]\]")
-    t = sub(t, r"(?m)^[ \t]*(?:\||>).*$")
+    t = sub(t, r"(?m)^(?:\||>).*$")
     t = sub(t, r"(?m)^\*\*(?:Fig\.?|Figure|Table|图|表)[^\n]*$")
     return F.length(sub(t, r"\s+"))
 

@@ -73,6 +73,9 @@ def slug(citekey: Column | str, pid: Column | str) -> Column:
     return F.when(F.trim(text(citekey)) != "", key).otherwise(F.coalesce(blank_to_null(own), F.lit("paper")))
 
 
+# Fixed words of kinds, and values of reading states, statuses and visibilities.
+
+
 def infer_kind(tags: Column, domain: Column) -> Column:
     hay = F.lower(F.concat_ws(" ", tags, domain))
     has = lambda *ws: F.regexp_like(hay, F.lit("|".join(ws)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from foliant.functions.text import CJK, line_key, natural_key, strip_math, sub, text
+from foliant.functions.text import CJK, line_key, natural_key, prose_length, strip_math, sub, text
 
 
 def lines(docs: DataFrame, id_: str, column: str = "text") -> DataFrame:
@@ -64,15 +64,18 @@ def sections(docs: DataFrame, id_: str, column: str = "text", level: str = "##")
 
 
 def section_key(title: Column | str) -> Column:
-    """The number of a heading, else its letters and digits."""
-    number = F.regexp_extract(title if isinstance(title, Column) else F.col(title), r"^((?:[A-Z]\.?)?\d+(?:\.\d+)*)", 1)
-    return F.when(number != "", number).otherwise(sub(F.lower(text(title)), r"[^\p{L}\p{N}]"))
+    """The number of a heading, else its ASCII letters and CJK in lower case."""
+    t = title if isinstance(title, Column) else F.col(title)
+    number = F.regexp_extract(t, r"^(\d+(?:\.\d+)*)", 1)
+    return F.when(number != "", number).otherwise(sub(F.lower(text(t)), rf"[^a-z{CJK}]"))
 
 
 def section_lengths(docs: DataFrame, id_: str, column: str = "text") -> DataFrame:
-    """id, key, chars: non-space characters of each section."""
-    body = sections(docs, id_, column).where("section is not null").where(~F.col("line").rlike(r"^##\s"))
-    return body.groupBy(id_, section_key("section").alias("key")).agg(F.sum(F.length(sub("line", r"\s+"))).alias("chars"))
+    """id, key, chars: the length of each section's prose (see ``text.prose_length``); what stands before the first heading is ``_front``."""
+    body = sections(docs, id_, column).where(~F.col("line").rlike(r"^##\s+\S"))
+    key = F.when(F.col("section").isNull(), "_front").otherwise(section_key("section"))
+    own = body.groupBy(id_, key.alias("key")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    return own.select(id_, "key", prose_length(F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).cast("long").alias("chars"))
 
 
 def empty_sections(docs: DataFrame, id_: str, column: str = "text", least: int = 20) -> DataFrame:

@@ -223,8 +223,10 @@ def test_rules(spark):
     assert {(r.id, r.rule) for r in rules.findings(m, "id", rules.MATH_RULES).collect()} == {(1, "braces"), (2, "stray_some"), (3, "multi_tag"), (4, "private_use"), (5, "shell"), (6, "control")}
     en = spark.createDataFrame([(1, "# T\nA^{1}, B\n## Key Points\n"), (2, "# T\nA\n## Highlights\n")], "id int, text string")
     assert {(r.id, r.rule) for r in rules.findings(en, "id", rules.EN_RULES).collect()} == {(1, "author_sup"), (1, "forbidden_h2")}
-    tree = spark.createDataFrame([(".env", ""), (".env.example", ""), ("a/b.db", ""), ("c.py", "sk-" + "a" * 24), ("ok.py", "")], "path string, text string")
-    assert {(r.path, r.rule) for r in rules.public_tree(tree).collect()} == {(".env", "env"), ("a/b.db", "suffix"), ("c.py", "secret")}
+    tree = [(".env", ""), (".env.example", ""), ("a/b.db", ""), ("c.py", "sk-" + "a" * 24), ("d.py", "sk-short"), ("target/x.py", ""), ("vault/y", ""), ("a/我的笔记.md", ""), ("p.txt", "see C:\\Users\\me"), ("examples/vault/x.pdf", "sk-" + "a" * 24), ("examples/vault/Papers/D/P.md", "")]
+    got = {(r.path, r.rule) for r in rules.public_tree(spark.createDataFrame(tree, "path string, text string")).collect()}
+    assert got == {(".env", "env"), ("a/b.db", "runtime"), ("c.py", "credential"), ("target/x.py", "folder"), ("vault/y", "folder"), ("a/我的笔记.md", "runtime"), ("p.txt", "machine_path")}
+    assert {r.rule for r in rules.public_tree(spark.createDataFrame([("b/x.pdf", "")], "path string, text string")).collect()} == {"one_pdf", "one_index"}
     e = spark.createDataFrame([(1, "1", 1000), (1, "abstract", 1000), (1, "9", 10)], "id int, key string, chars long")
     z = spark.createDataFrame([(1, "1", 100), (1, "摘要", 400)], "id int, key string, chars long")
     assert {r.key: r.band for r in rules.fidelity(e, z, "id", {"abstract": "摘要"}).collect()} == {"1": "error", "abstract": "ok"}
