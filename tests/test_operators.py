@@ -201,7 +201,7 @@ def test_reference_lists(spark):
 def test_ordered_rows(spark):
     md = "# T\nlead\n## 1. One\ntext here that is long enough to count\n![[a.png]]\n\n**图 1：** cap\n## 2 Two\n\n### 2.1 Sub\nx\n"
     docs = spark.createDataFrame([(1, md)], "id int, text string")
-    assert {r.key: r.chars > 20 for r in ordered.section_lengths(docs, "id").collect()} == {"1": True, "2": False}
+    assert {r.key: r.chars > 20 for r in ordered.section_lengths(docs, "id").collect()} == {"_front": False, "1": True, "2": False}
     assert [r.title for r in ordered.empty_sections(docs, "id").orderBy("line_no").collect()] == ["2 Two", "2.1 Sub"]
     (c,) = ordered.figure_captions(docs, "id").collect()
     assert (c.image, c.ordinal, c.caption) == ("a.png", 1, "**图 1：** cap")
