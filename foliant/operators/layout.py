@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -273,8 +271,3 @@ def regroup_lines(spans: DataFrame, page: list[str], look_back: int = 8, gap: fl
 
     fields = ", ".join(f"{k} {spans.schema[k].dataType.simpleString()}" for k in page)
     return spans.groupBy(*page).applyInPandas(fold, f"{fields}, line int, text string, x0 double, y0 double, x1 double, by double")
-
-
-def batches_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For plug-ins: mapInPandas bodies that parse PDF pages take and give frames."""
-    yield from frames
