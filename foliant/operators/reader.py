@@ -200,8 +200,8 @@ def mark_words(blocks: DataFrame, book: DataFrame, id_: str, column: str = "text
     """
     token = r"([A-Za-z][A-Za-z'’-]*)"
     entries = book.select(F.lower(squeeze("word")).alias("_e"), "word").where("_e <> ''").dropDuplicates(["_e"]).withColumn("_first", F.lower(F.regexp_extract("_e", token, 1))).where("_first <> ''")
-    toks = blocks.select(id_, F.col(column).alias("_t"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text(column), F.lit(token)), F.lower))).alias("_first"))
-    both = toks.join(entries, "_first")
+    toks = blocks.select(id_, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text(column), F.lit(token)), F.lower))).alias("_first"))
+    both = toks.join(entries, "_first").join(blocks.select(id_, F.col(column).alias("_t")), id_)
     pattern = F.concat(F.lit(r"(?i)(?<![A-Za-z])"), sub(F.col("_e"), r"([\\.\[\]{}()*+?^$|/-])", r"\\$1"), F.lit(r"(?![A-Za-z])"))
     # every place of the word: lengths of what stands between its hits
     pieces = F.split(F.col("_t"), pattern)
