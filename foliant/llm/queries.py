@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, media, mixing, near_dup, pii, quality, secrets, substring, url_filters
+from . import decontaminate, lm_score, media, merkle, mixing, near_dup, packing, pii, quality, secrets, substring, url_filters
 from .common import documents
 
 
@@ -52,9 +52,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(documents(spark, sf_dir))
 
 
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).withColumnRenamed("key", "doc_id")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filters.oracle_sql(), "op8_mix_sources": mixing.oracle_sql()}
+    return {"op5_url_filters": url_filters.oracle_sql(), "op8_mix_sources": mixing.oracle_sql(), "op13_merkle": merkle.oracle_sql()}
