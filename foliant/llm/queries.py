@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, media, merkle, mixing, near_dup, packing, pii, quality, secrets, substring, url_filters
+from . import decontaminate, hard_negatives, lm_score, media, merkle, mixing, near_dup, packing, pii, quality, secrets, substring, url_filters
 from .common import documents
 
 
@@ -52,6 +52,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filters.oracle_sql(), "op8_mix_sources": mixing.oracle_sql(), "op13_merkle": merkle.oracle_sql()}
+    return {"op5_url_filters": url_filters.oracle_sql(), "op8_mix_sources": mixing.oracle_sql(), "op11_hard_negatives": hard_negatives.oracle_sql(), "op13_merkle": merkle.oracle_sql()}
