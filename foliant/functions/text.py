@@ -204,6 +204,11 @@ def heading_slug(x: Column | str, index: Column | str) -> Column:
     return F.concat(F.lit("h"), c(index).cast("string"), F.lit("-"), F.substring(body, 1, 32))
 
 
+def let(x: Column, f) -> Column:  # noqa: ANN001
+    """f(x) with x worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def join_lines(lines: Column | str) -> Column:
     """Lines to one: CJK neighbours without a space, hyphenated words whole, else a space."""
     def add(acc, line):

@@ -17,6 +17,8 @@ from foliant.operators.layout import despaced, label_like
 #: Fixed value: fonts whose names say that they are bold.
 BOLD_FONT = r"(?i)bold|black|heavy|semibold|demibold|hei\b|hei[-_]|_hei|BL$|-B$|\.B$|Bd$"
 RECT = ("x0", "y0", "x1", "y1")
+#: Characters that a bare label has at most.
+BARE = 60
 
 
 def marked_text(spans: Column, main: Column) -> Column:
@@ -90,25 +92,24 @@ def segments(lines: DataFrame) -> DataFrame:
     blocks = lines.withColumn("_row", row).groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list("_row")).alias("rows"))
 
     def step(acc: Column, r: Column) -> Column:
-        """acc: lines of the open segment so far, and the segment of each line."""
-        new = (acc["n"] > 0) & F.coalesce(r["always"] | r["cut"] | (r["early"] & (acc["n"] <= 2)) | (r["one"] & (acc["n"] == 1)), F.lit(False))
-        last = F.coalesce(F.try_element_at(acc["of"], F.lit(-1)), F.lit(0))
-        return F.struct(F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["of"], F.array(last + F.when(new, 1).otherwise(0))).alias("of"))
-
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
-    blocks = blocks.withColumn("of", F.aggregate("rows", start, step)["of"])
-    count = F.element_at("of", -1) + 1
-    of = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.filter("rows", lambda r, i: F.get("of", i) == k))
-    blocks = blocks.withColumn("segs", of)
-
-    def merge(acc: Column, seg: Column) -> Column:
-        texts = F.transform(F.try_element_at(acc, F.lit(-1)), lambda r: r["text"])
-        bare = F.coalesce(like(joined(texts), LABEL_ONLY), F.lit(False))
-        return F.when(bare, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), seg)))).otherwise(F.concat(acc, F.array(seg)))
-
-    kind = blocks.schema["segs"].dataType.simpleString()
-    blocks = blocks.withColumn("segs", F.aggregate("segs", F.array().cast(kind), merge))
-    s = blocks.select(*PAGE, "block", F.posexplode("segs").alias("seg", "rows"))
+        """acc: lines of the open segment, text of what a bare label may still take in, and
+        a mark for each line: 1 if it begins a segment."""
+        cut = (acc["n"] > 0) & F.coalesce(r["always"] | r["cut"] | (r["early"] & (acc["n"] <= 2)) | (r["one"] & (acc["n"] == 1)), F.lit(False))
+        taken = cut & F.coalesce(like(acc["open"], LABEL_ONLY), F.lit(False))
+        new = (acc["n"] == 0) | (cut & ~taken)
+        text = F.when(new, r["text"]).when(acc["open"].isNotNull(), joined(F.array(acc["open"], r["text"])))
+        return F.struct(
+            F.when(cut, 1).otherwise(acc["n"] + 1).alias("n"),
+            F.when(F.length(text) <= BARE, text).alias("open"),
+            F.concat(acc["marks"], F.when(new, "1").otherwise("0")).alias("marks"),
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("open"), F.lit("").alias("marks"))
+    blocks = blocks.withColumn("marks", F.aggregate("rows", start, step)["marks"])
+    s = blocks.select(*PAGE, "block", "marks", F.posexplode("rows").alias("i", "row"))
+    down = Window.partitionBy(*PAGE, "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("seg", (F.sum(F.substring("marks", F.col("i") + 1, F.lit(1)).cast("int")).over(down) - 1).cast("int"))
+    s = s.groupBy(*PAGE, "block", "seg").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     field = lambda c: F.transform("rows", lambda r: r[c])
     bold = F.size(F.filter("rows", lambda r: r["bold"])) >= F.greatest(F.lit(1.0), F.size("rows") * 0.6)
     rect = [(F.array_min if c[1] == "0" else F.array_max)(field(c)).alias(c) for c in RECT]

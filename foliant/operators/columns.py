@@ -9,7 +9,7 @@ one line, the 17 lines around a line, or one paragraph.
 
 spans: doc, page, width (of the page), x0, x1, by (baseline), t, size, bold, italic,
 font.  Blank spans are left out; other columns take no part.  Ties of the body size
-go to the smaller; a document without spans over 3 points has 10.
+go to the larger; a document without spans over 3 points has 10.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def cleaned(spans: DataFrame) -> DataFrame:
 def span_body(spans: DataFrame) -> DataFrame:
     """doc, body: the size, to a tenth, of most spans over 3 points."""
     n = spans.groupBy("doc", F.round("size", 1).alias("s")).agg(F.count("*").alias("n"))
-    body = F.max_by("s", F.when(F.col("s") > 3, F.struct("n", (-F.col("s")).alias("m"))))
+    body = F.max_by("s", F.when(F.col("s") > 3, F.struct("n", "s")))
     return n.groupBy("doc").agg(F.coalesce(body, F.lit(10.0)).alias("body"))
 
 
@@ -120,19 +120,30 @@ def gutters(lines: DataFrame) -> DataFrame:
     the widest candidate, if there are words of three lines on one side at least.
     """
     lo, hi = bin_of(F.col("width") * 0.2), bin_of(F.col("width") * 0.8)
-    bins = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(bins, lambda b: F.size(F.filter("spans", lambda s: (bin_of(s["x0"]) <= b) & (bin_of(s["x1"]) >= b))))
-    ink = lines.withColumns({"_ink": own, "_l": F.array_min(F.transform("spans", lambda s: s["x1"])), "_r": F.array_max(F.transform("spans", lambda s: s["x0"])), "_lo": lo})
+    event = lambda b, d: F.struct(b.alias("b"), F.lit(d).alias("d"))
+    within = F.filter("spans", lambda s: (bin_of(s["x0"]) < hi) & (bin_of(s["x1"]) >= lo))
+    own = F.flatten(F.transform(within, lambda s: F.array(event(F.greatest(bin_of(s["x0"]), lo), 1), event(F.least(bin_of(s["x1"]) + 1, hi), -1))))
+    ink = lines.withColumns({"_ink": own, "_l": F.array_min(F.transform("spans", lambda s: s["x1"])), "_r": F.array_max(F.transform("spans", lambda s: s["x0"])), "_lo": lo, "_hi": hi})
     around = Window.partitionBy(*PAGE).orderBy("line").rowsBetween(-AROUND, AROUND)
-    ink = ink.withColumns({"_inks": F.collect_list("_ink").over(around), "_ls": F.collect_list("_l").over(around), "_rs": F.collect_list("_r").over(around)}).drop("_ink", "_l", "_r")
-    # per bin, whether it is free; a run starts and ends where that changes
-    free = F.transform(F.sequence(F.lit(0), F.size(F.get("_inks", F.lit(0))) - 1), lambda b: F.aggregate("_inks", F.lit(0), lambda a, one: a + F.get(one, b)) <= 1)
-    ink = ink.withColumn("_free", F.when(F.size(F.get("_inks", F.lit(0))) > 0, free).otherwise(F.array().cast("array<boolean>")))
-    at = F.when(F.size("_free") > 0, F.sequence(F.lit(0), F.size("_free"))).otherwise(F.array().cast("array<int>"))
-    open_ = lambda b: F.coalesce(F.get("_free", b), F.lit(False))
-    ink = ink.withColumns({"_a": F.filter(at, lambda b: open_(b) & ~open_(b - 1)), "_z": F.filter(at, lambda b: ~open_(b) & open_(b - 1))}).drop("_inks", "_free")
-    runs = F.transform(F.arrays_zip("_a", "_z"), lambda r: F.struct(((r["_a"] + F.col("_lo")) * BIN).alias("a"), ((r["_z"] + F.col("_lo")) * BIN).alias("z")))
-    ink = ink.withColumn("_runs", F.filter(runs, lambda r: r["z"] - r["a"] >= GUTTER)).drop("_a", "_z", "_lo")
+    ink = ink.withColumns({"_inks": F.flatten(F.collect_list("_ink").over(around)), "_ls": F.collect_list("_l").over(around), "_rs": F.collect_list("_r").over(around)}).drop("_ink", "_l", "_r")
+    # beyond the last bin nothing is free, so that the last run ends there
+    events = F.concat(F.array_sort("_inks"), F.array(event(F.col("_hi"), 2), event(F.col("_hi") + 1, 0)))
+    least = int(GUTTER / BIN)
+
+    def sweep(acc: Column, e: Column) -> Column:
+        """acc: last place, spans over what follows it, begin of the free run, runs."""
+        moved, free = e["b"] > acc["at"], acc["n"] <= 1
+        ended = moved & ~free & acc["from"].isNotNull()
+        run = F.array(F.struct((acc["from"] * BIN).alias("a"), (acc["at"] * BIN).alias("z")))
+        return F.struct(
+            e["b"].alias("at"),
+            (acc["n"] + e["d"]).alias("n"),
+            F.when(~moved, acc["from"]).when(free, F.coalesce(acc["from"], acc["at"])).alias("from"),
+            F.when(ended & (acc["at"] - acc["from"] >= least), F.concat(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"),
+        )
+
+    start = F.struct(F.col("_lo").alias("at"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("from"), F.array().cast("array<struct<a:double,z:double>>").alias("runs"))
+    ink = ink.withColumn("_runs", F.when(F.col("_hi") > F.col("_lo"), F.aggregate(events, start, sweep)["runs"]).otherwise(F.array().cast("array<struct<a:double,z:double>>"))).drop("_inks", "_lo", "_hi")
     count = lambda col, test: F.size(F.filter(col, test))
     both = F.filter("_runs", lambda r: (count("_ls", lambda v: v <= r["a"] + 1) >= 3) & (count("_rs", lambda v: v >= r["z"] - 1) >= 3))
     scored = F.array_min(F.transform(both, lambda r: F.struct(F.abs((r["a"] + r["z"]) / 2 - F.col("width") / 2).alias("far"), (r["a"] - r["z"]).alias("wide"), ((r["a"] + r["z"]) / 2).alias("x"))))["x"]
@@ -238,9 +249,9 @@ def hyphens_closed(items: DataFrame, spans: DataFrame) -> DataFrame:
     head = F.regexp_extract("text", r"^([A-Za-z]+)", 1)
     hyphen = F.col("before").endswith("-") & like(F.col("text"), r"^\p{Ll}")
     items = items.withColumns({"_w": F.when(hyphen & (stem != "") & (head != ""), F.lower(F.concat(stem, head))), "_keep": F.lower(stem).isin(*KEEP_HYPHEN)})
-    asked = items.where("_keep and _w is not null").select("doc", F.col("_w").alias("word")).distinct()
+    # of a document's words only those that begin like these parts are looked up
     words = cleaned(spans).select("doc", F.explode(F.regexp_extract_all("t", F.lit("([A-Za-z]+)"))).alias("word")).select("doc", F.lower("word").alias("word"))
-    known = words.join(asked, ["doc", "word"], "left_semi").distinct().select(F.col("doc").alias("_d"), F.col("word").alias("_k"))
+    known = words.where(like(F.col("word"), f"^(?:{'|'.join(KEEP_HYPHEN)})")).distinct().select(F.col("doc").alias("_d"), F.col("word").alias("_k"))
     items = items.join(known, F.col("_keep") & F.col("doc").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_k")), "left")
     return items.withColumn("close", F.col("_w").isNotNull() & (~F.col("_keep") | F.col("_k").isNotNull())).drop("_w", "_keep", "_d", "_k", "before")
 

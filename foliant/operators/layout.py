@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
+
 
 def reading_order(blocks: DataFrame, page: list[str], id_: str, middle: float) -> DataFrame:
     """blocks with pos: bands end at wide blocks; in a band left before right, then down."""
@@ -128,17 +130,26 @@ ALWAYS = ("abstract", "references", "keywords", "highlights")
 MATHY = r"[=∕∑∫∂∇√≈≤≥×÷{}]|_\{|\^\{"
 
 
+# Fixed forms of letter-spaced labels.
+SPACED_LABEL = r"(?i)^(F\s?I\s?G\s?U\s?R\s?E|T\s?A\s?B\s?L\s?E)(?=\s|\d)"
+SPACED_WORD = r"^((?:[A-Za-z]\s){2,}[A-Za-z])(?=\s|$)"
+
+
 def despaced(x: Column) -> Column:
     """Letter-spaced words at the beginning, and the number after them, closed up."""
-    t = F.trim(x)
-    label = F.regexp_extract(t, r"(?i)^(F\s?I\s?G\s?U\s?R\s?E|T\s?A\s?B\s?L\s?E)(?=\s|\d)", 1)
-    t1 = F.when(label != "", F.concat(F.regexp_replace(label, r"\s", ""), t.substr(F.length(label) + 1, F.length(t)))).otherwise(t)
-    spaced = F.regexp_extract(t1, r"^((?:[A-Za-z]\s){2,}[A-Za-z])(?=\s|$)", 1)
-    t2 = F.when(spaced != "", F.concat(F.regexp_replace(spaced, r"\s", ""), t1.substr(F.length(spaced) + 1, F.length(t1)))).otherwise(t1)
-    digits = F.regexp_extract(t2, r"^[A-Za-z]+\s*(\d(?:\s\d){1,2})(?=\s|$)", 1)
-    word = F.regexp_extract(t2, r"^([A-Za-z]+)", 1)
-    closed = F.concat(word, F.lit(" "), F.regexp_replace(digits, r"\s", ""), F.regexp_replace(t2, r"^[A-Za-z]+\s*\d(?:\s\d){1,2}(?=\s|$)", ""))
-    return F.when(((label != "") | (spaced != "")) & (digits != ""), closed).otherwise(t2)
+
+    def closed_up(t: Column, word: Column) -> Column:
+        return F.when(word != "", F.concat(F.regexp_replace(word, r"\s", ""), t.substr(F.length(word) + 1, F.length(t)))).otherwise(t)
+
+    def numbered(t: Column, closed: Column) -> Column:
+        number = r"^([A-Za-z]+)\s*(\d(?:\s\d){1,2})(?=\s|$)"
+        digits = F.regexp_replace(F.regexp_extract(t, number, 2), r"\s", "")
+        return F.when(closed & F.regexp_like(t, F.lit(number)), F.concat(F.regexp_extract(t, number, 1), F.lit(" "), digits, F.regexp_replace(t, number, ""))).otherwise(t)
+
+    def word_closed(t: Column, label: Column) -> Column:
+        return let(F.regexp_extract(t, SPACED_WORD, 1), lambda word: let(closed_up(t, word), lambda t2: numbered(t2, (label != "") | (word != ""))))
+
+    return let(F.trim(x), lambda t: let(F.regexp_extract(t, SPACED_LABEL, 1), lambda label: let(closed_up(t, label), lambda t1: word_closed(t1, label))))
 
 
 def despaced_anywhere(x: Column) -> Column:
@@ -185,9 +196,12 @@ def equation_number(x: Column, math_font: Column) -> Column:
 
 def label_like(x: Column) -> Column:
     """Captions, numbered headings and short named ones."""
-    t = despaced(x)
-    is_ = lambda p: F.regexp_like(t, F.lit(p))
-    return is_(r"(?i)^(?:Fig\.?|Figure|图|Table|表)\s*[A-Z]?\.?\d") | is_(NUMBERED) | is_(CN_NUMBERED) | is_(APPENDIX_PART) | (is_(NAMED) & (F.length(t) <= 40))
+
+    def is_label(t: Column) -> Column:
+        is_ = lambda p: F.regexp_like(t, F.lit(p))
+        return is_(r"(?i)^(?:Fig\.?|Figure|图|Table|表)\s*[A-Z]?\.?\d") | is_(NUMBERED) | is_(CN_NUMBERED) | is_(APPENDIX_PART) | (is_(NAMED) & (F.length(t) <= 40))
+
+    return let(despaced(x), is_label)
 
 
 def citation_brackets(x: Column) -> Column:
