@@ -48,23 +48,33 @@ def to_points(v: Column, dpi: float) -> Column:
     return v * 72.0 / dpi
 
 
-def assign_regions(captions: DataFrame, regions: DataFrame, page: list[str]) -> DataFrame:
-    """page, num, x0..y1: each region goes to its nearest caption of the page, and a caption's regions are united.
+def nearest_captions(captions: DataFrame, regions: DataFrame, page: list[str]) -> DataFrame:
+    """regions with num: the nearest caption of their page, null for none.
 
     Distance: the gap below a region (6 points of overlap allowed), the gap above plus
-    60, 0 inside; 180 at most, and the two overlap by more than -20 across.  A union
-    that holds its caption 20 points or more below its top ends 2 points above it.
-    Ties go to the caption that comes first (column ord, else num).
+    60, 0 inside; 180 at most, and the two overlap by more than -20 across.  Ties go to
+    the caption that comes first (column ord, else num).
     """
     first = "ord" if "ord" in captions.columns else "num"
     c = captions.select(*page, "num", F.col(first).alias("_o"), *[F.col(k).alias("c" + k) for k in ("x0", "y0", "x1", "y1")])
-    both = regions.join(c, page)
+    both = regions.join(c, page, "left")
     overlap = F.least("x1", "cx1") - F.greatest("x0", "cx0")
     below, above = F.col("cy0") >= F.col("y1") - 6, F.col("cy1") <= F.col("y0") + 6
     gap = F.when(below, F.col("cy0") - F.col("y1")).when(above, F.col("y0") - F.col("cy1") + 60).otherwise(0)
-    near = both.where(overlap > -20).withColumn("_d", gap).where("_d <= 180")
-    own = near.groupBy(*page, "x0", "y0", "x1", "y1").agg(F.min_by("num", F.struct("_d", "_o")).alias("num"))
-    u = own.groupBy(*page, "num").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    near = F.when((overlap > -20) & (gap <= 180), F.struct(gap.alias("d"), F.col("_o").alias("o")))
+    return both.groupBy(*page, "x0", "y0", "x1", "y1").agg(F.min_by("num", near).alias("num"))
+
+
+def assign_regions(captions: DataFrame, regions: DataFrame, page: list[str]) -> DataFrame:
+    """page, num, x0..y1: each region goes to its nearest caption (``nearest_captions``), and
+    a caption's regions are united.  A union that holds its caption 20 points or more
+    below its top ends 2 points above it."""
+    return united_regions(captions, nearest_captions(captions, regions, page), page)
+
+
+def united_regions(captions: DataFrame, near: DataFrame, page: list[str]) -> DataFrame:
+    c = captions.select(*page, "num", *[F.col(k).alias("c" + k) for k in ("x0", "y0", "x1", "y1")])
+    u = near.where("num is not null").groupBy(*page, "num").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     meets = (F.least("x1", "cx1") > F.greatest("x0", "cx0")) & (F.least("y1", "cy1") > F.greatest("y0", "cy0")) & (F.col("cy0") > F.col("y0") + 20)
     cut = u.join(c, [*page, "num"]).groupBy(*page, "num", "x0", "y0", "x1", "y1").agg(F.min(F.when(meets, F.col("cy0") - 2)).alias("_cut"))
     return cut.withColumn("y1", F.least("y1", "_cut")).drop("_cut")
@@ -116,11 +126,6 @@ def attach_scripts(spans: DataFrame, page: list[str], id_: str, small: str = "sm
     return best.select(*page, "id", "m.base", F.when(F.col("m.dy") < 0, "sup").otherwise("sub").alias("role"))
 
 
-def line_tag(caption: Column, table: Column, math: Column, bold: Column, italic: Column, size: Column, body: Column) -> Column:
-    """CAP > TAB > MATH > BOLD > ITAL > small > BIG."""
-    return F.when(caption, "CAP").when(table, "TAB").when(math, "MATH").when(bold, "BOLD").when(italic, "ITAL").when(size < body * 0.9, "small").when(size > body * 1.15, "BIG").otherwise("")
-
-
 # Fixed forms of headings.
 NUMBERED = r"^(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+([A-Za-zÀ-ɏ(].{1,140})$"
 CN_NUMBERED = r"^(\d{1,2}(?:\.\d{1,2}){0,3})\s*[、.]?\s*([一-鿿].{0,60})$"

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators import blocks, columns
+from foliant.operators import blocks, columns, cuts
 from foliant.plans.catalog_queries import t
 from foliant.plans.registry import query
 
@@ -101,3 +101,32 @@ def block_order(spark, d):
     side = F.col("l_linenumber") % 3
     b = t(spark, d, "lineitem").select(F.lit(0).alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block"), F.when(side == 2, 320.0).otherwise(50.0).alias("x0"), (F.col("l_extendedprice").cast("double") / 100).alias("y0"), F.when(side == 1, 280.0).otherwise(550.0).alias("x1"), F.lpad(F.lit(""), F.col("l_quantity").cast("int"), "x").alias("text"))
     return blocks.ordered_blocks(b, ("block",)).select("page", "block", "pos")
+
+
+#: Four figures of each order: one with a region on its page, one whose region stands
+#: on the page before, one with room above its caption, one without a caption.
+@query(
+    "cut_figures",
+    """with o as (select o_orderkey as doc, o_orderkey % 50 as a, o_orderkey % 5 = 0 as edge from orders)
+select doc, '1' as num, 1 as listed, 1 as page, 'ok' as status, 1 as "sourcePage", case when edge then 0.0 else 96.0 end::double as x0, 96.0::double as y0, 304.0::double as x1, (304.0 + a)::double as y1, edge as clipped from o
+union all select doc, '2', 2, 3, 'carry', 2, 46.0, 96.0, 354.0 + a, 304.0, false from o
+union all select doc, '3', 5, 4, 'gap-fallback', 4, 92.0, 298.0 + a, 308.0, 502.0, false from o
+union all select doc, '4', 1, null, 'missing', null, null, null, null, null, null from o""",
+)
+def cut_figures(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") % 50).cast("double").alias("a"), (F.col("o_orderkey") % 5 == 0).alias("edge"))
+    long = F.lit("a paragraph of the text " * 5)
+
+    def rows(names: str, *tuples: tuple) -> DataFrame:
+        names = names.split()
+        each = F.array(*[F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(names, x, strict=True)]) for x in tuples])
+        return o.select("doc", F.explode(each).alias("r")).select("doc", "r.*")
+
+    a, edge = F.col("a"), F.when(F.col("edge"), 2.0).otherwise(100.0)
+    figures = rows("num page caption", ("1", 1, "Fig. 1. One"), ("2", 2, "Fig. 2. Two"), ("3", 5, "Fig. 3. Three"), ("4", 1, "Fig. 4. Four"))
+    captions = rows("page num text x0 y0 x1 y1", (1, "1", "Fig. 1. One", 100.0, 400.0, 300.0, 420.0), (3, "2", "Fig. 2. Two", 100.0, 50.0, 300.0, 70.0), (4, "3", "Fig. 3. Three", 100.0, 500.0, 300.0, 520.0))
+    regions = rows("page x0 y0 x1 y1", (1, edge, 100.0, F.lit(300.0), 250.0), (1, F.lit(120.0), 200.0, F.lit(280.0), 300.0 + a), (2, F.lit(50.0), 100.0, 350.0 + a, 300.0), (2, F.lit(0.0), 0.0, F.lit(10.0), 10.0))
+    regions = regions.select("doc", "page", *[F.col(c).cast("double").alias(c) for c in cuts.RECT])
+    blocks_ = rows("page text caption x0 y0 x1 y1", (4, long, False, 100.0, 200.0, 300.0, 300.0 + a))
+    pages = rows("page width height", *[(p, 600.0, 800.0) for p in range(1, 6)])
+    return cuts.cut_figures(figures, captions, regions, blocks_, pages)

@@ -8,7 +8,7 @@ from foliant.functions import text as fx
 from foliant.operators import catalog, citations, layout, links, markdown, metadata, ordered, reader, rules, search
 from foliant.plans.catalog_queries import PAPERS, t
 from foliant.plans.registry import query
-from foliant.sources import sinks
+from foliant.sources import sinks, snapshots
 
 
 @query(
@@ -240,10 +240,32 @@ def doi_chips(spark, d):
     return t(spark, d, "part").select("p_partkey", markdown.doi_chips(F.concat(F.lit("T. "), chip, F.lit("\nsee doi.org/10.1/"), k, F.lit(" "), chip)).alias("text"))
 
 
-@query("published_catalogue", "select 1 as n, cast(count(*) as bigint) as papers from (select distinct p_partkey from part)")
+@query("published_catalogue", """select part, p_partkey as key, case when part = 1 then case when p_partkey = (select min(p_partkey) from part) then '' else ',' end || '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}' end as value from (select 1 as part, p_partkey, p_name from part)
+union all select 3, r_regionkey, case when r_regionkey = 0 then '' else ',' end || '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' from region
+union all select 0, null, '{"generatedAt":"now","count":' || count(*) || ',"papers":[' from part union all select 2, null, '],"topicDocs":[' union all select 4, null, ']}'""")
 def published_catalogue(spark, d):
-    doc = sinks.catalog_json(t(spark, d, "part").select("p_partkey"), t(spark, d, "region").select("r_name"), "now")
-    return doc.select(F.lit(1).alias("n"), F.get_json_object("value", "$.count").cast("long").alias("papers"))
+    lines = sinks.catalog_lines(t(spark, d, "part").select("p_partkey", "p_name"), t(spark, d, "region").select("r_regionkey", "r_name"), "now", "p_partkey", "r_regionkey")
+    return lines.select("part", F.col("ord").cast("long").alias("key"), "value")
+
+
+@query("link_map", """select part, ord, value from (select 1 as part, cast(p_partkey as varchar) as ord, case when cast(p_partkey as varchar) = (select min(cast(p_partkey as varchar)) from part) then '' else ',' end || '"' || p_partkey || '":"' || p_name || '"' as value from part
+union all select 3, p_name, case when p_name = (select min(p_name) from part) then '' else ',' end || '"' || p_name || '":"' || min(p_brand) || '"' from part group by p_name
+union all select 0, null, '{"papers":{' union all select 2, null, '},"terms":{' union all select 4, null, '}}')""")
+def link_map(spark, d):
+    p = t(spark, d, "part")
+    lines = sinks.link_map_lines(p.select(F.col("p_partkey").cast("string").alias("pid"), F.col("p_name").alias("slug")), p.select(F.col("p_name").alias("alias"), F.col("p_brand").alias("key")))
+    return lines.select("part", "ord", "value")
+
+
+@query("table_fingerprints", "select * from (values ('sorted', true), ('doubled', false), ('one cell', false), ('columns', true)) v(\"case\", same)")
+def table_fingerprints(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    least = rows.agg(F.min("l_orderkey").alias("_k"))
+    cell = rows.join(F.broadcast(least), F.lit(True)).withColumn("l_quantity", F.col("l_quantity") + F.when((F.col("l_orderkey") == F.col("_k")) & (F.col("l_linenumber") == 1), 1).otherwise(0)).drop("_k")
+    other = {"sorted": rows.orderBy("l_quantity", "l_orderkey"), "doubled": rows.union(rows), "one cell": cell, "columns": rows.select(*reversed(rows.columns))}
+    one = snapshots.fingerprint(rows).select(F.struct("*").alias("own"))
+    out = [snapshots.fingerprint(x).select(F.struct("*").alias("its")).join(F.broadcast(one), F.lit(True)).select(F.lit(k).alias("case"), (F.col("own") == F.col("its")).alias("same")) for k, x in other.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
 @query("hierarchical_gaps", "select l_orderkey, list_sort(list_filter(range(case when min(l_linenumber) <= 3 then 1 else min(l_linenumber) end, max(l_linenumber) + 1), lambda x: not list_contains(list(l_linenumber), x))) as missing from lineitem group by 1")
@@ -254,17 +276,17 @@ def hierarchical_gaps(spark, d):
     return g.select("l_orderkey", F.transform("missing", lambda x: F.substring_index(x, ".", -1).cast("long")).alias("missing"))
 
 
-@query("page_dois", "select page_id, case when page_id % 3 = 0 then '10.1234/b' || page_id else '10.1234/a' || page_id end as doi from pages")
+@query("page_dois", "select page_id, case when page_id % 3 = 0 then '10.1234/d' else '10.1234/a' || page_id end as doi from pages")
 def page_dois(spark, d):
     k = F.col("page_id").cast("string")
-    first = F.concat(F.when(F.col("page_id") % 3 == 0, "Ref. (2019) ").otherwise("x "), F.lit("doi 10.1234/a"), k, F.lit("."))
+    first = F.concat(F.when(F.col("page_id") % 3 == 0, "Ref. (2019) ").otherwise("x "), F.lit("doi 10.1234/a"), k, F.lit(" and then 10.1234/c and "), F.lit("y" * 70), F.lit(" 10.1234/d."))
     p = t(spark, d, "pages")
     return metadata.find_doi(p.select("page_id", F.lit(1).alias("page"), first.alias("text")).unionByName(p.select("page_id", F.lit(2).alias("page"), F.concat(F.lit("own 10.1234/b"), k, F.lit(";")).alias("text"))), "page_id")
 
 
 @query("formatted_references", "select p_partkey, p_name || ' A title, 2020. ｜ [🔗 DOI](https://doi.org/10.1000/' || p_partkey || ')' as ref from part")
 def formatted_references(spark, d):
-    raw = F.concat("p_name", F.lit("  A\ntitle, 2020. https://doi.org/10.1000/"), F.col("p_partkey").cast("string"), F.lit("."))
+    raw = F.concat("p_name", F.lit("  A\ntitle, 2020. https://doi.org/10.1000/"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" doi:10.1000/"), F.col("p_partkey").cast("string"))).otherwise("."))
     return t(spark, d, "part").select("p_partkey", metadata.format_reference(raw).alias("ref"))
 
 

@@ -2,31 +2,59 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def catalog_json(papers: DataFrame, topics: DataFrame, generated_at: str) -> DataFrame:
-    """value: one document {generatedAt, count, papers, topicDocs}.  A catalogue is one file by its format; use Parquet beyond that."""
-    p = papers.agg(F.array_sort(F.collect_list(F.struct(*papers.columns))).alias("papers"), F.count("*").alias("count"))
-    t = topics.agg(F.array_sort(F.collect_list(F.struct(*topics.columns))).alias("topicDocs"))
-    return p.join(t, F.lit(True)).select(F.to_json(F.struct(F.lit(generated_at).alias("generatedAt"), "count", "papers", "topicDocs")).alias("value"))
+def array_lines(rows: DataFrame, part: int, key: str, value: Column) -> DataFrame:
+    """part, key, value: elements of a JSON array, one a line in the order of a unique key,
+    all but the first after a comma."""
+    first = rows.agg(F.min(key).alias("_first"))
+    r = rows.select(F.col(key).alias("_key"), value.alias("_value")).join(F.broadcast(first), F.lit(True))
+    comma = F.when(F.col("_key") == F.col("_first"), "").otherwise(",")
+    return r.select(F.lit(part).alias("part"), F.col("_key").cast("string").alias("key"), F.concat(comma, "_value").alias("value"), F.col("_key").alias("ord"))
 
 
-def link_map_json(papers: DataFrame, aliases: DataFrame) -> DataFrame:
-    """value: {papers: pid -> slug, terms: alias -> key}."""
-    as_map = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
-    p = papers.dropDuplicates(["pid"]).agg(as_map("pid", "slug").alias("papers"))
-    a = aliases.agg(as_map("alias", "key").alias("terms"))
-    return p.join(a, F.lit(True)).select(F.to_json(F.struct("papers", "terms")).alias("value"))
+def _fixed(one: DataFrame, part: int, value: Column, ord_type: str) -> DataFrame:
+    return one.select(F.lit(part).alias("part"), F.lit("").alias("key"), value.alias("value"), F.lit(None).cast(ord_type).alias("ord"))
 
 
-def fingerprint(papers: DataFrame, terms: DataFrame, generated_at: str) -> DataFrame:
-    """value: changes when the papers, the number of terms or the time do."""
-    p = papers.agg(F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("s"))
-    return p.join(terms.agg(F.count("*").alias("n")), F.lit(True)).select(F.concat_ws("|", "s", F.col("n").cast("string"), F.lit(generated_at)).alias("value"))
+def catalog_lines(papers: DataFrame, topics: DataFrame, generated_at: str, paper_key: str, topic_key: str) -> DataFrame:
+    """part, key, value, ord: the lines of one document {generatedAt, count, papers, topicDocs}
+    in the order of (part, ord).  Only the count of papers passes through one task."""
+    p = array_lines(papers, 1, paper_key, F.to_json(F.struct(*papers.columns)))
+    t = array_lines(topics, 3, topic_key, F.to_json(F.struct(*topics.columns)))
+    if dict(p.dtypes)["ord"] != dict(t.dtypes)["ord"]:
+        p, t = (x.withColumn("ord", F.col("ord").cast("string")) for x in (p, t))
+    kind = dict(p.dtypes)["ord"]
+    n = papers.agg(F.count("*").alias("n"))
+    open_ = _fixed(n, 0, F.concat(F.lit('{"generatedAt":' + json.dumps(generated_at) + ',"count":'), F.col("n").cast("string"), F.lit(',"papers":[')), kind)
+    one = papers.sparkSession.range(1)
+    return open_.union(p).union(_fixed(one, 2, F.lit('],"topicDocs":['), kind)).union(t).union(_fixed(one, 4, F.lit("]}"), kind))
+
+
+def link_map_lines(papers: DataFrame, aliases: DataFrame) -> DataFrame:
+    """part, key, value, ord: the lines of {papers: pid -> slug, terms: alias -> key}; of rows of one pid the least slug."""
+    pair = lambda k, v: F.concat(F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", ""), F.lit(":"), F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", ""))
+    p = papers.groupBy("pid").agg(F.min("slug").alias("slug"))
+    a = aliases.groupBy("alias").agg(F.min("key").alias("key"))
+    one = papers.sparkSession.range(1)
+    return (
+        _fixed(one, 0, F.lit('{"papers":{'), "string")
+        .union(array_lines(p, 1, "pid", pair("pid", "slug")))
+        .union(_fixed(one, 2, F.lit('},"terms":{'), "string"))
+        .union(array_lines(a, 3, "alias", pair("alias", "key")))
+        .union(_fixed(one, 4, F.lit("}}"), "string"))
+    )
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes the lines as text files whose contents, one after another by name, are the
+    document: sorted by range over all tasks, gathered in none."""
+    lines.repartitionByRange(F.col("part").asc(), F.col("ord").asc_nulls_first()).sortWithinPartitions(F.col("part").asc(), F.col("ord").asc_nulls_first()).select("value").write.mode("overwrite").text(path)
 
 
 def changed(new: DataFrame, old: DataFrame, key: str, content: str) -> DataFrame:
@@ -70,7 +98,11 @@ def publish_status(errors: int, synced: bool | None) -> str:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the old table, then renames: readers see the old or the new one, and a job that fails leaves the old."""
+    """Writes beside the old table, then renames; a job that fails leaves the old one.
+
+    Between the two renames there is no table, and where a rename is a copy neither is
+    one step: readers that must not see that take ``snapshots.Store``.
+    """
     spark, top = df.sparkSession, path.rstrip("/")
     new, old = f"{top}.new-{uuid.uuid4().hex}", f"{top}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)

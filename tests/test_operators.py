@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,8 +324,12 @@ def test_sinks_and_files(spark, tmp_path):
     path = f"{tmp_path}/t"
     none = spark.createDataFrame([], "x int")
     assert sinks.overwrite_checked(new, path, none) and not sinks.overwrite_checked(old, path, old) and spark.read.parquet(path).count() == 3
-    v = sinks.link_map_json(spark.createDataFrame([("P", "s")], "pid string, slug string"), spark.createDataFrame([("x", "k")], "alias string, key string")).first()[0]
-    assert v == '{"papers":{"P":"s"},"terms":{"x":"k"}}'
+    document = lambda: json.loads("".join(x.read_text() for x in sorted((tmp_path / "doc").glob("part-*"))))
+    pids, names = (spark.createDataFrame(x, s) for x, s in (([("P", "s"), ('Q"', "é\\")], "pid string, slug string"), ([("x", "k")], "alias string, key string")))
+    sinks.write_lines(sinks.link_map_lines(pids, names), f"{tmp_path}/doc")
+    assert document() == {"papers": {"P": "s", 'Q"': "é\\"}, "terms": {"x": "k"}}
+    sinks.write_lines(sinks.catalog_lines(spark.range(40).repartition(7), spark.range(0), 'a "b"', "id", "id"), f"{tmp_path}/doc")
+    assert document() == {"generatedAt": 'a "b"', "count": 40, "papers": [{"id": i} for i in range(40)], "topicDocs": []}
     (tmp_path / "l.jsonl").write_text('{"a": 1}\nbad\n{"a": 2}\n')
     (tmp_path / "c.json").write_text('{"papers": [{"a": 1}, {"a": 2}]}')
     assert [r.a for r in files.json_lines(spark, f"{tmp_path}/l.jsonl", "a int").collect()] == [1, 2]
