@@ -9,6 +9,7 @@ from foliant.operators import catalog, citations, layout, links, markdown, metad
 from foliant.plans.catalog_queries import PAPERS, t
 from foliant.plans.registry import query
 from foliant.sources import sinks, snapshots
+from foliant.streaming import feed
 
 
 @query(
@@ -260,14 +261,28 @@ def link_map(spark, d):
 @query("table_fingerprints", "select * from (values ('sorted', true), ('doubled', false), ('one cell', false), ('columns', true)) v(\"case\", same)")
 def table_fingerprints(spark, d):
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
-    least = rows.agg(F.min("l_orderkey").alias("_k"))
-    cell = rows.join(F.broadcast(least), F.lit(True)).withColumn("l_quantity", F.col("l_quantity") + F.when((F.col("l_orderkey") == F.col("_k")) & (F.col("l_linenumber") == 1), 1).otherwise(0)).drop("_k")
+    least = rows.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("_k"))
+    cell = rows.join(F.broadcast(least), F.lit(True)).withColumn("l_quantity", F.col("l_quantity") + F.when(F.struct("l_orderkey", "l_linenumber") == F.col("_k"), 1).otherwise(0)).drop("_k")
     other = {"sorted": rows.orderBy("l_quantity", "l_orderkey"), "doubled": rows.union(rows), "one cell": cell, "columns": rows.select(*reversed(rows.columns))}
     one = snapshots.fingerprint(rows).select(F.struct("*").alias("own"))
     out = [snapshots.fingerprint(x).select(F.struct("*").alias("its")).join(F.broadcast(one), F.lit(True)).select(F.lit(k).alias("case"), (F.col("own") == F.col("its")).alias("same")) for k, x in other.items()]
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
+@query("two_way_merge", """with l as (select o_orderkey as k, 'local' as v, o_orderkey % 7 as stamp, case when o_orderkey % 3 = 0 then 'b' else 'a' end as origin from orders where o_orderkey % 5 <> 0),
+r as (select o_orderkey as k, 'remote' as v, o_orderkey % 4 as stamp, case when o_orderkey % 2 = 0 then 'b' else 'a' end as origin from orders where o_orderkey % 6 <> 0),
+u as (select *, 1 as side from l union all select *, 2 from r), m as (select *, row_number() over (partition by k order by stamp desc, origin desc, v desc) as n from u)
+select k, v, stamp, origin, side = 1 and origin = 'a' and not exists (select 1 from r where r.k = m.k and (r.stamp, r.origin, r.v) >= (m.stamp, m.origin, m.v)) as pushed from m where n = 1""")
+def two_way_merge(spark, d):
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders")
+    side = lambda rest, v, m, b: o.where(k % rest != 0).select(k.alias("k"), F.lit(v).alias("v"), (k % m).alias("stamp"), F.when(k % b == 0, "b").otherwise("a").alias("origin"))
+    local, remote = side(5, "local", 7, 3), side(6, "remote", 4, 2)
+    pushed = feed.outgoing(local, remote, ["k"], "a", "stamp").select(F.col("k").alias("_k"))
+    merged = feed.merged(local, remote, ["k"], "stamp")
+    return merged.join(pushed, F.col("k") == F.col("_k"), "left").select("k", "v", "stamp", "origin", F.col("_k").isNotNull().alias("pushed"))
+
+
 @query("hierarchical_gaps", "select l_orderkey, list_sort(list_filter(range(case when min(l_linenumber) <= 3 then 1 else min(l_linenumber) end, max(l_linenumber) + 1), lambda x: not list_contains(list(l_linenumber), x))) as missing from lineitem group by 1")
 def hierarchical_gaps(spark, d):
     n = F.col("l_linenumber").cast("string")
