@@ -41,6 +41,24 @@ def per_day(events: DataFrame, day: Column, mine: Column) -> DataFrame:
     return events.groupBy(day.alias("day")).agg(F.count_if(mine).alias("mine"), F.count_if(~mine).alias("ai"))
 
 
+#: Parts of the paths of files that a reader writes, not the ingestion.
+MINE = (".我的笔记.", "_web批注", "_生词", "_活动日志")
+
+
+def collected(found: DataFrame, log: DataFrame, markers: tuple[str, ...] = MINE) -> DataFrame:
+    """day, mine, ai: files by the day they were written, and a log's entries as the reader's own.
+
+    found: path, mtime (``files.whole_listing``: no content is read); files of settings folders
+    are left out.  log: date (``files.json_log``); entries without one don't count.
+    """
+    mine = F.lit(False)
+    for m in markers:
+        mine = mine | F.col("path").contains(m)
+    f = found.where(~F.array_contains(F.split("path", "/"), ".obsidian")).select(F.date_format("mtime", "yyyy-MM-dd").alias("d"), mine.alias("m"))
+    own = log.select(F.substring(F.col("date"), 1, 10).alias("d"), F.lit(True).alias("m")).where("d <> ''")
+    return per_day(f.unionByName(own), F.col("d"), F.col("m"))
+
+
 def merged(server: DataFrame, local: DataFrame) -> DataFrame:
     """Server days and local counts, which are added to mine."""
     both = server.select("day", "mine", "ai").unionByName(local.select("day", F.col("n").alias("mine"), F.lit(0).alias("ai")))

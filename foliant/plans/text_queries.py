@@ -137,3 +137,18 @@ def grouped_members(spark, d):
 def asset_urls(spark, d):
     origin = F.regexp_extract("url", r"^([a-z]+://[^/]*)", 1)
     return t(spark, d, "pages").select("page_id", fx.encode_asset_url(F.concat(origin, F.lit("/a b/c%C3%A9"))).alias("u"))
+
+
+@query(
+    "parsed_references",
+    """with l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos, count(*) over (partition by l_orderkey) as n, l_partkey as p, l_suppkey as s from lineitem)
+select l_orderkey, cast(pos as int) as pos, 'Smith, J., 2019. A title of part ' || p || ' and of exam' || case when l_orderkey % 3 = 0 or l_orderkey % 3 = 1 and n >= 5 then '' else '- ' end || 'ples, Journal of Things, 12, ' || s || '.' as text from l""",
+)
+def parsed_references(spark, d):
+    l = t(spark, d, "lineitem")  # noqa: E741
+    entries = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("e"))
+    k = F.col("l_orderkey") % 3
+    mark = lambda i: F.when(k == 0, F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "))).when((k == 1) & (F.size("e") >= 5), F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("")
+    two = lambda x, i: F.array(F.concat(mark(i), F.lit("Smith, J., 2019. A title of part "), x["l_partkey"].cast("string"), F.lit(" and of exam-")), F.concat(F.lit("ples, Journal of Things, 12, "), x["l_suppkey"].cast("string"), F.lit(".")))
+    lines = entries.select("l_orderkey", F.posexplode(F.flatten(F.transform("e", two))).alias("i", "line"))
+    return citations.parse_references(lines, "l_orderkey").select("l_orderkey", "pos", "text")

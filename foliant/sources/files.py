@@ -20,6 +20,19 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return f.select("path", name_of(F.col("path")).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
+def whole_listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, mtime of all files below a folder, those included whose names begin
+    with ``_`` or a point, which Spark's sources pass over; a missing folder has none.
+    The file system's own listing: the driver sees names and times, nobody contents."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows, found = [], fs.listFiles(top, True) if fs.exists(top) else None
+    while found is not None and found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return spark.createDataFrame(rows, "path string, size long, ms long").select("path", "size", F.timestamp_millis("ms").alias("mtime"))
+
+
 def name_of(path: Column) -> Column:
     return F.url_decode(F.element_at(F.split(path, "/"), -1))
 
@@ -48,3 +61,19 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; malformed lines are skipped."""
     rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where("_bad is null").drop("_bad")
+
+
+def json_log(spark: SparkSession, path: str, schema: str = "date string, type string") -> DataFrame:
+    """Rows of a log of JSON lines with bad: the line itself where it is broken, else null;
+    empty lines are no rows, a missing log has none."""
+    from pyspark.errors import AnalysisException
+
+    # the lines are read as text, so that a query of bad alone sees the broken ones too
+    try:
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        lines.schema  # noqa: B018
+    except AnalysisException:
+        return spark.createDataFrame([], schema + ", bad string")
+    row = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    out = lines.select(row.alias("r"), "value").select("r.*", "value")
+    return out.withColumn("bad", F.when(F.col("_bad").isNotNull(), F.col("value"))).drop("_bad", "value")
