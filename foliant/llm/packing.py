@@ -44,6 +44,8 @@ from .common import text_chunks, written
 SEQUENCE = 1024
 #: Bytes of texts that are encoded at a time, and of units that are joined into one string.
 CHUNK, RUN = 1 << 23, 1 << 16
+#: Parts whose offsets are broadcast (12 bytes each); those of more are joined.
+SMALL = 1 << 20
 
 # bytes that are no white space by themselves: printable ASCII
 _PLAIN = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
@@ -178,7 +180,8 @@ def offsets(tokens: DataFrame) -> DataFrame:
     for part, t in totals:
         rows.append((part, base))
         base += t
-    return tokens.sparkSession.createDataFrame(rows, "p int, base long")
+    found = tokens.sparkSession.createDataFrame(rows, "p int, base long")
+    return F.broadcast(found) if len(rows) <= SMALL else found
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 0, length: int = SEQUENCE, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
