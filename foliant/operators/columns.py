@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.layout import despaced
+from foliant.functions.text import let
+from foliant.operators.layout import WIDE, despaced
 
 PAGE = ("doc", "page")
 
@@ -40,7 +41,6 @@ KEEP_HYPHEN = (
     " lattice single double mass stress second first data field model based depth flow water debris rain soil rock ice snow land sea wind"
 ).split()
 HEADS = ("[BOLD] ", "[ITAL] ", "[BIG] ")
-WIDE = r"[　-〿一-鿿＀-￯]"
 
 #: Points: lines of one baseline; bins of the page's width; least gutter; reach of scripts.
 BASELINE, BIN, GUTTER = 1.6, 2.0, 8.0
@@ -122,17 +122,22 @@ def gutters(lines: DataFrame) -> DataFrame:
     lo, hi = bin_of(F.col("width") * 0.2), bin_of(F.col("width") * 0.8)
     event = lambda b, d: F.struct(b.alias("b"), F.lit(d).alias("d"))
     within = F.filter("spans", lambda s: (bin_of(s["x0"]) < hi) & (bin_of(s["x1"]) >= lo))
-    own = F.flatten(F.transform(within, lambda s: F.array(event(F.greatest(bin_of(s["x0"]), lo), 1), event(F.least(bin_of(s["x1"]) + 1, hi), -1))))
-    ink = lines.withColumns({"_ink": own, "_l": F.array_min(F.transform("spans", lambda s: s["x1"])), "_r": F.array_max(F.transform("spans", lambda s: s["x0"])), "_lo": lo, "_hi": hi})
+    # a line's room by bins is 1 less its spans there; only where that changes is carried,
+    # so a whole line is no event and a cut one has two
+    ends = F.flatten(F.transform(within, lambda s: F.array(event(F.greatest(bin_of(s["x0"]), lo), -1), event(F.least(bin_of(s["x1"]) + 1, hi), 1))))
+    ends = F.concat(F.array(event(lo, 1), event(hi, -1)), ends)
+    net = lambda es: F.filter(F.transform(F.array_distinct(F.transform(es, lambda e: e["b"])), lambda b: F.struct(b.alias("b"), F.aggregate(es, F.lit(0), lambda n, e: n + F.when(e["b"] == b, e["d"]).otherwise(0)).alias("d"))), lambda e: e["d"] != 0)
+    ink = lines.withColumns({"_ink": let(ends, net), "_l": F.array_min(F.transform("spans", lambda s: s["x1"])), "_r": F.array_max(F.transform("spans", lambda s: s["x0"])), "_lo": lo, "_hi": hi})
     around = Window.partitionBy(*PAGE).orderBy("line").rowsBetween(-AROUND, AROUND)
     ink = ink.withColumns({"_inks": F.flatten(F.collect_list("_ink").over(around)), "_ls": F.collect_list("_l").over(around), "_rs": F.collect_list("_r").over(around)}).drop("_ink", "_l", "_r")
     # beyond the last bin nothing is free, so that the last run ends there
-    events = F.concat(F.array_sort("_inks"), F.array(event(F.col("_hi"), 2), event(F.col("_hi") + 1, 0)))
+    events = F.concat(F.array_sort("_inks"), F.array(event(F.col("_hi"), -1000), event(F.col("_hi") + 1, 0)))
+    enough = F.size("_ls") - 1
     least = int(GUTTER / BIN)
 
     def sweep(acc: Column, e: Column) -> Column:
-        """acc: last place, spans over what follows it, begin of the free run, runs."""
-        moved, free = e["b"] > acc["at"], acc["n"] <= 1
+        """acc: last place, room of all lines behind it, begin of the free run, runs."""
+        moved, free = e["b"] > acc["at"], acc["n"] >= enough
         ended = moved & ~free & acc["from"].isNotNull()
         run = F.array(F.struct((acc["from"] * BIN).alias("a"), (acc["at"] * BIN).alias("z")))
         return F.struct(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import blocks, columns
@@ -53,27 +52,29 @@ def test_one_side_only_and_narrow_room(spark):
     assert [x[0] for x in text_of(spark, near)] == ["F"]
 
 
-@pytest.mark.parametrize(
-    ("rows", "want"),
-    [
-        ([(0, 50, 550, "one"), (18, 50, 550, "two")], ["one", "two"]),  # room of more than 1.75 sizes
-        ([(0, 50, 550, "one"), (17, 50, 550, "two")], ["one two"]),
-        ([(0, 50, 480, "short"), (12, 50, 550, "two"), (24, 50, 550, "three")], ["short", "two three"]),  # ends short
-        ([(0, 50, 550, "one"), (12, 56, 550, "indented")], ["one", "indented"]),
-        ([(0, 50, 550, "Fig. 3. Caption"), (12, 50, 550, "more")], ["[CAP] Fig. 3. Caption", "more"]),
-        ([(0, 50, 550, "Figure 3 shows more"), (12, 50, 550, "more")], ["Figure 3 shows more more"]),
-        ([(0, 50, 550, "Table 2. Title"), (12, 50, 550, "Table 3. Title")], ["[TAB] Table 2. Title", "[TAB] Table 3. Title"]),
-        ([(0, 50, 550, "the exam-"), (12, 50, 550, "ple of this")], ["the example of this"]),
-        ([(0, 50, 550, "a non-"), (12, 50, 550, "linear one")], ["a non-linear one"]),
-        ([(0, 50, 550, "a non-"), (12, 50, 550, "linear, Nonlinear one")], ["a nonlinear, Nonlinear one"]),  # the word stands elsewhere
-        ([(0, 50, 550, "of Smith-"), (12, 50, 550, "Jones here")], ["of Smith- Jones here"]),
-        ([(0, 50, 550, "中文的"), (12, 50, 550, "句子")], ["中文的句子"]),
-        ([(0, 50, 550, "ﬁne ﬂow"), (12, 50, 550, "x")], ["fine flow x"]),
-    ],
-)
-def test_paragraph_rules(spark, rows, want):
-    got = text_of(spark, [span(100 + y, a, b, t) for y, a, b, t in rows])
-    assert [m + t for _, m, t in got] == want
+RULES = [
+    ([(0, 50, 550, "one"), (18, 50, 550, "two")], ["one", "two"]),  # room of more than 1.75 sizes
+    ([(0, 50, 550, "one"), (17, 50, 550, "two")], ["one two"]),
+    ([(0, 50, 480, "short"), (12, 50, 550, "two"), (24, 50, 550, "three")], ["short", "two three"]),  # ends short
+    ([(0, 50, 550, "one"), (12, 56, 550, "indented")], ["one", "indented"]),
+    ([(0, 50, 550, "Fig. 3. Caption"), (12, 50, 550, "more")], ["[CAP] Fig. 3. Caption", "more"]),
+    ([(0, 50, 550, "Figure 3 shows more"), (12, 50, 550, "more")], ["Figure 3 shows more more"]),
+    ([(0, 50, 550, "Table 2. Title"), (12, 50, 550, "Table 3. Title")], ["[TAB] Table 2. Title", "[TAB] Table 3. Title"]),
+    ([(0, 50, 550, "the exam-"), (12, 50, 550, "ple of this")], ["the example of this"]),
+    ([(0, 50, 550, "a non-"), (12, 50, 550, "linear one")], ["a non-linear one"]),
+    ([(0, 50, 550, "a non-"), (12, 50, 550, "linear, Nonlinear one")], ["a nonlinear, Nonlinear one"]),  # the word stands elsewhere
+    ([(0, 50, 550, "of Smith-"), (12, 50, 550, "Jones here")], ["of Smith- Jones here"]),
+    ([(0, 50, 550, "中文的"), (12, 50, 550, "句子")], ["中文的句子"]),
+    ([(0, 50, 550, "ﬁne ﬂow"), (12, 50, 550, "x")], ["fine flow x"]),
+]
+
+
+def test_paragraph_rules(spark):
+    rows = [span(100 + y, a, b, t, doc=d) for d, (lines, _) in enumerate(RULES) for y, a, b, t in lines]
+    got = {}
+    for r in columns.paragraphs(spans_of(spark, rows)).orderBy("doc", "page", "pos").collect():
+        got.setdefault(r.doc, []).append(r.mark + r.text)
+    assert got == {d: want for d, (_, want) in enumerate(RULES)}
 
 
 def test_marks(spark):

@@ -246,10 +246,16 @@ def test_layout(spark):
     sp = spark.createDataFrame([(1, "base", 0.0, 30.0, 0.0, 100.0, False), (1, "2", 31.0, 34.0, 0.0, 97.0, True)], "page int, t string, x0 double, x1 double, y0 double, by double, small boolean")
     (s,) = layout.attach_scripts(sp, ["page"], "t").collect()
     assert (s.base, s.role) == ("base", "sup")
-    ln = layout.regroup_lines(sp, ["page"]).collect()
-    assert [x.text for x in ln] == ["2", "base"] or [x.text for x in ln] == ["base 2"]
-    el = spark.createDataFrame([(1, 1, "It goes"), (1, 2, "on here."), (1, 3, "New one")], "doc int, ord int, text string")
-    assert [r.text for r in layout.merge_paragraphs(el, "doc", "ord").orderBy("ord").collect()] == ["It goes on here.", "New one"]
+    words = [("two", 0.0, 20.0), ("words", 23.0, 50.0), ("close", 50.5, 70.0), ("far", 120.0, 140.0)]
+    scattered = [(1, t, x0, y - 8.0, x1, y, y, 10.0) for y in (100.0, 112.0, 140.0) for t, x0, x1 in reversed(words)] + [(1, "up", 70.5, 90.0, 75.0, 97.0, 97.0, 6.0), (1, " ", 0.0, 0.0, 1.0, 1.0, 1.0, 10.0), (2, "z", 0.0, 0.0, 9.0, 9.0, 9.0, 0.0)]
+    ln = layout.regroup_lines(spark.createDataFrame(scattered, "page int, t string, x0 double, y0 double, x1 double, y1 double, by double, size double"), ["page"]).orderBy("page", "block", "line").collect()
+    # the raised word lies over 2.1 points off the line's baseline; two lines make a block, a third stands apart
+    assert [x.text for x in ln].count("two wordsclose") == 3 and ln[-1].text == "z"
+    assert len({x.block for x in ln if x.page == 1 and x.text == "two wordsclose"}) == 2 and sum(x.text == "far" for x in ln) == 3
+    el = spark.createDataFrame([(1, 1, "It goes"), (1, 2, "on here."), (1, 3, "New one"), (1, 4, "- item"), (1, 5, "(said) “so.”"), (1, 6, "not joined"), (1, 7, "exam-"), (1, 8, "ple; é"), (1, 9, "École"), (1, 10, "中"), (1, 11, "文")], "doc int, ord int, text string")
+    assert [r.text for r in layout.merge_paragraphs(el, "doc", "ord").orderBy("ord").collect()] == ["It goes on here.", "New one", "- item (said) “so.”", "not joined example; é", "École", "中文"]
+    el = spark.createDataFrame([(1, 1, "para", "It goes"), (1, 2, "caption", "on"), (1, 3, "para", "and here")], "doc int, ord int, kind string, text string")
+    assert [(r.kind, r.text) for r in layout.merge_paragraphs(el, "doc", "ord").orderBy("ord").collect()] == [("para", "It goes"), ("caption", "on"), ("para", "and here")]
     h = [one(spark, layout.heading_level(F.lit(t), F.lit(s), F.lit(b), F.lit(10.0)))[0] for t, s, b in (("2.1 Methods", 10.0, False), ("2.1 Methods", 10.0, True), ("3 Theory", 11.0, False), ("1 2 = 3", 14.0, True), ("B.1 More", 12.0, False), ("References", 10.0, False), ("a b s t r a c t", 10.0, False), ("plain text", 10.0, False), ("Big", 14.0, False), ("Bold", 11.0, True), ("Ends here.", 14.0, True))]
     assert h == [0, 3, 2, 0, 3, 2, 2, 0, 3, 3, 0]
 
