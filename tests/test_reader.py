@@ -246,3 +246,12 @@ def test_tables_are_replaced_whole(spark, tmp_path):
     except Exception:
         pass
     assert spark.read.parquet(path).count() == 5 and sinks.overwrite_checked(spark.range(1), path, spark.range(1)) is False
+
+
+def test_which_parts_of_tables_and_references_stay():
+    found = lambda md: [(k, t) for k, t, *_ in protect.find_spans(md)]
+    assert found("| a \\| 5 | -1.5e-3 m² | 中 7 | : --- | | 12% | 3 № |") == [("table_number", "5"), ("table_cell", " -1.5e-3 m² "), ("table_number", "7"), ("table_cell", " 12% "), ("table_number", "3")]
+    assert found("| 1.2.3 | x9 |\nno | 5 | row\n  | 4 |  ") == [("table_cell", " 1.2.3 "), ("table_number", "9"), ("table_cell", " 4 ")]
+    assert found("# References\na\n## References\nb\n# End\nc") == [("references", "\na\n## References\nb\n")]
+    assert found("## 参考文献\r\na\n## references\nb\n# x\n### References") == [("references", "\na\n"), ("references", "\nb\n")]
+    assert found("`a` ``b`c`` \\$5 $x$ $$y\nz$$ ![[i.png]] ![t](u)") == [("code_inline", "`a`"), ("code_inline", "``b`c``"), ("math_inline", "$x$"), ("math_block", "$$y\nz$$"), ("image", "![[i.png]]"), ("image", "![t](u)")]
