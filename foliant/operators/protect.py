@@ -72,10 +72,10 @@ def every(kind: str, pattern: re.Pattern) -> Callable[[str], Iterator[tuple[str,
 SOURCES = (every("code_fence", CODE_FENCE), reference_sections, every("math_block", MATH_BLOCK), every("image", IMAGE), every("code_inline", CODE_INLINE), every("math_inline", MATH_INLINE), table_values)
 
 
-def find_spans(md: str) -> list[tuple[str, str, int, int]]:
+def find_spans(md: str, sources: tuple = SOURCES) -> list[tuple[str, str, int, int]]:
     """(kind, text, start, end) in order; a span that meets an earlier kind's is left out."""
     taken: list[tuple[int, int, str]] = []  # sorted, disjoint
-    for kind, s, e in (x for source in SOURCES for x in source(md)):
+    for kind, s, e in (x for source in sources for x in source(md)):
         i = bisect.bisect_left(taken, (s,))
         if e > s and (i == len(taken) or taken[i][0] >= e) and (i == 0 or taken[i - 1][1] <= s):
             taken.insert(i, (s, e, kind))

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from foliant.plans import catalog_queries, layout_queries, reader_queries, text_queries  # noqa: F401
+    from foliant.plans import catalog_queries, check_queries, layout_queries, reader_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
