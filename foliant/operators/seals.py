@@ -243,26 +243,26 @@ def prepare(papers: DataFrame, seals: DataFrame, figures: DataFrame, id_: str, b
 
 
 def merge(papers: DataFrame, seals: DataFrame, figures: DataFrame, work: DataFrame, id_: str) -> DataFrame:
-    """id, errors, text, link, prepared_link, review_holds: translations (work: body and manifest as prepared, locked, supplement) put together anew.
+    """The work (id, body and manifest as prepared, locked, supplement, any others) with errors, text, link, prepared_link
+    and review_holds: translations put together anew.
 
     What was prepared is derived again from the source; where it differs, nothing is merged.
     """
-    g = gated(papers, seals, figures, id_).join(work.select(id_, "body", "manifest", "locked", "supplement"), id_, "inner").withColumn("_p", prepared_udf("source"))
-    kept = lambda m: F.to_json(m)
-    drift = (F.col("body") != F.col("_p.body")) | (kept("manifest") != kept("_p.manifest"))
-    g = g.withColumn("_m", merged_udf("source", "locked", "supplement"))
+    g = gated(papers, seals, figures, id_).select(id_, "lang", "source", "layout", "pages", "seal", "figures", "gate").join(work.select(id_, F.struct("*").alias("_w")), id_, "inner")
+    g = g.withColumns({"_p": prepared_udf("source"), "_m": merged_udf("source", "_w.locked", "_w.supplement")})
+    drift = (F.col("_w.body") != F.col("_p.body")) | (F.to_json("_w.manifest") != F.to_json("_p.manifest"))
     _, made = links(F.col("seal"), F.col("figures"), F.col("_p.body"), F.col("_p.manifest"))
     errors = F.concat("gate", some(("prepared_differs", drift)), "_m.errors")
     holds = F.coalesce((F.col("seal.source") == link(F.col("source"))) & (F.col("seal.layout") == link(F.col("layout"))), F.lit(False))
-    return g.select(id_, errors.alias("errors"), F.when(F.size(errors) == 0, F.col("_m.text")).alias("text"), link(made, F.col("locked"), F.col("supplement")).alias("link"), made.alias("prepared_link"), holds.alias("review_holds"))
+    return g.select("_w.*", errors.alias("errors"), F.when(F.size(errors) == 0, F.col("_m.text")).alias("text"), link(made, F.col("_w.locked"), F.col("_w.supplement")).alias("link"), made.alias("prepared_link"), holds.alias("review_holds"))
 
 
 def check_translation(papers: DataFrame, seals: DataFrame, figures: DataFrame, work: DataFrame, id_: str) -> DataFrame:
-    """id, ok, errors, void: outputs (work: as for merge, with output and the links recorded as ``made`` and ``joined``) compared
+    """id, ok, errors, void, text: outputs (work: as for merge, with output and the links recorded as ``made`` and ``joined``) compared
     with what their inputs give now.  void: the stages whose inputs changed since, each with all that follows from it."""
-    m = merge(papers, seals, figures, work, id_).join(work.select(id_, "output", "made", "joined"), id_, "inner")
+    m = merge(papers, seals, figures, work, id_)
     other = ~F.col("output").eqNullSafe(F.col("text"))
     # an input that changed changes its link and, as links hold the one before, every later one
     gone = some(("review", ~F.col("review_holds")), ("prepare", F.col("prepared_link") != F.col("made")), ("merge", F.col("link") != F.col("joined")), ("output", (F.col("link") != F.col("joined")) | other))
     errors = F.concat("errors", some(("output_differs", other)))
-    return m.select(id_, (F.size(errors) == 0).alias("ok"), errors.alias("errors"), gone.alias("void"))
+    return m.select(id_, (F.size(errors) == 0).alias("ok"), errors.alias("errors"), gone.alias("void"), "text")

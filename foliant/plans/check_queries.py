@@ -32,16 +32,15 @@ def sealed_derivations(spark, d):
     figures = papers.select("doc_id", F.lit("1").alias("num"), F.lit("cut").alias("status"), F.lit(True).alias("reviewed"), F.lit("seen").alias("reviewNote"), F.lit("2024-01-01").alias("reviewedAt"))
     seal = seals.review(papers, "doc_id")
     made = seals.prepare(papers, seal, figures, "doc_id").where("body is not null")
-    work = made.select("doc_id", "body", "manifest", F.translate("body", "def", "DEF").alias("locked"), F.lit(None).cast("string").alias("supplement"), F.col("link").alias("made"))
-    done = seals.merge(papers, seal, figures, work, "doc_id").select("doc_id", F.col("text").alias("output"), F.col("link").alias("joined"))
-    work = work.join(done, "doc_id")
+    work = made.select("doc_id", "body", "manifest", F.translate("body", "def", "DEF").alias("locked"), F.lit(None).cast("string").alias("supplement"))
+    done = seals.merge(papers, seal, figures, work, "doc_id")
+    work = done.select(*work.columns, F.col("text").alias("output"), F.col("prepared_link").alias("made"), F.col("link").alias("joined"))
     # what happens afterwards
     when = lambda name, new, old: F.when(k == CHANGES.index(name), new).otherwise(F.col(old)).alias(old)
     papers = papers.withColumns({"source": when("source", F.concat("source", F.lit(" More.")), "source"), "layout": when("layout", F.concat("layout", F.lit(" ")), "layout")})
     figures = figures.withColumn("reviewed", when("figure", F.lit(False), "reviewed"))
     work = work.withColumns({"locked": when("token", F.regexp_replace("locked", "⟦WS000002⟧", ""), "locked"), "supplement": when("supplement", F.lit("## 亮点\n\n- a\n- b\n- c\n\n>【说明】"), "supplement"), "output": when("output", F.concat("output", F.lit(" ")), "output")})
     found = seals.check_translation(papers, seal, figures, work, "doc_id")
-    text = seals.merge(papers, seal, figures, work, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"))
-    out = seal.select("doc_id", F.col("seal").isNotNull().alias("sealed")).join(found, "doc_id", "left").join(text, "doc_id", "left")
+    out = seal.select("doc_id", F.col("seal").isNotNull().alias("sealed")).join(found, "doc_id", "left")
     flat = lambda x: F.coalesce(F.array_join(x, ","), F.lit(""))
-    return out.select("doc_id", "sealed", flat("errors").alias("errors"), flat("void").alias("void"), "digest")
+    return out.select("doc_id", "sealed", flat("errors").alias("errors"), flat("void").alias("void"), F.sha2("text", 256).alias("digest"))
