@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.operators import seals
+from foliant.operators import report, seals
 from foliant.plans.catalog_queries import t
 from foliant.plans.registry import query
 
@@ -44,3 +44,31 @@ def sealed_derivations(spark, d):
     out = seal.select("doc_id", F.col("seal").isNotNull().alias("sealed")).join(found, "doc_id", "left")
     flat = lambda x: F.coalesce(F.array_join(x, ","), F.lit(""))
     return out.select("doc_id", "sealed", flat("errors").alias("errors"), flat("void").alias("void"), F.sha2("text", 256).alias("digest"))
+
+
+HEAD, TAIL = "# A study\n\n## Abstract\n\nWhat was measured over the hills.\n\n## 1 Flow\n\n", "\n\n![[a.png]]\n**Fig. 1.** Flow.\n\n$$\nx \\tag{1}\n$$\n"
+HAN = "气流越过山丘的测量在各种天气下每天进行两次并且记录完整。"
+CHINESE = f"# 一项研究\n\n## 亮点\n\n{HAN}\n\n## 摘要\n\n{HAN}\n\n## 1 流动\n\n{HAN}\n\n![[a.png]]\n**图 1.** 流动。\n\n$$\nx \\tag{{1}}\n$$\n"
+BARE = "\n## 2 Bare\n"
+
+
+@query(
+    "work_report",
+    """with p as (select doc_id, doc_id % 6 as k, regexp_replace(coalesce(text, ''), '[^A-Za-z \\n]+', ' ', 'g') as b from documents),
+q as (select *, case when regexp_matches(b, '(?i)Funding information|This is an open access|\\bK\\sE\\sY\\sW\\sO\\sR\\sD\\sS\\b') then 'en.md:shell' end as shell from p)
+select doc_id, k in (0, 2) as ok, case k when 1 then 'en.md:no_figures:1' when 3 then 'en.md:empty_section:2 Bare,zh.md:no_section:2' when 4 then 'en.md:no_equation:1' when 5 then 'en.md:caption_file:1,zh.md:caption_file:1' else '' end as errors,
+concat_ws(',', shell, case k when 2 then 'images:unused:b.png' when 4 then 'zh.md:unmatched_equation:1' end) as warnings,
+cast(17 + case when k = 3 then 2 else 0 end + length(b) - length(replace(b, chr(10), '')) as bigint) as lines from q""",
+)
+def work_report(spark, d):
+    k, fault = F.col("doc_id") % 6, lambda n, new, old: F.when(F.col("doc_id") % 6 == n, F.lit(new)).otherwise(F.lit(old))
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z \n]+", " ")
+    tail = F.when(k == 1, TAIL.replace("**Fig. 1.** ", "")).when(k == 3, TAIL + BARE).when(k == 4, TAIL.replace("\\tag{1}", "")).otherwise(TAIL)
+    strings = lambda *xs: F.array(*map(F.lit, xs))
+    works = t(spark, d, "documents").select(
+        "doc_id", F.lit("en").alias("lang"), F.lit("article").alias("kind"), F.concat(F.lit(HEAD), body, tail).alias("en"), F.lit(CHINESE).alias("zh"), F.lit("# 笔记").alias("notes"),
+        strings("1").alias("figures"), strings().cast("array<string>").alias("tables"), strings("1").alias("equations"),
+        F.when(k == 2, strings("a.png", "b.png")).otherwise(strings("a.png")).alias("images"), F.create_map(F.lit("1"), fault(5, "c.png", "a.png")).alias("files"),
+    )
+    flat = lambda c: F.array_join(c, ",").alias(c)
+    return report.verify(works, "doc_id").select("doc_id", "ok", flat("errors"), flat("warnings"), F.col("counts.lines_en").alias("lines"))
