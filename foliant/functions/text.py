@@ -150,11 +150,42 @@ def url_encode_path(x: Column | str) -> Column:
 
 
 def encode_asset_url(x: Column | str) -> Column:
-    """Idempotent: decoded where it decodes, then encoded; the origin stays."""
-    origin = F.regexp_extract(text(x), r"^([a-z][a-z0-9+.-]*://[^/]*)", 1)
+    """Idempotent: each segment decoded where it is valid, then encoded as a component of a URI; the origin stays."""
+    origin = F.regexp_extract(text(x), r"(?i)^([a-z][a-z0-9+.-]*://[^/]+)", 1)
     rest = F.substring(text(x), F.length(origin) + 1, F.length(text(x)))
-    plus = F.replace(rest, F.lit("+"), F.lit("%2B"))
-    return F.concat(origin, url_encode_path(F.coalesce(F.try_url_decode(plus), rest)))
+
+    def one(s: Column) -> Column:
+        plain = F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))
+        # octets that are no UTF-8 decode to a replacement character, which counts as invalid
+        whole = F.when(~plain.contains("\ufffd") | s.contains("\ufffd"), plain)
+        out = F.url_encode(F.coalesce(whole, s))
+        for a, b in (("+", "%20"), ("%7E", "~"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    return F.concat(origin, F.array_join(F.transform(F.split(rest, "/"), one), "/"))
+
+
+def join_asset_url(base: Column | str, name: Column | str) -> Column:
+    """A name below a base that may end in a slash, encoded."""
+    return encode_asset_url(F.concat(sub(text(base), r"/\z"), F.lit("/"), text(name)))
+
+
+def has_web_variant(url: Column | str) -> Column:
+    """Whether an image is of a kind that is also kept in a smaller size."""
+    return F.regexp_like(text(url), F.lit(r"(?i)\.(png|jpe?g)\z"))
+
+
+def is_cjk(x: Column | str) -> Column:
+    """Whether a text begins with a Chinese character, CJK punctuation or a full-width form."""
+    return F.regexp_like(text(x), F.lit(r"^[一-鿿　-〿＀-￯]"))
+
+
+def scoped_path(path: Column | str, root: str) -> Column:
+    """The path if it lies in the root and no part of it is ``..``, else null; links aren't followed."""
+    parts, top = F.split(text(path), "/+"), root.rstrip("/")
+    inside = (text(path) == top) | text(path).startswith(f"{top}/")
+    return F.when(inside & ~F.array_contains(parts, ".."), text(path))
 
 
 def split_sentences(x: Column | str) -> Column:

@@ -87,6 +87,11 @@ def filter_terms(terms: DataFrame, query: str, type_: str = "", domain: str = ""
     return terms.where(F.contains(hay, F.lit(query.strip().lower())) & term_facets(type_, domain))
 
 
+def first_matches(found: DataFrame, *order: Column | str, most: int = 120) -> tuple[DataFrame, DataFrame]:
+    """The first matches in order, each executor keeping its own first ones, and whether there are more (one row: n, more)."""
+    return found.orderBy(*order).limit(most), found.agg(F.count("*").alias("n"), (F.count("*") > most).alias("more"))
+
+
 def term_facets(type_: str = "", domain: str = "") -> Column:
     cond = F.lit(True)
     if type_ and type_ != "all":

@@ -57,6 +57,11 @@ def merge_patch(current: DataFrame, patch: DataFrame, key: str, fields: list[str
     return both.withColumns(out).drop("_hit", *[f"_p_{f}" for f in fields])
 
 
+def hydrated(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
+    """Local rows with those of the remote put in their place as they are, stamps included; nothing is written back."""
+    return local.join(remote.select(key).distinct(), key, "left_anti").select(*local.columns).unionByName(remote.select(*local.columns))
+
+
 def cascade_delete(ids: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:
     """Each table without the rows of the deleted keys.  Shares are not passed: they stay."""
     return [t.join(ids.select(key).distinct(), key, "left_anti") for t in tables]

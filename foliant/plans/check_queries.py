@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions import text as fx
 from foliant.operators import report, seals
 from foliant.plans.catalog_queries import t
 from foliant.plans.registry import query
@@ -72,3 +73,16 @@ def work_report(spark, d):
     )
     flat = lambda c: F.array_join(c, ",").alias(c)
     return report.verify(works, "doc_id").select("doc_id", "ok", flat("errors"), flat("warnings"), F.col("counts.lines_en").alias("lines"))
+
+
+@query(
+    "joined_urls",
+    r"""with u as (select page_id, coalesce(url, '') as u, regexp_extract(coalesce(url, ''), '(?i)^([a-z][a-z0-9+.-]*://[^/]+)', 1) as o from pages),
+j as (select *, regexp_replace(u, '/$', '') || '/Fig ' || (page_id % 7) || case when page_id % 2 = 0 then '.png' else '.svg' end as f from u)
+select page_id, o || list_aggregate([url_encode(url_decode(s)) for s in string_split(substr(f, length(o) + 1), '/')], 'string_agg', '/') as url, page_id % 2 = 0 as variant, case when u like 'https://%' and not regexp_matches(u, '(^|/)\.\.(/|$)') then u end as scoped from j""",
+)
+def joined_urls(spark, d):
+    p = t(spark, d, "pages")
+    name = F.concat(F.lit("Fig "), (F.col("page_id") % 7).cast("string"), F.when(F.col("page_id") % 2 == 0, ".png").otherwise(".svg"))
+    url = fx.join_asset_url("url", name)
+    return p.select("page_id", url.alias("url"), fx.has_web_variant(url).alias("variant"), fx.scoped_path("url", "https:/").alias("scoped"))
