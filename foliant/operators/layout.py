@@ -57,7 +57,7 @@ def nearest_captions(captions: DataFrame, regions: DataFrame, page: list[str]) -
     """
     first = "ord" if "ord" in captions.columns else "num"
     c = captions.select(*page, "num", F.col(first).alias("_o"), *[F.col(k).alias("c" + k) for k in ("x0", "y0", "x1", "y1")])
-    both = regions.join(c, page, "left")
+    both = regions.join(c.hint("merge"), page, "left")
     overlap = F.least("x1", "cx1") - F.greatest("x0", "cx0")
     below, above = F.col("cy0") >= F.col("y1") - 6, F.col("cy1") <= F.col("y0") + 6
     gap = F.when(below, F.col("cy0") - F.col("y1")).when(above, F.col("y0") - F.col("cy1") + 60).otherwise(0)
@@ -76,7 +76,7 @@ def united_regions(captions: DataFrame, near: DataFrame, page: list[str]) -> Dat
     c = captions.select(*page, "num", *[F.col(k).alias("c" + k) for k in ("x0", "y0", "x1", "y1")])
     u = near.where("num is not null").groupBy(*page, "num").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     meets = (F.least("x1", "cx1") > F.greatest("x0", "cx0")) & (F.least("y1", "cy1") > F.greatest("y0", "cy0")) & (F.col("cy0") > F.col("y0") + 20)
-    cut = u.join(c, [*page, "num"]).groupBy(*page, "num", "x0", "y0", "x1", "y1").agg(F.min(F.when(meets, F.col("cy0") - 2)).alias("_cut"))
+    cut = u.join(c.hint("merge"), [*page, "num"]).groupBy(*page, "num", "x0", "y0", "x1", "y1").agg(F.min(F.when(meets, F.col("cy0") - 2)).alias("_cut"))
     return cut.withColumn("y1", F.least("y1", "_cut")).drop("_cut")
 
 
@@ -224,7 +224,7 @@ def gap_above(captions: DataFrame, blocks: DataFrame, page: list[str], top: str
     width = F.col("cx1") - F.col("cx0")
     over = F.least(F.col("bx1"), F.col("cx1") + 4) - F.greatest(F.col("bx0"), F.col("cx0") - 4)
     stop = (F.col("by1") <= F.col("cy0") - 4) & (over > width * 0.4) & (((F.col("_n") > 80) & (F.col("bx1") - F.col("bx0") > width * 0.5)) | F.col("_c"))
-    both = c.join(b, page, "left").groupBy(*page, "num", "_t", "cx0", "cy0", "cx1", "cy1").agg(F.max(F.when(stop, F.col("by1") + 2)).alias("_y"))
+    both = c.join(b.hint("merge"), page, "left").groupBy(*page, "num", "_t", "cx0", "cy0", "cx1", "cy1").agg(F.max(F.when(stop, F.col("by1") + 2)).alias("_y"))
     out = both.select(*page, "num", (F.col("cx0") - 4).alias("x0"), F.greatest(F.col("_t") + 36, F.coalesce("_y", F.col("_t") + 36)).alias("y0"), (F.col("cx1") + 4).alias("x1"), (F.col("cy0") - 2).alias("y1"))
     return out.where("y1 - y0 >= 50 and x1 - x0 >= 60")
 
