@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
 from foliant.operators.columns import CAPTION, LABEL_ONLY, PAGE, TABLE_CAPTION, WIDE, like, stripped
 from foliant.operators.layout import despaced, label_like
 
@@ -43,7 +44,8 @@ def marked_lines(spans: DataFrame, body: float = 10.0) -> DataFrame:
     """doc, page, block, line, text, size, bold, font, x0, y0, x1, y1: one row for each
     line with text; the size is the largest, bold means more than 60 % of the characters."""
     row = F.struct("seq", "t", F.col("size").cast("double").alias("size"), F.col("y").cast("double").alias("y"), (F.col("bold") | like(F.col("font"), BOLD_FONT)).alias("bold"), "raised", "font")
-    lines = spans.where(F.col("t") != "").groupBy(*PAGE, "block", "line", *RECT).agg(F.array_sort(F.collect_list(row)).alias("spans"))
+    # dealt by the document: this one shuffle serves what is gathered by line, and then by block
+    lines = spans.where(F.col("t") != "").repartition("doc").groupBy(*PAGE, "block", "line", *RECT).agg(F.array_sort(F.collect_list(row)).alias("spans"))
     sizes = F.filter(F.transform("spans", lambda s: s["size"]), lambda v: v > 0.5)
     lines = lines.withColumn("size", F.coalesce(F.array_max(sizes), F.lit(float(body))))
     count = lambda test: F.aggregate("spans", F.lit(0), lambda a, s: a + F.when(test(s), F.length(s["t"])).otherwise(0))
@@ -80,16 +82,20 @@ def segments(lines: DataFrame) -> DataFrame:
     nine tenths of the larger size lie between them.  A segment that is a bare label
     (``Fig. 2.``) takes the next one in.
     """
-    w = Window.partitionBy(*PAGE, "block").orderBy("line")
-    was = lambda c: F.lag(c).over(w)
-    lines = lines.withColumn("_label", label_like(F.col("text")))
-    before = was("text")
-    style = (F.col("bold") != was("bold")) | (F.abs(F.col("size") - was("size")) >= 1.0)
-    after_end = F.col("_label") & like(before, r"[.!?:。！？；;)]$|^\s*$")
-    under_label = was("_label") & (F.length(before) <= 60) & ~like(before, LABEL_ONLY) & ~F.col("_label")
-    gap = F.col("y0") - was("y1") > F.greatest("size", was("size")) * 0.9
-    row = F.struct("line", (style & (F.length("text") <= 120)).alias("always"), style.alias("early"), (after_end | gap).alias("cut"), under_label.alias("one"), "text", "size", "bold", "font", *RECT)
-    blocks = lines.withColumn("_row", row).groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list("_row")).alias("rows"))
+    line = F.struct("line", "text", "size", "bold", "font", *RECT, label_like(F.col("text")).alias("label"))
+    blocks = lines.groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+    def told(x: Column, k: Column) -> Column:
+        """A line with what speaks for a cut before it."""
+        was = F.get(F.col("lines"), k - 1)
+        style = (x["bold"] != was["bold"]) | (F.abs(x["size"] - was["size"]) >= 1.0)
+        after_end = x["label"] & like(was["text"], r"[.!?:。！？；;)]$|^\s*$")
+        under_label = was["label"] & (F.length(was["text"]) <= 60) & ~like(was["text"], LABEL_ONLY) & ~x["label"]
+        gap = x["y0"] - was["y1"] > F.greatest(x["size"], was["size"]) * 0.9
+        marks = ((style & (F.length(x["text"]) <= 120)).alias("always"), style.alias("early"), (after_end | gap).alias("cut"), under_label.alias("one"))
+        return F.struct(*marks, *[x[c].alias(c) for c in ("text", "size", "bold", "font", *RECT)])
+
+    blocks = blocks.withColumn("rows", F.transform("lines", told))
 
     def step(acc: Column, r: Column) -> Column:
         """acc: lines of the open segment, text of what a bare label may still take in, and
@@ -106,10 +112,9 @@ def segments(lines: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("open"), F.lit("").alias("marks"))
     blocks = blocks.withColumn("marks", F.aggregate("rows", start, step)["marks"])
-    s = blocks.select(*PAGE, "block", "marks", F.posexplode("rows").alias("i", "row"))
-    down = Window.partitionBy(*PAGE, "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("seg", (F.sum(F.substring("marks", F.col("i") + 1, F.lit(1)).cast("int")).over(down) - 1).cast("int"))
-    s = s.groupBy(*PAGE, "block", "seg").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    flags = F.filter(F.transform(F.split("marks", ""), lambda m, i: F.when(m == "1", i)), lambda i: i.isNotNull())
+    own = let(flags, lambda at: F.transform(at, lambda a, j: F.slice("rows", a + 1, F.coalesce(F.get(at, j + 1), F.size("rows")) - a)))
+    s = blocks.select(*PAGE, "block", F.posexplode(own).alias("seg", "rows"))
     field = lambda c: F.transform("rows", lambda r: r[c])
     bold = F.size(F.filter("rows", lambda r: r["bold"])) >= F.greatest(F.lit(1.0), F.size("rows") * 0.6)
     rect = [(F.array_min if c[1] == "0" else F.array_max)(field(c)).alias(c) for c in RECT]

@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from foliant.operators import cuts, layout
+from foliant.operators import blocks, cuts, layout
 from foliant.operators.citations import parse_references
 from foliant.operators.containment import jaccard_pairs
 from tests.test_cuts import BLOCKS, CAPTIONS, FIGURES, PAGES, REGIONS
@@ -61,3 +61,11 @@ def test_reference_lists_are_shuffled_once(spark):
     lines = spark.range(40).select((F.col("id") % 4).alias("doc"), F.col("id").alias("i"), F.lit("[1] Smith, J.: A title of things, Journal 3, 2019.").alias("line"))
     got = plan(parse_references(lines, "doc"))
     assert len(re.findall(r"Exchange (?!SinglePartition)\w*", got)) == 1 and "Join" not in got and "Window" not in got
+
+
+def test_segments_are_shuffled_once(spark):
+    """By line and then by block: the same rows stay where they are, also where page and block are fixed."""
+    k = F.col("id")
+    own = {"doc": k % 3, "page": F.lit(1), "block": F.lit(1), "line": k, "seq": F.lit(0), "t": F.lit("some words"), "size": F.lit(10.0), "y": k * 12.0, "font": F.lit("Serif"), "bold": k % 9 == 0, "raised": F.lit(False), "x0": F.lit(50.0), "y0": k * 12.0 - 9, "x1": F.lit(300.0), "y1": k * 12.0}
+    got = plan(blocks.segments(blocks.marked_lines(spark.range(30).select(*[v.alias(c) for c, v in own.items()]))))
+    assert len(re.findall(r"Exchange (?!SinglePartition)\w*", got)) == 1 and "Window" not in got
