@@ -45,7 +45,7 @@ def reference_sections(md: str) -> Iterator[tuple[str, int, int]]:
     """What stands below reference headings, which stay open to translation, up to a
     heading as high; one fold over the headings, with the section that is open."""
     begin, level = None, 0
-    for h in HEADING.finditer(md):
+    for h in HEADING.finditer(md) if REFERENCES.search(md) else ():
         if begin is not None and len(h[1]) <= level:
             yield "references", begin, h.start()
             begin = None
@@ -57,19 +57,20 @@ def reference_sections(md: str) -> Iterator[tuple[str, int, int]]:
 
 def table_values(md: str) -> Iterator[tuple[str, int, int]]:
     """Cells that are quantities, and the numbers in other cells."""
-    for row in ROW.finditer(md):
+    for row in ROW.finditer(md) if "|" in md else ():
         for cell in CELL.finditer(md, *row.span()):
             kind = next(k for form, k in CELL_FORMS if form.fullmatch(cell["cell"]))
             spans = {"table_cell": [cell], "table_number": NUMBER.finditer(md, *cell.span("cell"))}.get(kind, ())
             yield from ((kind, *m.span("cell" if m is cell else 0)) for m in spans)
 
 
-def every(kind: str, pattern: re.Pattern) -> Callable[[str], Iterator[tuple[str, int, int]]]:
-    return lambda md: ((kind, *m.span()) for m in pattern.finditer(md))
+def every(kind: str, pattern: re.Pattern, *signs: str) -> Callable[[str], Iterator[tuple[str, int, int]]]:
+    """All matches; signs: one of these stands in every match, so that a text without them isn't read by the pattern."""
+    return lambda md: ((kind, *m.span()) for m in (pattern.finditer(md) if not signs or any(x in md for x in signs) else ()))
 
 
 #: Where spans come from, in order of precedence: an earlier kind keeps its place.
-SOURCES = (every("code_fence", CODE_FENCE), reference_sections, every("math_block", MATH_BLOCK), every("image", IMAGE), every("code_inline", CODE_INLINE), every("math_inline", MATH_INLINE), table_values)
+SOURCES = (every("code_fence", CODE_FENCE, "```", "~~~"), reference_sections, every("math_block", MATH_BLOCK, "$$"), every("image", IMAGE, "!["), every("code_inline", CODE_INLINE, "`"), every("math_inline", MATH_INLINE, "$"), table_values)
 
 
 def find_spans(md: str, sources: tuple = SOURCES) -> list[tuple[str, str, int, int]]:

@@ -32,7 +32,7 @@ LAYOUT_GROUPS = ("headings", "equations", "tables")
 SUPPLEMENT_HEAD, SUPPLEMENT_NOTE = "## 亮点", ">【说明】"
 
 #: Kinds in order of precedence; the last two belong to the skeleton alone.
-SKELETON = (*SOURCES, every("structure", LINE_HEAD), lambda md: (("structure", *m.span()) for row in ROW.finditer(md) for m in TABLE_MARK.finditer(md, *row.span())))
+SKELETON = (*SOURCES, every("structure", LINE_HEAD), lambda md: (("structure", *m.span()) for row in (ROW.finditer(md) if "|" in md else ()) for m in TABLE_MARK.finditer(md, *row.span())))
 
 
 def pieces(md: str) -> list[tuple[str, str]]:
@@ -58,19 +58,20 @@ def locked_body(parts: list[tuple[str, str, str]]) -> str:
     return "".join(token + "\n\n" if kind == "separator" else token or body for token, kind, body in parts)
 
 
-def merged(source: str, translated: str, supplement: str | None) -> tuple[str, list[str]]:
+def merged(source: str, translated: str, supplement: str | None, parts: list[tuple[str, str, str]] | None = None) -> tuple[str, list[str]]:
     """(text, errors): the translation with what was locked back in place, and the supplement before its abstract.
+    parts: the source's named pieces, where they are at hand.
 
     Errors: token (one is missing, repeated, renamed or moved), damaged, syntax (math, images or code that the source
     lacks), outside (words between blocks), empty and split (blocks, by number), protected (kept matter differs), and supplement_*.
     """
-    parts = named(pieces(source))
+    parts = named(pieces(source)) if parts is None else parts
     kept = [p for p in parts if p[0]]
     gaps, errors = MARK.split(translated), []
     residue = "".join(gaps)
     if "⟦WS" in residue or "⟧" in residue:
         errors.append("damaged")
-    if NEW_SYNTAX.search(residue):
+    if any(x in residue for x in ("$", "![", "`", "\\")) and NEW_SYNTAX.search(residue):
         errors.append("syntax")
     if MARK.findall(translated) != [t for t, *_ in kept]:
         return "", ["token", *errors]
@@ -124,20 +125,25 @@ def supplemented(source: str, done: str, supplement: str | None, errors: list[st
 
 
 PREPARED = T.StructType([T.StructField("body", T.StringType()), T.StructField("manifest", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("token", "kind", "text")])))])
-MERGED = T.StructType([T.StructField("text", T.StringType()), T.StructField("errors", T.ArrayType(T.StringType()))])
+MERGED = T.StructType([*PREPARED.fields, T.StructField("text", T.StringType()), T.StructField("errors", T.ArrayType(T.StringType()))])
+
+
+def prepared(done: list[list[tuple[str, str, str]]]) -> dict[str, list]:
+    kept = [[dict(zip(("token", "kind", "text"), p, strict=True)) for p in parts if p[0]] for parts in done]
+    return {"body": [locked_body(parts) for parts in done], "manifest": kept}
 
 
 @pandas_udf(PREPARED)
 def prepared_udf(source: pd.Series) -> pd.DataFrame:
-    done = [named(pieces(x or "")) for x in source]
-    kept = [[dict(zip(("token", "kind", "text"), p, strict=True)) for p in parts if p[0]] for parts in done]
-    return pd.DataFrame({"body": [locked_body(parts) for parts in done], "manifest": kept})
+    return pd.DataFrame(prepared([named(pieces(x or "")) for x in source]))
 
 
 @pandas_udf(MERGED)
 def merged_udf(source: pd.Series, translated: pd.Series, supplement: pd.Series) -> pd.DataFrame:
-    done = [merged(a or "", b or "", c) for a, b, c in zip(source, translated, supplement, strict=True)]
-    return pd.DataFrame({"text": [d[0] for d in done], "errors": [d[1] for d in done]})
+    """What is prepared from the source, and the translation merged with it: the source is cut into pieces once."""
+    done = [named(pieces(x or "")) for x in source]
+    out = [merged(a or "", b or "", c, parts) for a, b, c, parts in zip(source, translated, supplement, done, strict=True)]
+    return pd.DataFrame(prepared(done) | {"text": [x[0] for x in out], "errors": [x[1] for x in out]})
 
 
 @pandas_udf(T.BooleanType())
@@ -145,7 +151,7 @@ def open_dollar_udf(source: pd.Series) -> pd.Series:
     """A dollar sign that is neither escaped nor part of a protected span."""
     spans = lambda md: [(s, e) for _, _, s, e in find_spans(md)]
     bare = lambda md: "".join(md[a:b] for (_, a), (b, _) in pairwise([(0, 0), *spans(md), (len(md), len(md))]))
-    return pd.Series([bool(re.search(r"(?<!\\)\$", bare(x or ""))) for x in source])
+    return pd.Series(["$" in (x or "") and bool(re.search(r"(?<!\\)\$", bare(x))) for x in source], dtype=bool)
 
 
 def link(*parts: Column) -> Column:
@@ -249,9 +255,9 @@ def merge(papers: DataFrame, seals: DataFrame, figures: DataFrame, work: DataFra
     What was prepared is derived again from the source; where it differs, nothing is merged.
     """
     g = gated(papers, seals, figures, id_).select(id_, "lang", "source", "layout", "pages", "seal", "figures", "gate").join(work.select(id_, F.struct("*").alias("_w")), id_, "inner")
-    g = g.withColumns({"_p": prepared_udf("source"), "_m": merged_udf("source", "_w.locked", "_w.supplement")})
-    drift = (F.col("_w.body") != F.col("_p.body")) | (F.to_json("_w.manifest") != F.to_json("_p.manifest"))
-    _, made = links(F.col("seal"), F.col("figures"), F.col("_p.body"), F.col("_p.manifest"))
+    g = g.withColumn("_m", merged_udf("source", "_w.locked", "_w.supplement"))
+    drift = (F.col("_w.body") != F.col("_m.body")) | (F.to_json("_w.manifest") != F.to_json("_m.manifest"))
+    _, made = links(F.col("seal"), F.col("figures"), F.col("_m.body"), F.col("_m.manifest"))
     errors = F.concat("gate", some(("prepared_differs", drift)), "_m.errors")
     holds = F.coalesce((F.col("seal.source") == link(F.col("source"))) & (F.col("seal.layout") == link(F.col("layout"))), F.lit(False))
     return g.select("_w.*", errors.alias("errors"), F.when(F.size(errors) == 0, F.col("_m.text")).alias("text"), link(made, F.col("_w.locked"), F.col("_w.supplement")).alias("link"), made.alias("prepared_link"), holds.alias("review_holds"))
