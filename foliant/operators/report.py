@@ -67,26 +67,39 @@ def marked_lines(works: DataFrame, id_: str) -> DataFrame:
     en = F.when(english, text("en")).otherwise("")
     all_ = F.concat(part(en, EN), part(text("zh"), ZH), part(text("notes"), NOTES))
     # what belongs to the work as a whole travels with its first line alone
-    rows = works.withColumn("found", of_texts()).select(id_, whole.alias("_whole"), F.posexplode(all_).alias("_k", "l")).select(id_, F.when(F.col("_k") == 0, F.col("_whole")).alias("whole"), "l.*").repartition(id_)
+    rows = works.withColumn("found", of_texts()).select(id_, whole.alias("_whole"), F.posexplode(all_).alias("_k", "l")).select(id_, F.when(F.col("_k") == 0, F.col("_whole")).alias("whole"), "l.*")
     s = F.trim("line")
     number = lambda e, z: F.when(F.col("file") == EN, F.regexp_extract(s, e, 1)).when(F.col("file") == ZH, F.regexp_extract(s, z, 1))
+    all_of = lambda sign, p: F.when(F.contains("line", F.lit(sign)), F.regexp_extract_all("line", F.lit(p))).otherwise(F.array().cast(STRINGS))
     level = F.when(F.col("file") != NOTES, F.length(F.regexp_extract("line", r"^(#{2,3})\s+\S", 1)))
-    rows = rows.withColumns({"s": s, "fig": F.nullif(number(EN_CAP, ZH_CAP), F.lit("")), "tab": F.nullif(number(EN_TAB, ZH_TAB), F.lit("")), "embeds": F.regexp_extract_all("line", F.lit(EMBED)), "tags": F.regexp_extract_all("line", F.lit(TAG)), "level": F.when(level > 0, level)})
-    rows = rows.withColumns({"full": F.col("s") != "", "size": F.length(F.regexp_replace("line", r"\s+", "")), "title": F.when(F.col("level").isNotNull(), F.regexp_extract("line", r"^#{2,3}\s+(.+?)\s*$", 1))})
+    dense = F.col("line")
+    for blank in " \t\n\x0b\f\r":
+        dense = F.replace(dense, F.lit(blank), F.lit(""))
+    rows = rows.withColumns({"s": s, "fig": F.nullif(number(EN_CAP, ZH_CAP), F.lit("")), "tab": F.nullif(number(EN_TAB, ZH_TAB), F.lit("")), "embeds": all_of("![[", EMBED), "tags": all_of("\\tag{", TAG), "level": F.when(level > 0, level)})
+    x = strip_math(F.col("s"))
+    foreign = (F.col("file") == ZH) & (F.col("fig").isNotNull() | F.col("tab").isNotNull()) & (letter_count(x) >= 20) & (cjk_ratio(x) < 0.3)
+    title = F.when(F.col("level").isNotNull(), F.regexp_extract("line", r"^#{2,3}\s+(.+?)\s*$", 1))
+    # the shuffle takes what was found in a line, not the line
+    rows = rows.select(
+        id_, "whole", "file", "no", "fig", "tab", "embeds", "tags", "level", (F.col("s") != "").alias("full"), F.col("s").startswith("|").alias("bar"), F.length(dense).alias("size"),
+        title.alias("title"), foreign.alias("foreign"), F.col("s").rlike(ITEM_LINE).alias("item"),
+    ).repartition(id_)
     down = Window.partitionBy(id_, "file").orderBy("no")
     to_here, up = down.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(id_, "file").orderBy(F.desc("no")).rowsBetween(Window.unboundedPreceding, -1)
     form = F.when(~F.col("full"), 0).when(F.size("embeds") > 0, 2).otherwise(1)
     rows = rows.withColumns({
         **{f"_{i}": F.lag(form, i, 0).over(down) for i in range(1, ABOVE + 1)},
         "near": F.last(F.when(F.col("full"), F.col("embeds")), True).over(down.rowsBetween(-ABOVE, -1)),
-        "table": F.coalesce(F.first(F.when(F.col("full"), F.col("s").startswith("|")), True).over(down.rowsBetween(1, BELOW)), F.lit(False)),
+        "table": F.coalesce(F.first(F.when(F.col("full"), F.col("bar")), True).over(down.rowsBetween(1, BELOW)), F.lit(False)),
         "head": F.count("level").over(to_here), "below": F.last("title", True).over(to_here), "sum": F.sum("size").over(to_here),
     })
     two = F.slice(F.filter(F.array(*[f"_{i}" for i in range(1, ABOVE + 1)]), lambda x: x > 0), 1, 2)
     rows = rows.withColumn("embedded", F.array_contains(two, 2)).drop(*[f"_{i}" for i in range(1, ABOVE + 1)])
+    # upwards the first line of a file is its last, with the sum of all
+    last = F.first("sum").over(up.rowsBetween(Window.unboundedPreceding, 0))
     ends = {f"_end{n}": F.last(F.when(F.col("level") <= n, F.col("sum") - F.col("size")), True).over(up) for n in (2, 3)}
-    rows = rows.withColumns({**ends, "_all": F.max("sum").over(Window.partitionBy(id_, "file"))})
-    return rows.withColumn("held", F.coalesce(F.when(F.col("level") == 2, F.col("_end2")).otherwise(F.col("_end3")), F.col("_all")) - F.col("sum"))
+    rows = rows.withColumns({**ends, "_all": last})
+    return rows.drop("bar", "full").withColumn("held", F.coalesce(F.when(F.col("level") == 2, F.col("_end2")).otherwise(F.col("_end3")), F.col("_all")) - F.col("sum"))
 
 
 def gathered(rows: DataFrame, id_: str) -> DataFrame:
@@ -95,15 +108,13 @@ def gathered(rows: DataFrame, id_: str) -> DataFrame:
     both = lambda num: F.struct("file", equation_id(num).alias("label"), num.alias("num"), "embedded", "table", F.col("near").alias("embeds"))
     held = finding("E", F.col("file"), "empty_section", F.col("title"))
     empty = F.when(F.col("title").rlike(MUST_HOLD), held).otherwise(held.withField("level", F.lit("W")))
-    x = strip_math(F.col("s"))
-    foreign = (F.col("file") == ZH) & (F.col("fig").isNotNull() | F.col("tab").isNotNull()) & (letter_count(x) >= 20) & (cjk_ratio(x) < 0.3)
     dumped = F.col("below").rlike(DUMP) & F.col("level").isNull()
-    in_dump = F.sum(F.when(dumped, F.size("tags") + F.col("s").rlike(ITEM_LINE).cast("int")).otherwise(0))
+    in_dump = F.sum(F.when(dumped, F.size("tags") + F.col("item").cast("int")).otherwise(0))
     by_section = rows.groupBy(id_, "file", "head", "below").agg(
         F.first("whole", True).alias("whole"), some(F.col("fig").isNotNull(), both(F.col("fig"))).alias("figs"), some(F.col("tab").isNotNull(), both(F.col("tab"))).alias("tabs"),
         F.flatten(some(F.size("embeds") > 0, F.col("embeds"))).alias("embeds"), F.flatten(some(F.size("tags") > 0, F.transform("tags", equation_id))).alias("tags"),
         F.collect_list(F.nullif(F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1), F.lit(""))).alias("numbers"),
-        F.flatten(F.array(some(F.col("held") < LEAST_BELOW, F.when(F.col("level").isNotNull(), empty)), some(foreign, finding("E", ZH, "untranslated_caption", F.coalesce("fig", "tab"))))).alias("found"), in_dump.alias("dump"), F.count("*").alias("lines"),
+        F.flatten(F.array(some(F.col("held") < LEAST_BELOW, F.when(F.col("level").isNotNull(), empty)), some(F.col("foreign"), finding("E", ZH, "untranslated_caption", F.coalesce("fig", "tab"))))).alias("found"), in_dump.alias("dump"), F.count("*").alias("lines"),
     )
     own = by_section.withColumn("found", F.concat("found", kept(F.when(F.col("dump") > 1, finding("E", F.col("file"), "dump", F.col("below"))))))
     put = lambda c, file: F.flatten(F.collect_list(F.when(F.col("file") == file, F.col(c))))
