@@ -154,7 +154,9 @@ def despaced(x: Column) -> Column:
     def word_closed(t: Column, label: Column) -> Column:
         return let(F.regexp_extract(t, SPACED_WORD, 1), lambda word: let(closed_up(t, word), lambda t2: numbered(t2, (label != "") | (word != ""))))
 
-    return let(F.trim(x), lambda t: let(F.regexp_extract(t, SPACED_LABEL, 1), lambda label: let(closed_up(t, label), lambda t1: word_closed(t1, label))))
+    # only a lone letter, a label that is cut, or digits apart behind a label can be closed up
+    maybe = lambda t: F.regexp_like(t, F.lit(r"^(?:[A-Za-z]\s|(?i:FI|TA)(?:[A-Za-z]{0,4}\s[A-Za-z]|[A-Za-z]+\s*\d\s\d))"))
+    return let(F.trim(x), lambda t: F.when(maybe(t), let(F.regexp_extract(t, SPACED_LABEL, 1), lambda label: let(closed_up(t, label), lambda t1: word_closed(t1, label)))).otherwise(t))
 
 
 def despaced_anywhere(x: Column) -> Column:
