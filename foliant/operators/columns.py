@@ -3,9 +3,10 @@
 A page's spans come into lines by baseline, small print beside a line becomes its
 sub- or superscripts, the gutter of each line is found from what covers the page
 around it, lines are cut there, and the pieces are joined into paragraphs, band by
-band.  Every step is a window over (doc, page) in the order it needs, so a page is
-streamed through the windows and shuffled once; what is gathered into an array is
-one line, the 17 lines around a line, or one paragraph.
+band.  Spans are shuffled by page and sorted down it once; ``page_items`` goes through
+them in Arrow batches of whole pages (see ``pages``).  ``baselines``, ``scripted``,
+``text_lines``, ``gutters`` and ``cut_lines`` are the same rules as windows, in which a
+page of any length is streamed, at several times the cost.
 
 spans: doc, page, width (of the page), x0, x1, by (baseline), t, size, bold, italic,
 font.  Blank spans are left out; other columns take no part.  Ties of the body size
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.text import let
+from foliant.operators import pages
 from foliant.operators.layout import WIDE, despaced
 
 PAGE = ("doc", "page")
@@ -40,6 +43,8 @@ KEEP_HYPHEN = (
     " long short high low large small time space real wall gas solid liquid free in coarse fine grid drag shape size density volume fixed finite"
     " lattice single double mass stress second first data field model based depth flow water debris rain soil rock ice snow land sea wind"
 ).split()
+#: A whole word that begins like one of them; the first letter is tried once for all of its words.
+KEPT_WORD = "(?i)(?<![A-Za-z])((?:" + "|".join(f"{a}(?:{'|'.join(w[1:] for w in KEEP_HYPHEN if w[0] == a)})" for a in sorted({w[0] for w in KEEP_HYPHEN})) + ")[A-Za-z]*)"
 HEADS = ("[BOLD] ", "[ITAL] ", "[BIG] ")
 
 #: Points: lines of one baseline; bins of the page's width; least gutter; reach of scripts.
@@ -103,7 +108,7 @@ def scripted(spans: DataFrame) -> DataFrame:
 def text_lines(spans: DataFrame) -> DataFrame:
     """spans(line, script, body) -> doc, page, line, width, body, spans (by x0): one row a line."""
     row = F.struct("x0", "x1", "script", "t", "size", "bold", "italic", "font")
-    return spans.groupBy(*PAGE, "line").agg(F.first("width").alias("width"), F.first("body").alias("body"), F.array_sort(F.collect_list(row)).alias("spans"))
+    return spans.groupBy(*PAGE, "line").agg(F.first("width").alias("width"), F.first("body").alias("body"), F.sort_array(F.collect_list(row)).alias("spans"))
 
 
 def bin_of(x: Column) -> Column:
@@ -161,16 +166,21 @@ def gutters(lines: DataFrame) -> DataFrame:
 def rendered(spans: Column) -> Column:
     """Text of spans from left to right: scripts marked, a space where there is room
     of more than a point and neither side is CJK, spaced words and marks closed up."""
+    # most texts have no white space but single spaces between ASCII words
+    own = lambda s: F.when(like(s["t"], r"^[^!-~]|[^!-~]\z"), stripped(s["t"])).otherwise(s["t"])
 
-    def add(acc: Column, s: Column) -> Column:
-        own = stripped(s["t"])
-        own = F.when(s["script"] == "sup", F.concat(F.lit("^{"), own, F.lit("}"))).when(s["script"] == "sub", F.concat(F.lit("_{"), own, F.lit("}"))).otherwise(own)
-        apart = (s["x0"] - acc["x1"] > 1.0) & (acc["t"] != "") & (own != "") & ~like(acc["t"], WIDE + r"\z") & ~like(own, "^" + WIDE)
-        return F.struct(F.concat(acc["t"], F.when(apart, " ").otherwise(""), own).alias("t"), s["x1"].alias("x1"))
+    def add(s: Column, i: Column) -> Column:
+        before = F.get(spans, i - 1)
+        apart = (i > 0) & (s["x0"] - before["x1"] > 1.0) & ~((before["script"] == "") & like(own(before), WIDE + r"\z")) & ~((s["script"] == "") & like(own(s), "^" + WIDE))
+        t = F.when(s["script"] == "sup", F.concat(F.lit("^{"), own(s), F.lit("}"))).when(s["script"] == "sub", F.concat(F.lit("_{"), own(s), F.lit("}"))).otherwise(own(s))
+        return F.when(apart, F.concat(F.lit(" "), t)).otherwise(t)
 
-    t = F.aggregate(spans, F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("x1")), add)["t"]
-    t = despaced(stripped(F.regexp_replace(t, r"(?U)\s+", " ")))
-    return F.regexp_replace(F.regexp_replace(t, r"\s+([_^]\{)", "$1"), r"\s*([，。；：！？、（）《》「」【】])\s*", "$1")
+    def closed(t: Column) -> Column:
+        odd = like(t, r"[^ -~]|  |^ | \z")
+        t = despaced(F.when(odd, stripped(F.regexp_replace(t, r"(?U)\s+", " "))).otherwise(t))
+        return let(t, lambda t: F.when(like(t, r"\s[_^]\{|[^ -~]"), F.regexp_replace(F.regexp_replace(t, r"\s+([_^]\{)", "$1"), r"\s*([，。；：！？、（）《》「」【】])\s*", "$1")).otherwise(t))
+
+    return let(F.array_join(F.transform(spans, add), ""), closed)
 
 
 def line_mark(spans: Column, t: Column, body: Column) -> Column:
@@ -211,40 +221,44 @@ def cut_lines(lines: DataFrame) -> DataFrame:
 
 
 def page_items(spans: DataFrame) -> DataFrame:
-    """The cut lines of all pages, from their spans."""
+    """The cut lines of all pages, from their spans: as ``cut_lines``, and with band (runs of
+    whole lines and of cut ones, down the page), gap, ragged and indent (see ``broken``)."""
     s = cleaned(spans)
-    return cut_lines(gutters(text_lines(scripted(baselines(s.join(span_body(s), "doc"))))))
+    s = s.join(span_body(s), "doc").select(*PAGE, "width", "body", "x0", "x1", "by", "size", "t", "bold", "italic", "font")
+    span = T.StructType([T.StructField(c, T.DoubleType() if c in ("x0", "x1") else T.StringType() if c == "script" else s.schema[c].dataType) for c in pages.SPAN])
+    of = [T.StructField(c, s.schema[c].dataType) for c in PAGE]
+    flags = [T.StructField(c, T.BooleanType()) for c in ("gap", "ragged", "indent")]
+    numbers = lambda *cs: [T.StructField(c, T.DoubleType()) for c in cs]
+    schema = T.StructType([*of, *numbers("body", "by"), T.StructField("kind", T.StringType()), *numbers("x0", "x1"), T.StructField("band", T.LongType()), *flags, T.StructField("spans", T.ArrayType(span))])
+
+    def each(batches):
+        return pages.whole_pages(batches, lambda t: pages.pieces(t, BASELINE, BIN, GUTTER, AROUND))
+
+    items = s.repartition(*PAGE).sortWithinPartitions(*PAGE, "by", "x0").mapInArrow(each, schema)
+    items = items.withColumn("text", rendered(F.col("spans")))
+    return items.withColumn("mark", line_mark(F.col("spans"), F.col("text"), F.col("body"))).drop("spans").repartition(*PAGE)
 
 
 def broken(items: DataFrame) -> DataFrame:
-    """items with band (runs of whole lines and of cut ones, down the page), para (within
-    band and kind) and before (the line before in the paragraph's column).
+    """items with para (within band and kind) and before (the line before in the
+    paragraph's column).
 
     A paragraph begins after more than 1.75 body sizes of room, where the mark changes,
     at a caption or title, after a line that ends short of the column's right edge by
     more than 12 % (not beside formulas or between headings), and at an indent of more
     than 4.5 points: from the column's left edge, or for whole lines from the line before.
     """
-    of = Window.partitionBy(*PAGE, "kind")
-    rank = lambda c: F.row_number().over(of.orderBy(c)) - 1
-    n = F.count("*").over(of)
-    items = items.withColumns({"_n": n, "_a": rank("x0"), "_z": rank("x1")})
-    tenth = F.floor(F.col("_n") / 10)
-    items = items.withColumns({"_left": F.max(F.when(F.col("_a") == tenth, F.col("x0"))).over(of), "_right": F.max(F.when(F.col("_z") == F.col("_n") - 1 - tenth, F.col("x1"))).over(of)})
-    down = Window.partitionBy(*PAGE).orderBy("by", "kind")
-    turn = (F.col("kind") == "F") != (F.lag("kind").over(down) == "F")
-    items = items.withColumn("band", F.sum(F.when(turn, 1).otherwise(0)).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     column = Window.partitionBy(*PAGE, "band", "kind").orderBy("by", "x0")
     was = lambda c: F.lag(c).over(column)
     mark, before = F.col("mark"), was("mark")
     heads = mark.isin(*HEADS) & before.isin(*HEADS)
     math_before = before == "[MATH] "
-    ragged = (was("x1") < F.col("_right") - 0.12 * F.greatest(F.col("_right") - F.col("_left"), F.lit(1.0))) & ~heads & ~math_before & (mark != "[MATH] ")
-    indent = F.when(F.col("kind") == "F", (F.col("x0") > was("x0") + 4.5) & ~heads).otherwise(F.col("x0") > F.col("_left") + 4.5) & ~math_before
-    new = before.isNull() | (F.col("by") - was("by") > 1.75 * F.col("body")) | (mark != before) | mark.isin("[CAP] ", "[TAB] ") | ragged | indent
+    ragged = F.col("ragged") & ~heads & ~math_before & (mark != "[MATH] ")
+    indent = F.col("indent") & ((F.col("kind") != "F") | ~heads) & ~math_before
+    new = before.isNull() | F.col("gap") | (mark != before) | mark.isin("[CAP] ", "[TAB] ") | ragged | indent
     items = items.withColumns({"_new": F.when(new, 1).otherwise(0), "before": was("text")})
     items = items.withColumn("para", F.sum("_new").over(column.rowsBetween(Window.unboundedPreceding, 0)))
-    return items.withColumn("before", F.when(F.col("_new") == 0, F.col("before"))).drop("_n", "_a", "_z", "_left", "_right", "_new")
+    return items.withColumn("before", F.when(F.col("_new") == 0, F.col("before"))).drop("gap", "ragged", "indent", "_new")
 
 
 def hyphens_closed(items: DataFrame, spans: DataFrame) -> DataFrame:
@@ -255,8 +269,7 @@ def hyphens_closed(items: DataFrame, spans: DataFrame) -> DataFrame:
     hyphen = F.col("before").endswith("-") & like(F.col("text"), r"^\p{Ll}")
     items = items.withColumns({"_w": F.when(hyphen & (stem != "") & (head != ""), F.lower(F.concat(stem, head))), "_keep": F.lower(stem).isin(*KEEP_HYPHEN)})
     # of a document's words only those that begin like these parts are looked up
-    words = cleaned(spans).select("doc", F.explode(F.regexp_extract_all("t", F.lit("([A-Za-z]+)"))).alias("word")).select("doc", F.lower("word").alias("word"))
-    known = words.where(like(F.col("word"), f"^(?:{'|'.join(KEEP_HYPHEN)})")).distinct().select(F.col("doc").alias("_d"), F.col("word").alias("_k"))
+    known = cleaned(spans).select(F.col("doc").alias("_d"), F.explode(F.regexp_extract_all("t", F.lit(KEPT_WORD))).alias("_k")).select("_d", F.lower("_k").alias("_k")).distinct()
     items = items.join(known, F.col("_keep") & F.col("doc").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_k")), "left")
     return items.withColumn("close", F.col("_w").isNotNull() & (~F.col("_keep") | F.col("_k").isNotNull())).drop("_w", "_keep", "_d", "_k", "before")
 
@@ -272,7 +285,7 @@ def paragraphs(spans: DataFrame) -> DataFrame:
         tight = like(a, WIDE + r"\z") & like(t, "^" + WIDE)
         return F.when(a.isNull(), t).when(hyphen & line["close"], F.concat(F.substring(a, F.lit(1), F.length(a) - 1), t)).when(hyphen | tight, F.concat(a, t)).otherwise(F.concat(a, F.lit(" "), t))
 
-    rows = items.groupBy(*PAGE, "band", "kind", "para").agg(F.first("mark").alias("mark"), F.array_sort(F.collect_list(F.struct("by", "x0", "text", "close"))).alias("lines"))
+    rows = items.groupBy(*PAGE, "band", "kind", "para").agg(F.first("mark").alias("mark"), F.sort_array(F.collect_list(F.struct("by", "x0", "text", "close"))).alias("lines"))
     pos = F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "kind", "para")).cast("int")
     return rows.select(*PAGE, pos.alias("pos"), "kind", "mark", F.aggregate("lines", F.lit(None).cast("string"), add).alias("text"))
 

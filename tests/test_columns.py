@@ -160,6 +160,35 @@ def test_baselines_along_a_chain(spark):
     assert [r.line for r in got] == [100, 100, 102.5, 102.5, 104.7, 120]
 
 
+def test_pages_in_batches_equal_windows(spark):
+    """Cut lines by Arrow batches of whole pages, of any size, are those of the windows, and take far fewer of them."""
+    rng, rows = random.Random(5), []
+    for page in range(20):
+        width = rng.choice([420.0, 600.0])
+        for r in range(rng.choice([0, 1, 3, 30, 60])):
+            y = 60 + 11.0 * r + rng.choice([0, 0, 0.7, 1.5, 3])
+            for a, z in rng.choice([[(40, width - 40)], [(40, width / 2 - 9), (width / 2 + 9, width - 40)], [(40, width / 2 - 9), (width / 2 + 9, width - 80)], [(width / 2 - 2, width / 2 + 2)], [(40, 90), (40, 90), (95, 140)]]):
+                rows.append(span(y, a, z, rng.choice(["word", "a  b", "ﬁne ", "图 1", "中文", "n-"]), rng.choice([10.0, 10.0, 16.0]), page=page // 2 if page % 5 else None, doc=page % 2, width=width))
+                if rng.random() < 0.3:
+                    rows.append(span(y + rng.choice([-4, 3, -0.5, 9]), z, z + 5, "2", 6.0, page=page // 2 if page % 5 else None, doc=page % 2, width=width))
+    # a page whose spans all have one width
+    width = {}
+    rows = [(*r[:2], width.setdefault(r[:2], r[2]), *r[3:]) for r in rows]
+    spans = spans_of(spark, rows)
+    s = columns.cleaned(spans)
+    cols = ["doc", "page", "body", "by", "kind", "x0", "x1", "text", "mark"]
+    want = sorted(map(repr, columns.cut_lines(columns.gutters(columns.text_lines(columns.scripted(columns.baselines(s.join(columns.span_body(s), "doc")))))).select(cols).collect()))
+    assert {"F", "L", "R"} <= {r.split("kind='")[1][0] for r in want}
+    for size in (7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            items = columns.page_items(spans)
+            assert sorted(map(repr, items.select(cols).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Window" not in items._jdf.queryExecution().executedPlan().toString()
+
+
 # -- blocks
 
 BLOCK = "doc long, page int, block int, line int, seq int, t string, size double, y double, font string, bold boolean, raised boolean, x0 double, y0 double, x1 double, y1 double"
