@@ -133,6 +133,11 @@ def test_checks_of_captions_and_places(spark):
     assert [(r.title, r.n) for r in rules.dump_sections(en, "id").collect()] == [("Equations", 2)] and rules.dump_sections(zh, "id").count() == 0
     a, b = rules.item_sections(en, "id"), rules.item_sections(zh, "id")
     assert {r.item: r.section for r in a.collect()} == {"式(1)": "1", "式(2)": "equations", "式(A.1)": "equations", "图1": "1", "图2": "2", "表1": "2"}
+    for x in (a, rules.dump_sections(en, "id")):  # no line is shuffled or sorted: a text's sections are worked out in its row
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    twice = spark.createDataFrame([(1, "$$x \\tag{1}$$\n## Appendix B\n$$x \\tag{1}$$\r\n  **Fig. 2.** c\n##\n###  \n$$\\tag{3} \\tag{4}$$\n### 2.1 C\n**Figure 02.** d"), (2, None), (3, "## 1 A")], "id int, text string")
+    assert {(r.id, r.item, r.section) for r in rules.item_sections(twice, "id").collect()} == {(1, "式(1)", "_front"), (1, "图2", "appendix B"), (1, "式(3)", "appendix B"), (1, "式(4)", "appendix B")}
     m = rules.moved_items(a, b, "id").first()
     assert (m.items, m.moved, m.band) == (5, 1, "warning")
     lab = lambda df: df.select("id", F.col("item").alias("label"))
