@@ -182,6 +182,13 @@ def test_citations_in_running_text(spark):
     lists = e.groupBy("id").agg(F.collect_list(F.struct("n", "label", "keys")).alias("es"))
     out = {r.id: r.t for r in docs.join(lists, "id", "left").select("id", citations.link_citations_udf("text", "es").alias("t")).collect()}
     assert out[2] == "no [1] list" and "[[#^ref-2|2]]" in out[1] and "[[#^ref-2|张三等, 2020]]" in out[1] and "[3](z)" in out[1] and "See [[#^ref-1|Smith and Jones, 2018]] and" in out[1] and "- **[1]** Smith" in out[1]
+    # a text's own list is linked in its row, to the same result
+    more = docs.unionByName(spark.createDataFrame([(3, None), (4, "Ng, 2020b and Müller (2019)\n## 参考文献\n- **[1]** Müller, A.: X, 2019.\n- **[2]** Ng, B.: Y, 2020b. ^ref-2\n - **[1]** Ng, B.: Z, 2020.")], "id int, text string"))
+    every = citations.bibliography(more, "id").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "n", "label", "keys"))), lambda x: F.struct(x["n"], x["label"], x["keys"])).alias("es"))
+    want = {r.id: r.t for r in more.join(every, "id", "left").select("id", citations.link_citations_udf("text", "es").alias("t")).collect()}
+    own = citations.link_own_list(more, "text", "t")
+    assert {r.id: r.t for r in own.collect()} == want and "[[#^ref-2|Ng, 2020b]] and [[#^ref-1|Müller, 2019]]" in want[4]
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
     dup = e.unionByName(e.where("n = '1'").withColumns({"ord": F.lit(99), "label": F.lit("last")}))
     assert citations.cite_map(dup, "id").where("n = '1'").first().label == "last"
     html = "a \ue1001\ue101, \ue1002\ue101 b \ue1001\ue101"
