@@ -3,8 +3,10 @@
 A page's spans come into lines by baseline, small print beside a line becomes its
 sub- or superscripts, the gutter of each line is found from what covers the page
 around it, lines are cut there, and the pieces are joined into paragraphs, band by
-band.  Spans are shuffled by page and sorted down it once; ``page_items`` goes through
-them in Arrow batches of whole pages (see ``pages``).  ``baselines``, ``scripted``,
+band.  Spans are shuffled by document once, or not at all where they are ``dealt``: all
+of a document's stand together, as when its row was exploded into them.  ``paged`` goes
+through them in Arrow batches of whole documents (see ``pages``); a page's lines are then
+one array, in which its paragraphs are joined.  ``baselines``, ``scripted``,
 ``text_lines``, ``gutters`` and ``cut_lines`` are the same rules as windows, in which a
 page of any length is streamed, at several times the cost.
 
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliant.functions.text import let
 from foliant.operators import pages
@@ -175,35 +176,45 @@ def rendered(spans: Column) -> Column:
         t = F.when(s["script"] == "sup", F.concat(F.lit("^{"), own(s), F.lit("}"))).when(s["script"] == "sub", F.concat(F.lit("_{"), own(s), F.lit("}"))).otherwise(own(s))
         return F.when(apart, F.concat(F.lit(" "), t)).otherwise(t)
 
-    def closed(t: Column) -> Column:
-        odd = like(t, r"[^ -~]|  |^ | \z")
-        t = despaced(F.when(odd, stripped(F.regexp_replace(t, r"(?U)\s+", " "))).otherwise(t))
-        return let(t, lambda t: F.when(like(t, r"\s[_^]\{|[^ -~]"), F.regexp_replace(F.regexp_replace(t, r"\s+([_^]\{)", "$1"), r"\s*([，。；：！？、（）《》「」【】])\s*", "$1")).otherwise(t))
-
     return let(F.array_join(F.transform(spans, add), ""), closed)
 
 
-def line_mark(spans: Column, t: Column, body: Column) -> Column:
-    """What kind of line this may be, by its spans that are no scripts: ``[CAP] `` and
-    so on, with a space behind it, or nothing."""
-    big = F.filter(spans, lambda s: s["script"] == "")
-    n = F.size(big)
-    n_math = F.size(F.filter(big, lambda s: like(s["font"], MATH_FONT)))
+def closed(t: Column) -> Column:
+    """A line's text with single spaces, spaced words and marks closed up."""
+    odd = like(t, r"[^ -~]|  |^ | \z")
+    t = despaced(F.when(odd, stripped(F.regexp_replace(t, r"(?U)\s+", " "))).otherwise(t))
+    return let(t, lambda t: F.when(like(t, r"\s[_^]\{|[^ -~]"), F.regexp_replace(F.regexp_replace(t, r"\s+([_^]\{)", "$1"), r"\s*([，。；：！？、（）《》「」【】])\s*", "$1")).otherwise(t))
+
+
+def mark_of(t: Column, line) -> Column:  # noqa: ANN001
+    """What kind of line this may be: ``[CAP] `` and so on, with a space behind it, or
+    nothing.  ``line`` has flags: whether it has spans that are no scripts (plain), and
+    whether half of these, or all, are ``math``, ``bold``, ``italic``, ``small`` or ``large``."""
     wordy = (F.regexp_count(t, F.lit(r"[A-Za-z]{3,}")) >= 4) & ~like(t, MATHY) & ~like(F.right(t, F.lit(8)), EQUATION_NUMBER)
     short = F.length(t) < 140
     return (
-        F.when(n == 0, "")
+        F.when(~line["plain"], "")
         .when(like(t, FIGURE_START) & ~like(t, FIGURE_VERB), "[CAP] ")
         .when(like(t, TABLE_START) & ~like(t, TABLE_VERB), "[TAB] ")
-        .when((n_math >= F.greatest(F.lit(1), F.floor(n / 2))) & ~wordy, "[MATH] ")
-        .when(F.forall(big, lambda s: s["bold"]) & short, "[BOLD] ")
-        .when(F.forall(big, lambda s: s["italic"]) & short, "[ITAL] ")
-        .when(F.forall(big, lambda s: s["size"] < body - 1.0), "[small] ")
-        .when(F.forall(big, lambda s: s["size"] > body + 1.5), "[BIG] ")
+        .when(line["math"] & ~wordy, "[MATH] ")
+        .when(line["bold"] & short, "[BOLD] ")
+        .when(line["italic"] & short, "[ITAL] ")
+        .when(line["small"], "[small] ")
+        .when(line["large"], "[BIG] ")
         .otherwise("")
     )
 
 
+def line_mark(spans: Column, t: Column, body: Column) -> Column:
+    """The mark of a line of these spans."""
+    big = F.filter(spans, lambda s: s["script"] == "")
+    n = F.size(big)
+    n_math = F.size(F.filter(big, lambda s: like(s["font"], MATH_FONT)))
+    every = lambda test: F.forall(big, test)
+    line = {"plain": n > 0, "math": n_math >= F.greatest(F.lit(1), F.floor(n / 2)), "bold": every(lambda s: s["bold"]), "italic": every(lambda s: s["italic"])}
+    return mark_of(t, line | {"small": every(lambda s: s["size"] < body - 1.0), "large": every(lambda s: s["size"] > body + 1.5)})
+
+
 def cut_lines(lines: DataFrame) -> DataFrame:
     """doc, page, body, by, kind, x0, x1, text, mark: lines cut at their gutter into L
     and R; whole lines (F) where there is none, a span crosses it, or the halves are
@@ -220,74 +231,88 @@ def cut_lines(lines: DataFrame) -> DataFrame:
     return items.withColumn("mark", line_mark(F.col("spans"), F.col("text"), F.col("body"))).drop("spans")
 
 
-def page_items(spans: DataFrame) -> DataFrame:
-    """The cut lines of all pages, from their spans: as ``cut_lines``, and with band (runs of
-    whole lines and of cut ones, down the page), gap, ragged and indent (see ``broken``)."""
-    s = cleaned(spans)
-    s = s.join(span_body(s), "doc").select(*PAGE, "width", "body", "x0", "x1", "by", "size", "t", "bold", "italic", "font")
-    span = T.StructType([T.StructField(c, T.DoubleType() if c in ("x0", "x1") else T.StringType() if c == "script" else s.schema[c].dataType) for c in pages.SPAN])
-    of = [T.StructField(c, s.schema[c].dataType) for c in PAGE]
-    flags = [T.StructField(c, T.BooleanType()) for c in ("gap", "ragged", "indent")]
-    numbers = lambda *cs: [T.StructField(c, T.DoubleType()) for c in cs]
-    schema = T.StructType([*of, *numbers("body", "by"), T.StructField("kind", T.StringType()), *numbers("x0", "x1"), T.StructField("band", T.LongType()), *flags, T.StructField("spans", T.ArrayType(span))])
+#: What the pages' lines are found by (see ``pages``).
+RULES = {"baseline": BASELINE, "bin": BIN, "gutter": GUTTER, "around": AROUND, "wide": WIDE, "math": MATH_FONT, "kept": KEPT_WORD, "ligatures": LIGATURES}
+
+
+def paged(spans: DataFrame, dealt: bool = False) -> DataFrame:
+    """doc, page, body, words, items: a row a page with its cut lines, by bands (runs of whole
+    lines and of cut ones, down the page) and columns: by, kind, x0, x1, band, raw (what the
+    spans say), whether there is more room above than in a paragraph (gap), the line before
+    in its column ends short (ragged) or this one begins farther in (indent), and the flags
+    of ``mark_of``.  words: see ``hyphen_closed``.
+
+    dealt: the spans of each document stand together already, so nothing is shuffled.
+    """
+    numbers = ("width", "x0", "x1", "by", "size")
+    s = spans.select(*PAGE, *[F.col(c).cast("double").alias(c) for c in numbers], "t", "bold", "italic", "font")
+    if not dealt:
+        s = s.repartition("doc").sortWithinPartitions("doc")
+    item = "struct<by:double,kind:string,x0:double,x1:double,band:bigint,raw:string," + ",".join(f"{c}:boolean" for c in pages.FLAGS) + ">"
+    of = ",".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in PAGE)
 
     def each(batches):
-        return pages.whole_pages(batches, lambda t: pages.pieces(t, BASELINE, BIN, GUTTER, AROUND))
+        return (b for b in pages.whole_documents(batches, lambda t: pages.laid_out(t, RULES)) if b is not None)
+
+    return s.mapInArrow(each, f"{of},body double,words array<string>,items array<{item}>")
 
-    items = s.repartition(*PAGE).sortWithinPartitions(*PAGE, "by", "x0").mapInArrow(each, schema)
-    items = items.withColumn("text", rendered(F.col("spans")))
-    return items.withColumn("mark", line_mark(F.col("spans"), F.col("text"), F.col("body"))).drop("spans").repartition(*PAGE)
 
+def page_items(spans: DataFrame, dealt: bool = False) -> DataFrame:
+    """The cut lines of all pages, from their spans: as ``cut_lines``, and with band, gap, ragged and indent (see ``paged``)."""
+    items = paged(spans, dealt).select(*PAGE, "body", F.explode("items").alias("i")).withColumn("text", closed(F.col("i.raw")))
+    own = [F.col(f"i.{c}").alias(c) for c in ("by", "kind", "x0", "x1", "band", "gap", "ragged", "indent")]
+    return items.select(*PAGE, "body", *own, "text", mark_of(F.col("text"), F.col("i")).alias("mark"))
 
-def broken(items: DataFrame) -> DataFrame:
-    """items with para (within band and kind) and before (the line before in the
-    paragraph's column).
 
-    A paragraph begins after more than 1.75 body sizes of room, where the mark changes,
-    at a caption or title, after a line that ends short of the column's right edge by
+def begins(line: Column, before: Column) -> Column:
+    """Whether a paragraph begins with a line, after the line before it in the order of columns.
+
+    It does at the top of a column, after more than 1.75 body sizes of room, where the mark
+    changes, at a caption or title, after a line that ends short of the column's right edge by
     more than 12 % (not beside formulas or between headings), and at an indent of more
     than 4.5 points: from the column's left edge, or for whole lines from the line before.
     """
-    column = Window.partitionBy(*PAGE, "band", "kind").orderBy("by", "x0")
-    was = lambda c: F.lag(c).over(column)
-    mark, before = F.col("mark"), was("mark")
-    heads = mark.isin(*HEADS) & before.isin(*HEADS)
-    math_before = before == "[MATH] "
-    ragged = F.col("ragged") & ~heads & ~math_before & (mark != "[MATH] ")
-    indent = F.col("indent") & ((F.col("kind") != "F") | ~heads) & ~math_before
-    new = before.isNull() | F.col("gap") | (mark != before) | mark.isin("[CAP] ", "[TAB] ") | ragged | indent
-    items = items.withColumns({"_new": F.when(new, 1).otherwise(0), "before": was("text")})
-    items = items.withColumn("para", F.sum("_new").over(column.rowsBetween(Window.unboundedPreceding, 0)))
-    return items.withColumn("before", F.when(F.col("_new") == 0, F.col("before"))).drop("gap", "ragged", "indent", "_new")
-
-
-def hyphens_closed(items: DataFrame, spans: DataFrame) -> DataFrame:
-    """items with close: the hyphen at the end of the line before goes, as its first
-    part isn't one that keeps it, or the whole word stands elsewhere in the document."""
-    stem = F.regexp_extract("before", r"([A-Za-z]+)-$", 1)
-    head = F.regexp_extract("text", r"^([A-Za-z]+)", 1)
-    hyphen = F.col("before").endswith("-") & like(F.col("text"), r"^\p{Ll}")
-    items = items.withColumns({"_w": F.when(hyphen & (stem != "") & (head != ""), F.lower(F.concat(stem, head))), "_keep": F.lower(stem).isin(*KEEP_HYPHEN)})
-    # of a document's words only those that begin like these parts are looked up
-    known = cleaned(spans).select(F.col("doc").alias("_d"), F.explode(F.regexp_extract_all("t", F.lit(KEPT_WORD))).alias("_k")).select("_d", F.lower("_k").alias("_k")).distinct()
-    items = items.join(known, F.col("_keep") & F.col("doc").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_k")), "left")
-    return items.withColumn("close", F.col("_w").isNotNull() & (~F.col("_keep") | F.col("_k").isNotNull())).drop("_w", "_keep", "_d", "_k", "before")
-
-
-def paragraphs(spans: DataFrame) -> DataFrame:
+    mark, was = line["mark"], before["mark"]
+    top = was.isNull() | (line["band"] != before["band"]) | (line["kind"] != before["kind"])
+    heads = mark.isin(*HEADS) & was.isin(*HEADS)
+    math_before = was == "[MATH] "
+    ragged = line["ragged"] & ~heads & ~math_before & (mark != "[MATH] ")
+    indent = line["indent"] & ((line["kind"] != "F") | ~heads) & ~math_before
+    return top | line["gap"] | (mark != was) | mark.isin("[CAP] ", "[TAB] ") | ragged | indent
+
+
+def hyphen_closed(before: Column, text: Column, words: Column) -> Column:
+    """Whether the hyphen at the end of the line before goes, as its first part isn't one that
+    keeps it, or the whole word is one of the document's ``words`` that begin like these parts."""
+    stem = F.lower(F.regexp_extract(before, r"([A-Za-z]+)-$", 1))
+    head = F.lower(F.regexp_extract(text, r"^([A-Za-z]+)", 1))
+    return (stem != "") & (head != "") & (~stem.isin(*KEEP_HYPHEN) | F.coalesce(F.array_contains(words, F.concat(stem, head)), F.lit(False)))
+
+
+def paragraphs(spans: DataFrame, dealt: bool = False) -> DataFrame:
     """doc, page, pos (from 1), kind, mark, text: the paragraphs of each page in reading
     order: band by band, in a band the left column before the right."""
-    items = hyphens_closed(broken(page_items(spans)), spans)
+    row = lambda i, t: F.struct(*[i[c].alias(c) for c in ("kind", "band", "gap", "ragged", "indent")], t.alias("text"), mark_of(t, i).alias("mark"))
+    rows = paged(spans, dealt).select(*PAGE, "words", F.transform("items", lambda i: let(closed(i["raw"]), lambda t: row(i, t))).alias("lines"))
+    at = lambda i: F.get("lines", i)
+    first = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: begins(at(i), at(i - 1)))
 
-    def add(a: Column, line: Column) -> Column:
-        t = line["text"]
+    def add(a: Column, i: Column) -> Column:
+        t, before = at(i)["text"], at(i - 1)["text"]
         hyphen = a.endswith("-") & like(t, r"^\p{Ll}")
         tight = like(a, WIDE + r"\z") & like(t, "^" + WIDE)
-        return F.when(a.isNull(), t).when(hyphen & line["close"], F.concat(F.substring(a, F.lit(1), F.length(a) - 1), t)).when(hyphen | tight, F.concat(a, t)).otherwise(F.concat(a, F.lit(" "), t))
-
-    rows = items.groupBy(*PAGE, "band", "kind", "para").agg(F.first("mark").alias("mark"), F.sort_array(F.collect_list(F.struct("by", "x0", "text", "close"))).alias("lines"))
-    pos = F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "kind", "para")).cast("int")
-    return rows.select(*PAGE, pos.alias("pos"), "kind", "mark", F.aggregate("lines", F.lit(None).cast("string"), add).alias("text"))
+        return F.when(a.isNull(), t).when(hyphen & hyphen_closed(before, t, F.col("words")), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), t)).when(hyphen | tight, F.concat(a, t)).otherwise(F.concat(a, F.lit(" "), t))
+
+    def text(i: Column, n: Column) -> Column:
+        plain = F.array_join(F.transform(F.slice("lines", i + 1, n), lambda x: x["text"]), " ")
+        one_by_one = F.aggregate(F.sequence(i, i + n - 1), F.lit(None).cast("string"), add)
+        # most have neither a hyphen at the end of a line nor a wide letter
+        return let(plain, lambda t: F.when(like(t, r"- |[^\x00-\x7f]"), one_by_one).otherwise(t))
+
+    para = lambda i, n: F.struct(at(i)["kind"].alias("kind"), at(i)["mark"].alias("mark"), text(i, n).alias("text"))
+    rows = rows.withColumn("first", first)
+    paras = F.transform("first", lambda i, k: para(i, F.coalesce(F.get("first", k + 1), F.size("lines")) - i))
+    return rows.select(*PAGE, F.posexplode(paras).alias("pos", "p")).select(*PAGE, (F.col("pos") + 1).alias("pos"), "p.kind", "p.mark", "p.text")
 
 
 def column_text(paras: DataFrame) -> DataFrame:
