@@ -252,7 +252,7 @@ def paged(spans: DataFrame, dealt: bool = False) -> DataFrame:
     of = ",".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in PAGE)
 
     def each(batches):
-        return (b for b in pages.whole_documents(batches, lambda t: pages.laid_out(t, RULES)) if b is not None)
+        return (b for b in pages.whole(batches, "doc", lambda t: pages.laid_out(t, RULES)) if b is not None)
 
     return s.mapInArrow(each, f"{of},body double,words array<string>,items array<{item}>")
 
